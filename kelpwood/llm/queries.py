@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwood.llm import topn
+from kelpwood.llm import neighbours, topn
 from kelpwood.session import table
 
 
@@ -26,7 +26,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top(spark, d).select("layout", "i", "j")
 
 
-QUERIES = {"p2_found": p2_found, "p2_top": p2_top}
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest vectors of every vector."""
+    return neighbours.nearest(table(spark, d, "series_1d"), "idx", "series").withColumn("distance", F.round("distance", 6))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs within 1.2 of which one is among the 5 nearest of the other."""
+    return neighbours.close_pairs(neighbours.nearest(table(spark, d, "series_1d"), "idx", "series"), 1.2).select("idx_a", "idx_b")
+
+
+QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
 
 _TOP = """
 with a as (
@@ -38,7 +48,20 @@ b as (select layout, i, j, max(prox) as prox from a where prox > 0 and prox <= 1
 c as (select *, row_number() over (partition by layout, i order by prox desc, j) as place from b)
 """
 
+_NEAR = """
+with v as (
+  select idx, series from series_1d where len(series) = 32 and len(list_filter(series, lambda x: x is null or isnan(x))) = 0
+),
+n as (
+  select a.idx, b.idx as neighbour, list_distance(a.series, b.series) as distance,
+    row_number() over (partition by a.idx order by list_distance(a.series, b.series), b.idx) as place
+  from v a join v b on a.idx <> b.idx qualify place <= 5
+)
+"""
+
 SQL = {
+    "p3_found": f"{_NEAR} select distinct least(idx, neighbour) as idx_a, greatest(idx, neighbour) as idx_b from n where distance <= 1.2",
+    "p3_neighbours": f"{_NEAR} select idx, neighbour, round(distance, 6) as distance, place::int as place from n",
     "p2_found": f"{_TOP} select layout, i, j from c where place <= 5",
     "p2_top": f"{_TOP} select layout, i, j, prox, place::int as place from c where place <= 5",
 }
