@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwood.llm import neighbours, topn
+from kelpwood.llm import neighbours, overlap, topn
+from kelpwood.operators.hotdeck import observed_records
 from kelpwood.session import table
 
 
@@ -36,7 +37,21 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.close_pairs(neighbours.nearest(table(spark, d, "series_1d"), "idx", "series"), 1.2).select("idx_a", "idx_b")
 
 
-QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_neighbours": p3_neighbours}
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_pairs(observed_records(table(spark, d, "series_multi"), table(spark, d, "app_context")))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of a train and a held-out record with the same or nearly the same series."""
+    return _overlaps(spark, d).select(F.least("train_idx", "held_idx").alias("idx_a"), F.greatest("train_idx", "held_idx").alias("idx_b")).distinct()
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps by split and source."""
+    return overlap.overlap_report(_overlaps(spark, d))
+
+
+QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_report": p4_report}
 
 _TOP = """
 with a as (
@@ -61,7 +76,6 @@ n as (
 
 SQL = {
     "p3_found": f"{_NEAR} select distinct least(idx, neighbour) as idx_a, greatest(idx, neighbour) as idx_b from n where distance <= 1.2",
-    "p3_neighbours": f"{_NEAR} select idx, neighbour, round(distance, 6) as distance, place::int as place from n",
     "p2_found": f"{_TOP} select layout, i, j from c where place <= 5",
     "p2_top": f"{_TOP} select layout, i, j, prox, place::int as place from c where place <= 5",
 }
