@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwood.llm import neighbours, overlap, topn
+from kelpwood.llm import neighbours, overlap, repetition, speech, topn
 from kelpwood.operators.hotdeck import observed_records
 from kelpwood.session import table
 
 
+def _sql_speech(text: str) -> str:
+    """The speech of a text in SQL, with the patterns of the operator."""
+    out = f"coalesce({text}, '')"
+    for pattern, new in ((r"\r\n?", "chr(10)"), (speech.HEADER, "chr(1)"), (speech.TITLE, "''"), (speech.BEFORE, "''"), (speech.NOTE, "chr(10)"), (speech.MARKUP, "''"), (speech.SOUND, "' '")):
+        out = f"regexp_replace({out}, '{pattern}', {new}, 'g')"
+    return out
+
+
 def _proximities(spark: SparkSession, d: str) -> DataFrame:
     """Both layouts in long form, only rows that count."""
     sparse = table(spark, d, "sparse_proximities").select(F.lit("sparse").alias("layout"), "i", "j", "prox")
@@ -51,7 +59,17 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, d))
 
 
-QUERIES = {"p2_found": p2_found, "p2_top": p2_top, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_report": p4_report}
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Words and repeated words of every document, and the share."""
+    return repetition.repetition(table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", F.round("share", 6).alias("share"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are probably repetitive and, checked exactly, repeat at least 0.4 of their words."""
+    return repetition.repetition(table(spark, d, "documents")).filter("repetitive >= 0.05 and n_words > 0 and n_repeated >= 0.4 * n_words").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_found, p3_neighbours, p4_found, p4_report, p8_found, p8_shares)}
 
 _TOP = """
 with a as (
@@ -74,7 +92,25 @@ n as (
 )
 """
 
+_REPEATED = rf"""
+with s as (select doc_id, {_sql_speech("text")} as t from documents),
+w as (
+  select doc_id, row, ws[k] as word, k
+  from (select doc_id, row, ws, unnest(range(1, len(ws) + 1)) as k
+        from (select doc_id, row_number() over () as row, list_filter(string_split_regex(lower(t), '[^\pL\pN]+'), lambda x: x <> '') as ws from s))
+),
+g as (select *, concat_ws(' ', word, lead(word, 1) over v, lead(word, 2) over v, lead(word, 3) over v, lead(word, 4) over v) as run,
+        lead(word, 4) over v is not null as full_run from w window v as (partition by row order by k)),
+f as (select *, full_run and k > min(k) over (partition by row, run, full_run) as again from g),
+c as (select *, max(again::int) over (partition by row order by k rows between 4 preceding and current row) as repeated from f),
+n as (select row, count(*) as n_words, sum(repeated)::bigint as n_repeated from c group by row),
+r as (select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_repeated, 0) as n_repeated
+      from (select doc_id, row_number() over () as row from s) left join n using (row))
+"""
+
 SQL = {
+    "p8_found": f"{_REPEATED} select doc_id from r where n_words > 0 and n_repeated >= 0.4 * n_words",
+    "p8_shares": f"{_REPEATED} select doc_id, n_words, n_repeated, round(n_repeated / greatest(n_words, 1), 6) as share from r",
     "p3_found": f"{_NEAR} select distinct least(idx, neighbour) as idx_a, greatest(idx, neighbour) as idx_b from n where distance <= 1.2",
     "p2_found": f"{_TOP} select layout, i, j from c where place <= 5",
     "p2_top": f"{_TOP} select layout, i, j, prox, place::int as place from c where place <= 5",
