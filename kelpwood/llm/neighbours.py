@@ -65,7 +65,7 @@ class Curves:
     def __init__(self, sample: np.ndarray, dim: int, curves: int, seed: int) -> None:
         random = np.random.default_rng(seed)
         centre = sample.mean(0) if len(sample) else np.zeros(dim)
-        axes = np.linalg.svd(sample - centre, full_matrices=True)[2] if len(sample) > 1 else np.eye(dim)
+        axes = np.linalg.eigh((sample - centre).T @ (sample - centre))[1].T[::-1] if len(sample) > 1 else np.eye(dim)  # leading axes first
         self.centre, self.maps, self.low, self.wide, self.shift = centre, [], [], [], []
         lead = min(dim, 2 * AXES)
         for t in range(curves):
