@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwood.llm import neighbours, overlap, repetition, speech, topn
+from kelpwood.llm import leakage, neighbours, overlap, repetition, speech, topn
 from kelpwood.operators.hotdeck import observed_records
 from kelpwood.session import table
 
@@ -59,6 +59,20 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, d))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items of which they hold half the passage or more."""
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items: documents, longest run, documents that also hold the answer."""
+    return leakage.leak_report(_leaks(spark, d), table(spark, d, "eval_items"))
+
+
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Words and repeated words of every document, and the share."""
     return repetition.repetition(table(spark, d, "documents")).select("doc_id", "n_words", "n_repeated", F.round("share", 6).alias("share"))
@@ -69,7 +83,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents")).filter("repetitive >= 0.05 and n_words > 0 and n_repeated >= 0.4 * n_words").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_found, p3_neighbours, p4_found, p4_report, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_found, p3_neighbours, p4_found, p4_report, p7_found, p7_report, p8_found, p8_shares)}
 
 _TOP = """
 with a as (
