@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpwood.llm import leakage, neighbours, overlap, repetition, speech, topn
+from kelpwood.llm import leakage, neighbours, overlap, packing, repetition, speech, topn
 from kelpwood.operators.hotdeck import observed_records
 from kelpwood.session import table
 
@@ -59,6 +59,25 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_overlaps(spark, d))
 
 
+VOCABULARY = "byte_bpe_50k.tiktoken"  # of the installed public tokenizers
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, d, "documents"), table(spark, d, "pack_targets"), str(public_tokenizers.path(VOCABULARY)), public_tokenizers.PATTERN)
+
+
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one longer than the capacity, with its container of each target."""
+    return _packed(spark, d)
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each target are."""
+    return packing.fill_report(_packed(spark, d), table(spark, d, "pack_targets"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -83,7 +102,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents")).filter("repetitive >= 0.05 and n_words > 0 and n_repeated >= 0.4 * n_words").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_found, p3_neighbours, p4_found, p4_report, p7_found, p7_report, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_found, p3_neighbours, p4_found, p4_report, p6_packing, p6_report, p7_found, p7_report, p8_found, p8_shares)}
 
 _TOP = """
 with a as (
