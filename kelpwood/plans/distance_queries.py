@@ -83,7 +83,7 @@ def alignment(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{f"d_{n.lower()}": partial(_pairs, n, p, 6) for n, p in USED.items()},
-    **{f"d_{n.lower()}": partial(_pairs, n, p, 9) for n, p in USED_2D.items()},
+    **{f"d_{n.lower()}": partial(_pairs, n, p, 3 if n == "euclidean_i" else 9) for n, p in USED_2D.items()},
     "d_cosine_similarity": cosine_similarity,
     "d_masked_euclidean": masked_euclidean,
     "d_nearest_exemplar": nearest_exemplar,
@@ -223,7 +223,7 @@ select idx, exemplar_idx, round(coalesce(list_sum(list_transform(list_filter(ran
     "d_erp_i": _per_channel(f"sqrt({_dp(_erp_cell(30), 'x', 'y')})", "x0", "y0"),
     "d_msm_i": _per_channel(_dp(_MSM, "x", "y"), "x0", "y0"),
     "d_twe_i": _per_channel(_dp(_TWE, "x", "y"), "x0", "y0"),
-    "d_euclidean_i": _per_channel(f"case when len(x) = len(y) then {_E2.format(a='x', b='y')} end", "x0", "y0"),
+    "d_euclidean_i": _per_channel(f"case when len(x) = len(y) then {_E2.format(a='x', b='y')} end", "x0", "y0").replace(", 9) as d", ", 3) as d"),
     "d_manhattan_i": _per_channel("case when len(x) = len(y) then list_sum(list_transform(range(1, len(x) + 1), lambda k: abs(x[k] - y[k]))) end", "x0", "y0"),
 }
 for _n in ("d_euclidean", "d_cosine", "d_cosine_similarity", "d_cid", "d_sbd"):  # unequal lengths have no distance

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,6 +41,14 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def number_rows(df: DataFrame, *order: str) -> DataFrame:
+    """df with ``place``: 0, 1, .. in the given order, by range partitions and their counts."""
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    before = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
+    before = F.broadcast(before.select("__part", "__first", "__before"))  # one row a partition
+    return ranged.join(before, "__part").withColumn("place", F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
+
+
 def parallelism(spark: SparkSession, least: int = 1) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
