@@ -175,9 +175,9 @@ def _ragged_channels(x: object) -> list[np.ndarray] | None:
     return None if any(np.isnan(c).any() for c in out) else out
 
 
-def evaluate(name: str, a: Iterable, b: Iterable, params: dict[str, np.ndarray] | None = None) -> np.ndarray:
+def evaluate(name: str | Distance, a: Iterable, b: Iterable, params: dict[str, np.ndarray] | None = None) -> np.ndarray:
     """Distances of pairs of series; NaN where two series can't be compared."""
-    d = get(name)
+    d = get(name) if isinstance(name, str) else name
     a, b = list(a), list(b)
     out = np.full(len(a), np.nan)
     filled = {k: np.asarray((params or {}).get(k, np.full(len(a), d.defaults.get(k, 0.0))), float) for k in d.params}
@@ -220,24 +220,12 @@ def distance(name: str, a: Column, b: Column, **params: float | Column) -> Colum
     @F.pandas_udf(T.DoubleType())
     def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for x, y, *rest in parts:
-            got = pd.Series(evaluate(name, x, y, dict(zip(given, (r.to_numpy() for r in rest), strict=True))))
+            got = pd.Series(evaluate(d, x, y, dict(zip(given, (r.to_numpy() for r in rest), strict=True))))
             yield got.astype(object).where(got.notna(), None).astype("Float64")
 
     return run(a, b, *[F.lit(params[k]).cast("double") if isinstance(params[k], (int, float)) else params[k].cast("double") for k in given])
 
 
-@F.pandas_udf(T.DoubleType())
-def any_distance(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    """Distance named row by row: (name, a, b, params in the order of PARAMS as an array)."""
-    for names, a, b, values in parts:
-        out = np.full(len(names), np.nan)
-        table = np.array([[np.nan if v is None else v for v in row] for row in values], float).reshape(len(names), len(PARAMS))
-        for name in names.unique():
-            own = np.flatnonzero((names == name).to_numpy())
-            out[own] = evaluate(name, a.iloc[own], b.iloc[own], {k: table[own, PARAMS.index(k)] for k in get(name).params})
-        yield pd.Series(np.where(np.isnan(out), np.inf, out))
-
-
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))
 def alignment_path(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Alignment of two series on their DTW path."""

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once a row, also where ``then`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
 
@@ -52,19 +59,22 @@ def keogh_derivative(x: Column) -> Column:
 def gradients_histogram(x: Column, bins: Column | None = None) -> Column:
     """Counts of the differences in equal bins; as many bins as the root of the length by default."""
     bins = F.floor(F.sqrt(F.size(x))).cast("int") if bins is None else bins
-    steps = difference(x)
-    low, wide = F.array_min(steps), (F.array_max(steps) - F.array_min(steps)) / bins
-    place = F.transform(steps, lambda g: F.when(wide == 0, F.lit(0)).otherwise(F.least(F.floor((g - low) / wide).cast("int"), bins - 1)))
-    return F.when((F.size(steps) == 0) | (bins <= 0), F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(bins, F.lit(1)) - 1), lambda k: F.size(F.filter(place, lambda p: p == k)).cast("double")))
 
+    def places(steps: Column, k: Column) -> Column:
+        span = F.struct(F.array_min(steps).alias("low"), ((F.array_max(steps) - F.array_min(steps)) / k).alias("wide"))
+        return let(span, lambda r: F.transform(steps, lambda g: F.when(r["wide"] == 0, F.lit(0)).otherwise(F.least(F.floor((g - r["low"]) / r["wide"]).cast("int"), k - 1))))
 
-def gradients_histogram_2d(x: Column) -> Column:
-    """One histogram of the gradients of all channels, one after the other."""
-    return gradients_histogram_of_steps(F.flatten(difference_2d(x)), F.floor(F.sqrt(F.size(F.get(x, F.lit(0))))).cast("int"))
+    def counts(steps: Column, k: Column) -> Column:
+        return let(places(steps, k), lambda at: F.transform(F.sequence(F.lit(0), F.greatest(k, F.lit(1)) - 1), lambda n: F.size(F.filter(at, lambda p: p == n)).cast("double")))
+
+    none = F.array().cast("array<double>")
+    both = F.struct(difference(x).alias("steps"), bins.alias("k"))
+    return let(both, lambda r: F.when((F.size(r["steps"]) == 0) | (r["k"] <= 0), none).otherwise(counts(r["steps"], r["k"])))
 
 
-def gradients_histogram_of_steps(gradients: Column, bins: Column) -> Column:
-    return gradients_histogram(gradients, bins)
+def gradients_histogram_2d(x: Column) -> Column:
+    """One histogram of the gradients of all channels, one after the other."""
+    return let(F.flatten(difference_2d(x)), lambda g: gradients_histogram(g, F.floor(F.sqrt(F.size(F.get(x, F.lit(0))))).cast("int")))
 
 
 def mean(x: Column) -> Column:
@@ -73,9 +83,8 @@ def mean(x: Column) -> Column:
 
 def z_normalised(x: Column) -> Column:
     """Mean 0 and population deviation 1; a constant series becomes 0."""
-    m = mean(x)
-    sd = F.sqrt(total(F.transform(x, lambda v: (v - m) * (v - m))) / F.size(x))
-    return F.transform(x, lambda v: F.when(sd > 0, (v - m) / sd).otherwise(v - m))
+    centred = let(mean(x), lambda m: F.transform(x, lambda v: v - m))
+    return let(centred, lambda c: let(F.sqrt(total(F.transform(c, lambda v: v * v)) / F.size(c)), lambda sd: F.transform(c, lambda v: F.when(sd > 0, v / sd).otherwise(v))))
 
 
 def complexity(x: Column) -> Column:
@@ -83,9 +92,9 @@ def complexity(x: Column) -> Column:
 
 
 def cid_distance(a: Column, b: Column) -> Column:
-    ca, cb = complexity(a), complexity(b)
-    d = F.sqrt(squared_euclidean(a, b))
-    return F.when(F.least(ca, cb) > 0, d * (F.greatest(ca, cb) / F.least(ca, cb))).when(d == 0, F.lit(0.0)).otherwise(F.when(d.isNotNull(), F.lit(float("inf"))))
+    parts = F.struct(complexity(a).alias("a"), complexity(b).alias("b"), F.sqrt(squared_euclidean(a, b)).alias("d"))
+    ratio = lambda r: F.greatest(r["a"], r["b"]) / F.least(r["a"], r["b"])
+    return let(parts, lambda r: F.when(F.least(r["a"], r["b"]) > 0, r["d"] * ratio(r)).when(r["d"] == 0, F.lit(0.0)).otherwise(F.when(r["d"].isNotNull(), F.lit(float("inf")))))
 
 
 def logistic_weights(n: Column, g: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from kelpwood.functions import distances as D
 from kelpwood.operators import purity as P
-from kelpwood.session import broadcast_if_small, checkpointed, number_rows
+from kelpwood.session import broadcast_if_small, checkpointed, number_rows, parallelism
 
 MOST_BROADCAST = 20_000  # exemplar arrays that are broadcast at most
 
@@ -76,8 +76,9 @@ def bootstrap(ids: DataFrame, n_trees: int, seed: int) -> DataFrame:
     return grid.join(mult, ["tree", "place"], "left").select("tree", "idx", F.coalesce("mult", F.lit(0)).alias("mult"), F.col("mult").isNull().alias("oob"))
 
 
-def _nearest(multi: bool, seed: int):
+def _nearest(seed: int, names_used: tuple[str, ...]):
     """Branch of the nearest exemplar: identity first, ties by hash, NaN last."""
+    known = {D.get(n).name: D.get(n) for n in names_used}  # travels with the function, also a user's own
 
     @F.pandas_udf(T.IntegerType())
     def branch(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -91,7 +92,7 @@ def _nearest(multi: bool, seed: int):
             rows = series.to_numpy()
             for name in set(names):
                 at = np.flatnonzero(names == name)
-                got = D.evaluate(name, [rows[own[k]] for k in at], [flat[k]["series"] for k in at], {p: table[own[at], D.PARAMS.index(p)] for p in D.get(name).params})
+                got = D.evaluate(known[name], [rows[own[k]] for k in at], [flat[k]["series"] for k in at], {p: table[own[at], D.PARAMS.index(p)] for p in known[name].params})
                 d[at] = np.where(np.isnan(got), np.inf, got)
             ids = np.array([e["idx"] for e in flat], dtype=object)
             d[ids == idx.to_numpy(object)[own]] = -1
@@ -135,7 +136,7 @@ class ForestModel:
     def route(self, rows: DataFrame) -> DataFrame:
         """(tree, node, idx): the leaf of every row in every tree."""
         spark = rows.sparkSession
-        seed, multi = self.config.seed, _multi(rows)
+        seed = self.config.seed
         inner = self.exemplars.groupBy("tree", "node").agg(F.collect_list(F.struct("branch", "idx", "series")).alias("exemplars"))
         inner = checkpointed(inner.join(self.nodes.filter("not is_leaf").select("tree", "node", "measure", "params"), ["tree", "node"]))
         inner = broadcast_if_small(inner, MOST_BROADCAST)
@@ -143,9 +144,9 @@ class ForestModel:
         active = rows.filter("idx is not null and series is not null").select(F.explode(F.array(*[F.lit(t) for t in sorted(trees)])).alias("tree"), F.lit("r").alias("node"), "idx", "series") if trees else None
         done = []
         while active is not None:
-            stepped = active.join(inner, ["tree", "node"], "left")
+            stepped = active.repartition(parallelism(spark), "tree", "idx").join(inner, ["tree", "node"], "left")
             where = F.concat_ws("|", "tree", "node")
-            branch = _nearest(multi, seed)(where, "idx", "series", "measure", "params", "exemplars")
+            branch = _nearest(seed, self.config.distances)(where, "idx", "series", "measure", "params", "exemplars")
             moved = stepped.filter("exemplars is not null").withColumn("branch", branch)
             done.append(active.join(inner.select("tree", "node"), ["tree", "node"], "left_anti").select("tree", "node", "idx"))
             moved = checkpointed(moved.select("tree", F.concat_ws(".", "node", F.col("branch").cast("string")).alias("node"), "idx", "series"))
@@ -247,8 +248,10 @@ def fit(rows: DataFrame, config: ForestConfig | None = None) -> ForestModel:
         sets = sets.withColumn("params", _params(cfg, (F.col("tree"), F.col("node"), F.col("cand")), F.col("sigma"), F.lit(longest))).drop("sigma")
         sets = checkpointed(sets)
         by_node = broadcast_if_small(sets, MOST_BROADCAST)
-        tried = state.join(train.select("idx", "series"), "idx").join(by_node, at)
-        branch = _nearest(multi, seed)(F.concat_ws("|", "tree", "node", "cand"), "idx", "series", "measure", "params", "exemplars")
+        # an explicit number of partitions: the rows are small, the work on them is not
+        spread_out = state.join(train.select("idx", "series"), "idx").repartition(parallelism(rows.sparkSession), "tree", "idx")
+        tried = spread_out.join(by_node, at)
+        branch = _nearest(seed, cfg.distances)(F.concat_ws("|", "tree", "node", "cand"), "idx", "series", "measure", "params", "exemplars")
         tried = checkpointed(tried.select(*at, "idx", "mult", "oob", "label", "cand", branch.alias("branch")))
         inside, of = tried.filter("not oob"), [*at, "cand", "branch"]
         children = P.numeric_purity(inside, of, "label", kind, F.col("mult")) if regression else P.class_purity(P.class_counts(inside, of, "label", F.col("mult")), of, kind)

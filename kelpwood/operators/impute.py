@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpwood.functions import distances as D
-from kelpwood.functions.series import total
+from kelpwood.functions.series import let, total
 from kelpwood.operators import forest as FO
 from kelpwood.operators import knn, proximity
 from kelpwood.session import checkpointed
@@ -29,39 +29,41 @@ def observed(series: Column) -> Column:
 
 
 def fill(series: Column, value: Column) -> Column:
-    return F.transform(series, lambda v: F.coalesce(v, value))
+    return let(value, lambda new: F.transform(series, lambda v: F.coalesce(v, new)))
 
 
 def mean(series: Column) -> Column:
     """Missing entries become the mean of the observed; 0 if there are none."""
-    seen = observed(series)
-    return fill(series, F.coalesce(F.when(F.size(seen) > 0, total(seen) / F.size(seen)), F.lit(0.0)))
+    return fill(series, let(observed(series), lambda seen: F.coalesce(F.when(F.size(seen) > 0, total(seen) / F.size(seen)), F.lit(0.0))))
 
 
 def median(series: Column) -> Column:
-    seen = F.array_sort(observed(series))
-    n = F.size(seen)
-    at = lambda i: F.get(seen, i.cast("int"))
-    return fill(series, F.coalesce(F.when(n > 0, (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2), F.lit(0.0)))
+    def middle(seen: Column) -> Column:
+        at = lambda i: F.get(seen, F.floor(i).cast("int"))
+        return F.coalesce(F.when(F.size(seen) > 0, (at((F.size(seen) - 1) / 2) + at(F.size(seen) / 2)) / 2), F.lit(0.0))
+
+    return fill(series, let(F.array_sort(observed(series)), middle))
 
 
 def mode(series: Column) -> Column:
     """The most frequent value, ties to the smallest; null if there is none."""
-    seen = observed(series)
-    counted = F.transform(F.array_distinct(seen), lambda v: F.struct(F.size(F.filter(seen, lambda o: o == v)).alias("n"), (-v).alias("less")))
-    return fill(series, -F.array_max(counted)["less"])
+    usual = lambda seen: -F.array_max(F.transform(F.array_distinct(seen), lambda v: F.struct(F.size(F.filter(seen, lambda o: o == v)).alias("n"), (-v).alias("less"))))["less"]
+    return fill(series, let(observed(series), usual))
 
 
 def linear(series: Column) -> Column:
     """Straight between the nearest observed entries; the ends copy the nearest; 0 if there are none."""
     places = F.filter(F.transform(series, lambda v, i: F.when(v.isNotNull(), i)), lambda i: i.isNotNull())
 
-    def at(v: Column, i: Column) -> Column:
-        lo, hi = F.array_max(F.filter(places, lambda p: p < i)), F.array_min(F.filter(places, lambda p: p > i))
-        a, b = F.get(series, lo), F.get(series, hi)
-        return F.coalesce(v, F.when(lo.isNull(), b).when(hi.isNull(), a).otherwise(a + (b - a) * (i - lo) / (hi - lo)), F.lit(0.0))
+    def between(i: Column, r: Column) -> Column:
+        a, b = F.get(series, r["lo"]), F.get(series, r["hi"])
+        return F.coalesce(F.when(r["lo"].isNull(), b).when(r["hi"].isNull(), a).otherwise(a + (b - a) * (i - r["lo"]) / (r["hi"] - r["lo"])), F.lit(0.0))
+
+    def at(v: Column, i: Column, seen: Column) -> Column:
+        near = F.struct(F.array_max(F.filter(seen, lambda p: p < i)).alias("lo"), F.array_min(F.filter(seen, lambda p: p > i)).alias("hi"))
+        return F.when(v.isNotNull(), v).otherwise(let(near, lambda r: between(i, r)))
 
-    return F.transform(series, at)
+    return let(places, lambda seen: F.transform(series, lambda v, i: at(v, i, seen)))
 
 
 def per_channel(imputer: Callable[[Column], Column]) -> Callable[[Column], Column]:

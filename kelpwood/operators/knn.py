@@ -26,6 +26,8 @@ def masked_matrix(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _compare(names: tuple[str, ...], k: int):
+    known = [D.get(n) for n in names]
+
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
@@ -39,13 +41,13 @@ def _compare(names: tuple[str, ...], k: int):
                     continue
                 mq, mx = np.stack([q[i] for i in a]), np.stack([x[j] for j in b])
                 d = np.zeros((len(a), len(b)))
-                for name in names:
-                    if name == "euclidean":
+                for measure in known:
+                    if measure.name == "euclidean":
                         d += np.sqrt(masked_matrix(mq, mx))
                         continue
                     for r in range(len(a)):
                         both = ~np.isnan(mq[r]) & ~np.isnan(mx)
-                        got = D.evaluate(name, [mq[r][o] for o in both], [mx[j][o] for j, o in enumerate(both)])
+                        got = D.evaluate(measure, [mq[r][o] for o in both], [mx[j][o] for j, o in enumerate(both)])
                         d[r] += np.where(np.isnan(got), np.inf, got)
                 total[np.ix_(a, b)] = d
             total[qi[:, None] == xi[None]] = np.nan
@@ -61,13 +63,13 @@ def _compare(names: tuple[str, ...], k: int):
 def exact_nearest(queries: DataFrame, rows: DataFrame, k: int = 5, distances: tuple[str, ...] = ("euclidean",), block_rows: int = 500, part_rows: int = 5_000) -> DataFrame:
     """(idx, neighbour, distance, place): per query the k nearest other rows by the sum of the masked
     distances, ties to the smaller idx. Series of other lengths are infinitely far."""
-    own = lambda df: df.filter("idx is not null and series is not null").select(F.col("idx").cast("bigint").alias("idx"), "series")
+    own = lambda df: df.filter("idx is not null and series is not null").select(F.col("idx").cast("bigint").alias("idx"), F.col("series").alias("series"))
     queries, rows = own(queries), own(rows)
     blocks, parts = max(1, math.ceil(queries.count() / block_rows)), max(1, math.ceil(rows.count() / part_rows))
     dealt = lambda n: F.pmod(F.xxhash64("idx"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.withColumn("block", dealt(blocks)).withColumn("part", every(parts).cast("bigint"))
-    x = rows.withColumn("part", dealt(parts)).withColumn("block", every(blocks).cast("bigint"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    q = queries.withColumn("block", dealt(blocks)).withColumn("part", every(parts))
+    x = rows.withColumn("part", dealt(parts)).withColumn("block", every(blocks))
     near = q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInPandas(_compare(distances, k), "idx bigint, neighbour bigint, distance double")
     best = near.groupBy("idx").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("best"))  # parts * k
     return best.select("idx", F.posexplode("best").alias("at", "b")).select("idx", F.col("b.neighbour").alias("neighbour"), F.col("b.distance").alias("distance"), (F.col("at") + 1).alias("place"))

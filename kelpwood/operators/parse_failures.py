@@ -11,7 +11,7 @@ lines that remain are parsed one by one by a strict reader, which names the firs
 
 Defined cases: a null line is read as an empty one; a header line (``has_header`` and line_no 1) is
 neither valid nor failing and is dropped; settings given twice for a file count once; extra columns
-of the input are kept unless they carry the name of an output column.
+of the input are kept unless they carry the name of an output column or begin with two underscores.
 """
 
 from __future__ import annotations
@@ -246,7 +246,7 @@ def parse_lines(lines: DataFrame, context: DataFrame) -> DataFrame:
     settings = context.dropDuplicates(["file_id"]).select(F.col("file_id").alias("__key"), F.struct(*[c for c in SETTINGS]).alias("__settings"))
     joined = lines.join(settings, lines["file_id"] == F.col("__key"), "left")
     header = F.coalesce(F.col("__settings.has_header") & (F.col("line_no") == 1), F.lit(False))
-    kept = [c for c in lines.columns if c not in ("reason", "label", "series", "tokens", "raw_line", "__key", "__settings")]
+    kept = [c for c in lines.columns if c not in ("reason", "label", "series", "tokens", "raw_line") and not c.startswith("__")]
     ready = joined.filter(~header).select(*kept, F.col("file_id").alias("__file"), F.col("raw_line").alias("__line"), "__settings")
     schema = ", ".join([*(f"`{c}` {ready.schema[c].dataType.simpleString()}" for c in kept), OUTPUT])
     return ready.mapInArrow(_parse_batches, schema)
