@@ -78,13 +78,13 @@ def gradients_histogram_2d(x: Column) -> Column:
 
 
 def mean(x: Column) -> Column:
-    return total(x) / F.size(x)
+    return F.try_divide(total(x), F.size(x))
 
 
 def z_normalised(x: Column) -> Column:
     """Mean 0 and population deviation 1; a constant series becomes 0."""
     centred = let(mean(x), lambda m: F.transform(x, lambda v: v - m))
-    return let(centred, lambda c: let(F.sqrt(total(F.transform(c, lambda v: v * v)) / F.size(c)), lambda sd: F.transform(c, lambda v: F.when(sd > 0, v / sd).otherwise(v))))
+    return let(centred, lambda c: let(F.sqrt(F.try_divide(total(F.transform(c, lambda v: v * v)), F.size(c))), lambda sd: F.transform(c, lambda v: F.when(sd > 0, v / sd).otherwise(v))))
 
 
 def complexity(x: Column) -> Column:

@@ -154,7 +154,7 @@ def hot_deck(records: DataFrame, context: DataFrame, k: int = 5, block_rows: int
     flat = base.select("file_id", "norm", F.posexplode("series").alias("channel", "values")).select("file_id", "norm", "channel", F.aggregate(F.filter("values", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x).alias("s"), F.size(F.filter("values", lambda x: x.isNotNull())).alias("n"))
     by_label = flat.groupBy("file_id", "norm", "channel").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     label_mean = by_label.filter("n > 0").groupBy(F.col("file_id").alias("lf"), F.col("norm").alias("ln")).agg(F.map_from_entries(F.collect_list(F.struct("channel", F.col("s") / F.col("n")))).alias("label_mean"))
-    file_mean = by_label.groupBy("file_id", "channel").agg((F.sum("s") / F.sum("n")).alias("m")).filter("m is not null").groupBy(F.col("file_id").alias("ff")).agg(F.map_from_entries(F.collect_list(F.struct("channel", "m"))).alias("file_mean"))
+    file_mean = by_label.groupBy("file_id", "channel").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m")).filter("m is not null").groupBy(F.col("file_id").alias("ff")).agg(F.map_from_entries(F.collect_list(F.struct("channel", "m"))).alias("file_mean"))
     usual = base.filter("norm is not null").groupBy("file_id", "label").count().groupBy(F.col("file_id").alias("uf")).agg(F.max_by("label", F.struct("count", "label")).alias("usual"))
     whole = base.join(deck, "idx", "left").join(label_mean, F.col("file_id").eqNullSafe(F.col("lf")) & F.col("norm").eqNullSafe(F.col("ln")), "left").join(file_mean, F.col("file_id").eqNullSafe(F.col("ff")), "left").join(usual, F.col("file_id").eqNullSafe(F.col("uf")), "left")
 

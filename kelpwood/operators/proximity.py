@@ -56,6 +56,7 @@ def symmetric(prox: DataFrame) -> DataFrame:
 def outlier_scores(prox: DataFrame, labels: DataFrame) -> DataFrame:
     """(idx, label, raw, score): raw is n over the sum of squared proximities to rows of the own class
     (0 counts as 1e-6); score is its distance from the class median over the mean such distance."""
+    labels = labels.filter("idx is not null")
     known = labels.filter("label is not null").select("idx", "label")
     n = F.broadcast(labels.agg(F.count("*").alias("n")))
     own = prox.join(known.select(F.col("idx").alias("i"), "label"), "i").join(known.select(F.col("idx").alias("j"), F.col("label").alias("other")), "j").filter("label = other")

@@ -49,7 +49,7 @@ def pooled_deviation(rows: DataFrame, keys: list[str], series: str = "series") -
     points = F.aggregate(series, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["q"] + v * v).alias("q")))
     each = rows.select(*keys, points.alias("a"), F.size(series).alias("n"))
     out = each.groupBy(*keys).agg(F.sum("a.s").alias("s"), F.sum("a.q").alias("q"), F.sum("n").alias("n"), F.max("n").alias("longest"))
-    return out.select(*keys, F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0))).alias("sigma"), "longest")
+    return out.select(*keys, F.sqrt(F.greatest(F.try_divide("q", "n") - F.pow(F.try_divide("s", "n"), 2), F.lit(0.0))).alias("sigma"), "longest")
 
 
 def accuracy(predicted: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -63,4 +63,4 @@ def r_squared(predicted: DataFrame, label: str = "label", prediction: str = "pre
     rows = predicted.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull())
     mean = F.broadcast(rows.agg(F.avg(label).alias("__m")))
     gap = F.col(label) - F.col(prediction)
-    return rows.crossJoin(mean).agg((1 - F.sum(gap * gap) / F.sum(F.pow(F.col(label) - F.col("__m"), 2))).alias("r2"), F.avg(F.abs(gap)).alias("mae"), F.count("*").alias("n"))
+    return rows.crossJoin(mean).agg((1 - F.try_divide(F.sum(gap * gap), F.sum(F.pow(F.col(label) - F.col("__m"), 2)))).alias("r2"), F.avg(F.abs(gap)).alias("mae"), F.count("*").alias("n"))
