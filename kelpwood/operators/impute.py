@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kelpwood.functions import distances as D
 from kelpwood.functions.series import let, total
@@ -18,6 +19,8 @@ from kelpwood.operators import forest as FO
 from kelpwood.operators import knn, proximity
 from kelpwood.session import checkpointed
 
+STRIDE = 1 << 24  # cell number = channel * STRIDE + position
+
 
 def with_nulls(series: Column) -> Column:
     """NaN entries as null."""
@@ -70,57 +73,93 @@ def per_channel(imputer: Callable[[Column], Column]) -> Callable[[Column], Colum
     return lambda series: F.transform(series, imputer)
 
 
+def two_dimensional(rows: DataFrame) -> bool:
+    return isinstance(rows.schema["series"].dataType.elementType, T.ArrayType)
+
+
+def entries(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep.., channel, pos, v): one row an entry; one-dimensional series are channel 0."""
+    return channels(rows, *keep).select(*keep, "channel", F.posexplode("x").alias("pos", "v"))
+
+
+def channels(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep.., channel, x): one row a channel."""
+    if two_dimensional(rows):
+        return rows.select(*keep, F.posexplode("series").alias("channel", "x"))
+    return rows.select(*keep, F.lit(0).alias("channel"), F.col("series").alias("x"))
+
+
+def cell(channel: Column, pos: Column) -> Column:
+    return channel.cast("bigint") * STRIDE + pos
+
+
+def _put(rows: DataFrame, new: Callable[[Column, Column, Column], Column]) -> Column:
+    """The series with new(cell, entry, position) for each entry."""
+    if two_dimensional(rows):
+        return F.transform("series", lambda x, c: F.transform(x, lambda v, i: new(cell(c, i), v, i)))
+    return F.transform("series", lambda v, i: new(cell(F.lit(0), i), v, i))
+
+
 def global_fill(rows: DataFrame, kind: str) -> DataFrame:
-    """rows with missing entries filled by the mean, median or mode of their position over all rows
-    (mode ties to the smallest); 0 where none is observed."""
-    cells = rows.select(F.posexplode("series").alias("pos", "v")).filter("v is not null")
+    """rows with missing entries filled by the mean, median or mode of their channel and position over all
+    rows (mode ties to the smallest); 0 where none is observed."""
+    at = ["channel", "pos"]
+    cells = entries(rows).filter("v is not null")
     if kind == "mode":
-        values = cells.groupBy("pos", "v").agg(F.count("*").alias("n")).groupBy("pos").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("value"))
+        values = cells.groupBy(*at, "v").agg(F.count("*").alias("n")).groupBy(*at).agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("value"))
     else:
-        values = cells.groupBy("pos").agg({"mean": F.avg("v"), "median": F.expr("percentile(v, 0.5)")}[kind].alias("value"))
-    table = values.agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("__by"))  # one entry a position
-    return rows.crossJoin(F.broadcast(table)).withColumn("series", F.transform("series", lambda v, i: F.coalesce(v, F.element_at("__by", i), F.lit(0.0)))).drop("__by")
+        values = cells.groupBy(*at).agg({"mean": F.avg("v"), "median": F.expr("percentile(v, 0.5)")}[kind].alias("value"))
+    table = values.agg(F.map_from_entries(F.collect_list(F.struct(cell(F.col("channel"), F.col("pos")).alias("cell"), "value"))).alias("__by"))  # one entry a position
+    return rows.crossJoin(F.broadcast(table)).withColumn("series", _put(rows, lambda k, v, _: F.coalesce(v, F.element_at("__by", k), F.lit(0.0)))).drop("__by")
 
 
 def missing_of(rows: DataFrame) -> DataFrame:
-    """(idx, pos) of the missing entries, to be kept from before any filling."""
-    return rows.select("idx", F.posexplode("series").alias("pos", "v")).filter("v is null").select("idx", "pos")
+    """(idx, channel, pos) of the missing entries, to be kept from before any filling."""
+    return entries(rows, "idx").filter("v is null").select("idx", "channel", "pos")
 
 
 def put(rows: DataFrame, values: DataFrame) -> DataFrame:
-    """rows (idx, series, ..) with the values (idx, pos, value) put in."""
-    new = values.filter("value is not null").groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("__new"))
-    return rows.join(new, "idx", "left").withColumn("series", F.transform("series", lambda v, i: F.coalesce(F.element_at("__new", i), v))).drop("__new")
+    """rows (idx, series, ..) with the values (idx, channel, pos, value) put in."""
+    new = values.filter("value is not null").groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct(cell(F.col("channel"), F.col("pos")).alias("cell"), "value"))).alias("__new"))
+    return rows.join(new, "idx", "left").withColumn("series", _put(rows, lambda k, v, _: F.coalesce(F.element_at("__new", k), v))).drop("__new")
 
 
 def knn_fill(rows: DataFrame, k: int = 5, distances: tuple[str, ...] = ("euclidean",)) -> DataFrame:
-    """Missing entries become the mean of the k nearest rows that observe them; 0 if none does."""
+    """Missing entries become the mean of the k nearest rows that observe them; 0 if none does. The
+    channels of multivariate series are compared one after the other as one long series."""
+    two = two_dimensional(rows)
     gaps = missing_of(rows)
-    lacking = rows.join(gaps.select("idx").distinct(), "idx", "left_semi")
-    near = knn.exact_nearest(lacking.select("idx", "series"), rows.select("idx", "series"), k, distances).filter("distance < double('infinity')")
+    flat = rows.select("idx", (F.flatten("series") if two else F.col("series")).alias("series"))
+    near = knn.exact_nearest(flat.join(gaps.select("idx").distinct(), "idx", "left_semi"), flat, k, distances).filter("distance < double('infinity')")
     seen = near.select("idx", "neighbour").join(rows.select(F.col("idx").alias("neighbour"), F.col("series").alias("theirs")), "neighbour")
-    values = gaps.join(seen, "idx", "left").groupBy("idx", "pos").agg(F.coalesce(F.avg(F.get("theirs", F.col("pos"))), F.lit(0.0)).alias("value"))
+    theirs = F.get(F.get("theirs", F.col("channel")), F.col("pos")) if two else F.get("theirs", F.col("pos"))
+    values = gaps.join(seen, "idx", "left").groupBy("idx", "channel", "pos").agg(F.coalesce(F.avg(theirs), F.lit(0.0)).alias("value"))
     return put(rows, values)
 
 
-def proximity_update(filled: DataFrame, original: DataFrame, prox: DataFrame) -> DataFrame:
-    """Each entry missing in ``original`` becomes the proximity-weighted mean of the rows that observe its
-    position; it stays as filled where none does."""
+def _weighted(met: DataFrame) -> DataFrame:
+    return met.groupBy("idx", "channel", "pos").agg((F.sum(F.col("prox") * F.col("v")) / F.sum("prox")).alias("value"))
+
+
+def proximity_update(filled: DataFrame, original: DataFrame, prox: DataFrame, donors: DataFrame | None = None) -> DataFrame:
+    """Each entry missing in ``original`` becomes the proximity-weighted mean of the donors (the rows of
+    ``original`` themselves by default) that observe its position; it stays as filled where none does."""
     gaps = missing_of(original).join(prox.select(F.col("i").alias("idx"), "j", "prox"), "idx")
-    seen = original.select(F.col("idx").alias("j"), F.posexplode("series").alias("pos", "v")).filter("v is not null")
-    values = gaps.join(seen, ["j", "pos"]).groupBy("idx", "pos").agg((F.sum(F.col("prox") * F.col("v")) / F.sum("prox")).alias("value"))
-    return put(filled, values)
+    seen = entries(original if donors is None else donors, "idx").filter("v is not null").withColumnRenamed("idx", "j")
+    return put(filled, _weighted(gaps.join(seen, ["j", "channel", "pos"])))
 
 
-def aligned_update(filled: DataFrame, original: DataFrame, prox: DataFrame) -> DataFrame:
-    """As proximity_update, but a neighbour's values come from where its DTW path with the row passes."""
+def aligned_update(filled: DataFrame, original: DataFrame, prox: DataFrame, donors: DataFrame | None = None, filled_donors: DataFrame | None = None) -> DataFrame:
+    """As proximity_update, but a neighbour's values come from where its DTW path with the row passes,
+    channel by channel."""
     lacking = missing_of(original)
-    pairs = prox.filter("i <> j").join(lacking.select(F.col("idx").alias("i")).distinct(), "i", "left_semi")
-    own, other = filled.select(F.col("idx").alias("i"), F.col("series").alias("a")), filled.select(F.col("idx").alias("j"), F.col("series").alias("b"))
-    path = pairs.join(own, "i").join(other, "j").select("i", "j", "prox", F.explode(D.alignment_path("a", "b")).alias("at")).select(F.col("i").alias("idx"), "j", "prox", F.col("at.i").alias("pos"), F.col("at.j").alias("to"))
-    seen = original.select(F.col("idx").alias("j"), F.posexplode("series").alias("to", "v")).filter("v is not null")
-    values = path.join(lacking, ["idx", "pos"]).join(seen, ["j", "to"]).groupBy("idx", "pos").agg((F.sum(F.col("prox") * F.col("v")) / F.sum("prox")).alias("value"))
-    return put(filled, values)
+    donors, filled_donors = original if donors is None else donors, filled if filled_donors is None else filled_donors
+    pairs = prox.filter("i <> j").join(lacking.select(F.col("idx").alias("i"), "channel").distinct(), "i")
+    own = channels(filled, "idx").select(F.col("idx").alias("i"), "channel", F.col("x").alias("a"))
+    other = channels(filled_donors, "idx").select(F.col("idx").alias("j"), "channel", F.col("x").alias("b"))
+    path = pairs.join(own, ["i", "channel"]).join(other, ["j", "channel"]).select("i", "j", "channel", "prox", F.explode(D.alignment_path("a", "b")).alias("at")).select(F.col("i").alias("idx"), "j", "channel", "prox", F.col("at.i").alias("pos"), F.col("at.j").alias("to"))
+    seen = entries(donors, "idx").filter("v is not null").select(F.col("idx").alias("j"), "channel", F.col("pos").alias("to"), "v")
+    return put(filled, _weighted(path.join(lacking, ["idx", "channel", "pos"]).join(seen, ["j", "channel", "to"])))
 
 
 def weighted_mode(missing: DataFrame, known: DataFrame, prox: DataFrame) -> DataFrame:
@@ -131,7 +170,7 @@ def weighted_mode(missing: DataFrame, known: DataFrame, prox: DataFrame) -> Data
 
 
 IMPUTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    **{n: (lambda rows, f=f: rows.withColumn("series", f(F.col("series")))) for n, f in {"mean": mean, "median": median, "mode": mode, "linear": linear}.items()},
+    **{n: (lambda rows, f=f: rows.withColumn("series", (per_channel(f) if two_dimensional(rows) else f)(F.col("series")))) for n, f in {"mean": mean, "median": median, "mode": mode, "linear": linear}.items()},
     **{f"global_{k}": (lambda rows, k=k: global_fill(rows, k)) for k in ("mean", "median", "mode")},
     "knn": knn_fill,
 }
@@ -140,22 +179,29 @@ IMPUTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 def forest_impute(train: DataFrame, config: FO.ForestConfig, test: DataFrame | None = None) -> tuple[FO.ForestModel, DataFrame, DataFrame | None]:
     """Fill (idx, series, label) by the initial imputer, refine it ``impute_iterations`` times by the
     proximities of a forest trained on it, and train the final forest: (model, train, test)."""
-    start = IMPUTERS[config.initial_imputer]
-    update = aligned_update if config.alignment == "dtw" else proximity_update
+    start = IMPUTERS[config.initial_imputer] if config.initial_imputer != "knn" else (lambda rows: knn_fill(rows, 5, config.knn_distances))
     filled, other = checkpointed(start(train)), None if test is None else checkpointed(start(test))
     for _ in range(config.impute_iterations):
         model = FO.fit(filled, config)
-        new = checkpointed(update(filled, train, proximity.train_proximities(model)))
-        if test is not None:
-            prox = proximity.test_proximities(model, other)
-            gaps = missing_of(test).join(prox.select(F.col("i").alias("idx"), "j", "prox"), "idx")
-            seen = train.select(F.col("idx").alias("j"), F.posexplode("series").alias("pos", "v")).filter("v is not null")
-            values = gaps.join(seen, ["j", "pos"]).groupBy("idx", "pos").agg((F.sum(F.col("prox") * F.col("v")) / F.sum("prox")).alias("value"))
-            other = checkpointed(put(other, values))
+        new, other = refine(model, filled, train, config), None if test is None else refine_others(model, other, test, train, filled, config)
         filled = new
     return FO.fit(filled, config), filled, other
 
 
+def refine(model: FO.ForestModel, filled: DataFrame, original: DataFrame, config: FO.ForestConfig) -> DataFrame:
+    """One update of training rows by the forest's own proximities."""
+    update = aligned_update if config.alignment == "dtw" else proximity_update
+    return checkpointed(update(filled, original, proximity.train_proximities(model)))
+
+
+def refine_others(model: FO.ForestModel, filled: DataFrame, original: DataFrame, train: DataFrame, filled_train: DataFrame, config: FO.ForestConfig) -> DataFrame:
+    """One update of other rows by their proximities to the training rows."""
+    prox = proximity.test_proximities(model, filled)
+    if config.alignment == "dtw":
+        return checkpointed(aligned_update(filled, original, prox, train, filled_train))
+    return checkpointed(proximity_update(filled, original, prox, train))
+
+
 def recode(train: DataFrame, label: str = "label") -> DataFrame:
     """(label, code): codes 0, 1, .. in the order in which labels are first seen by idx. Join others to it
     from the left: an unseen label has no code."""
