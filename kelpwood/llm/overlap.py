@@ -67,14 +67,18 @@ def _filled(m: np.ndarray) -> np.ndarray:
     return m
 
 
-def fingerprints(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (rows, channels) of the channels and (rows, 2) of the whole windows (rows, channels, length)."""
+def fingerprints(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes (rows, channels) of the channels and (rows, 2) of the whole windows (rows, channels, length),
+    and which channels' codes count: those that vary, or all where none does. The code of a constant
+    channel would bring all records together that have one."""
     centred = stack - stack.mean(2, keepdims=True)
     spread = centred.std(2, keepdims=True)
     unit = centred / np.where(spread > 1e-12, spread, 1)
     single = np.packbits(unit @ _directions(stack.shape[2], BITS) > 0, axis=2).view(">i8")[:, :, 0]
     flat = unit.reshape(len(stack), -1)
-    return single.astype(np.int64), np.packbits(flat @ _directions(flat.shape[1], 128) > 0, axis=1).view(">i8").astype(np.int64)
+    varied = spread[:, :, 0] > 1e-12
+    whole = np.packbits(flat @ _directions(flat.shape[1], 128) > 0, axis=1).view(">i8").astype(np.int64)
+    return single.astype(np.int64), whole, varied | ~varied.any(1, keepdims=True)
 
 
 def _codes(max_shift: int, cover: float):
@@ -93,15 +97,14 @@ def _codes(max_shift: int, cover: float):
                 stack, reps = np.stack([m for _, m in rows]), pa.array([r for r, _ in rows], pa.int64())
                 for w in window_lengths(length):
                     for start in range(min(max_shift, length - w) + 1):
-                        code, whole = fingerprints(stack[:, :, start : start + w])
+                        code, whole, counts = fingerprints(stack[:, :, start : start + w])
                         # kind 0: train starts at 0..shift, held-out at 0; kind 1: train at 0, held-out at 1..shift
                         kinds = ([0, 1] if start == 0 else [0]) if train else ([0] if start == 0 else [1])
-                        n = len(rows)
-                        n = len(rows)
                         for kind in kinds:
                             for c in range(channels):
-                                same = lambda v: pa.array(np.full(n, v, np.int32))  # noqa: B023, E731
-                                yield pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int32()), same(channels << 16 | c), same(kind), same(w), pa.array(code[:, c]), pa.array(whole[:, 0]), pa.array(whole[:, 1]), reps], names=["file_id", "channel", "kind", "width", "code", "hi", "lo", "rep"])
+                                own = np.flatnonzero(counts[:, c])
+                                same = lambda v: pa.array(np.full(len(own), v, np.int32))  # noqa: B023, E731
+                                yield pa.RecordBatch.from_arrays([pa.array([file] * len(own), pa.int32()), same(channels << 16 | c), same(kind), same(w), pa.array(code[own, c]), pa.array(whole[own, 0]), pa.array(whole[own, 1]), reps.take(pa.array(own))], names=["file_id", "channel", "kind", "width", "code", "hi", "lo", "rep"])
 
     return run
 
@@ -158,9 +161,10 @@ def cross_split_pairs(records: DataFrame, max_shift: int = 3, cover: float = 0.8
     """
     split = F.lower(F.trim("split"))
     sided = records.withColumn("split", split).filter("split in ('train', 'validation', 'test') and size(series) > 0").withColumn("train", F.col("split") == "train")
-    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("file_id").cast("string"), F.lit("")), F.col("train").cast("string"), F.to_json(F.struct("series"), {"ignoreNullFields": "false"}))), 1, 15), 16, 10).cast("bigint")
-    keyed = sided.select("idx", "file_id", "split", "source", "train", "series", digest.alias("rep"))
-    reps = keyed.groupBy("rep").agg(F.any_value("file_id").alias("file_id"), F.any_value("train").alias("train"), F.any_value("series").alias("series"))
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("file_id").cast("string"), F.lit("")), F.col("train").cast("string"), F.to_json(F.struct("series"), {"ignoreNullFields": "false"})))
+    keyed = sided.select("idx", "file_id", "split", "source", "train", "series", digest.alias("digest"))
+    # a representative is named by its smallest idx; its members are found again by the whole digest
+    reps = keyed.groupBy("digest").agg(F.min("idx").alias("rep"), F.any_value("file_id").alias("file_id"), F.any_value("train").alias("train"), F.any_value("series").alias("series"))
     coded = "file_id int, channel int, kind int, width int, code bigint, hi bigint, lo bigint, rep bigint"
     width = BITS // SEGMENTS
     blocks = [F.shiftrightunsigned("code", s * width).bitwiseAND((1 << width) - 1).cast("int") for s in range(SEGMENTS)]
@@ -177,8 +181,10 @@ def cross_split_pairs(records: DataFrame, max_shift: int = 3, cover: float = 0.8
     series = lambda name: reps.select(F.col("rep").alias(f"{name}_rep"), F.col("series").alias(f"{name}_series"))
     both = met.join(series("train"), "train_rep").join(series("held"), "held_rep")
     found = both.mapInPandas(_verify(max_shift, cover, most), "train_rep bigint, held_rep bigint, difference double, shift int")
-    members = lambda name: keyed.select(F.col("rep").alias(f"{name}_rep"), F.col("idx").alias(f"{name}_idx"), F.col("source").alias(f"{name}_source"), *([F.col("split")] if name == "held" else []))
-    return found.join(members("train"), "train_rep").join(members("held"), "held_rep").select("train_idx", "held_idx", "split", "train_source", "held_source", "difference", "shift")
+    named = lambda name: reps.select(F.col("rep").alias(f"{name}_rep"), F.col("digest").alias(f"{name}_digest"))
+    members = lambda name: keyed.select(F.col("digest").alias(f"{name}_digest"), F.col("idx").alias(f"{name}_idx"), F.col("source").alias(f"{name}_source"), *([F.col("split")] if name == "held" else []))
+    digests = found.join(named("train"), "train_rep").join(named("held"), "held_rep")
+    return digests.join(members("train"), "train_digest").join(members("held"), "held_digest").select("train_idx", "held_idx", "split", "train_source", "held_source", "difference", "shift")
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from kelpwood.llm.overlap import cross_split_pairs, differences, overlap_report, window_lengths
+from kelpwood.llm.overlap import cross_split_pairs, differences, fingerprints, overlap_report, window_lengths
 
 SCHEMA = "idx long, file_id int, split string, source string, series array<array<double>>, rep string, train string"
 
@@ -63,3 +63,9 @@ def test_all_true_pairs(spark):
     assert got == want and len(want) >= 43
     assert sum(r["n_pairs"] for r in overlap_report(found).collect()) == len(want)
     assert cross_split_pairs(frame.limit(0)).count() == 0
+
+
+def test_constant_channels_do_not_gather():
+    flat = np.stack([np.zeros((2, 8)), np.stack([np.zeros(8), np.arange(8.0)])])
+    counts = fingerprints(flat)[2]
+    assert counts.tolist() == [[True, True], [False, True]]
