@@ -141,7 +141,41 @@ r as (select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_repeated, 0) as
       from (select doc_id, row_number() over () as row from s) left join n using (row))
 """
 
+_OVERLAPS = """
+with c as (
+  select file_id, list_filter(list_transform(missing_strings, lambda x: try_cast(trim(x) as double)), lambda x: x is not null and not isnan(x)) as nums from app_context
+),
+o as (
+  select r.idx, r.file_id, lower(trim(split)) as split, source, series, missing_indices, nums, len(series) as channels, len(series) * list_max(list_transform(series, lambda x: len(x))) as size
+  from (select * from series_multi qualify row_number() over (partition by idx order by arrived_at) = 1) r left join c using (file_id)
+  where len(series) > 0
+),
+ch as (select idx, nums, unnest(series) as v, unnest(range(len(series))) as ch, missing_indices from o),
+cell as (select idx, ch, nums, missing_indices[ch + 1] as listed, unnest(v) as x, unnest(range(len(v))) as pos from ch),
+e as (
+  select idx, ch, pos, x from cell
+  where x is not null and not isnan(x) and not coalesce(list_contains(nums, x), false) and not coalesce(list_contains(listed, pos::int), false)
+),
+pairs as (
+  select t.idx as t, h.idx as h, h.split, h.source as held_source, t.source as train_source, greatest(t.size, h.size) as size
+  from o t join o h on t.file_id = h.file_id and t.channels = h.channels and t.split = 'train' and h.split in ('validation', 'test')
+),
+m as (
+  select p.t, p.h, s.shift, a.ch, count(*) as n, stddev_pop(a.x) as sa, stddev_pop(b.x) as sb, corr(a.x, b.x) as r
+  from pairs p cross join (select unnest(range(-3, 4)) as shift) s join e a on a.idx = p.t join e b on b.idx = p.h and b.ch = a.ch and b.pos + s.shift = a.pos
+  group by all
+),
+d as (
+  select t, h, shift, sum(n) as n,
+    sqrt(greatest(sum(n * case when sa > 1e-12 and sb > 1e-12 then 2 - 2 * r when sa > 1e-12 or sb > 1e-12 then 1 else 0 end), 0) / sum(n)) as rms
+  from m group by all
+),
+f as (select distinct p.* from d join pairs p using (t, h) where d.n >= 0.8 * p.size - 1e-9 and rms <= 0.15)
+"""
+
 SQL = {
+    "p4_found": f"{_OVERLAPS} select least(t, h) as idx_a, greatest(t, h) as idx_b from f",
+    "p4_report": f"{_OVERLAPS} select split, held_source, train_source, count(*) as n_pairs, count(distinct h) as n_held, count(distinct t) as n_train from f group by all",
     "p8_found": f"{_REPEATED} select doc_id from r where n_words > 0 and n_repeated >= 0.4 * n_words",
     "p8_shares": f"{_REPEATED} select doc_id, n_words, n_repeated, round(n_repeated / greatest(n_words, 1), 6) as share from r",
     "p3_found": f"{_NEAR} select distinct least(idx, neighbour) as idx_a, greatest(idx, neighbour) as idx_b from n where distance <= 1.2",
