@@ -173,7 +173,39 @@ d as (
 f as (select distinct p.* from d join pairs p using (t, h) where d.n >= 0.8 * p.size - 1e-9 and rms <= 0.15)
 """
 
+
+
+def _sql_skeleton(text: str) -> str:
+    """The spelling of leakage.skeletons in SQL."""
+    out = text
+    steps = [(f"â[{leakage._CONTINUED}]{{2}}", " "), (f"[ÂÃÅâ][{leakage._CONTINUED}]+", "")]
+    for pattern, new in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    out = f"lower({out})"
+    for pattern, new in ((r"([\pL\pN])\?+([\pL\pN])", r"\1\2"), (r"([\pL\pN])\?+([\pL\pN])", r"\1\2"), ("[�\\pM]", ""), (r"[^\x00-\x7f\pL\pN]", " "), (r"[^\x00-\x7f]", "")):
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+    for shape, common in leakage.LOOKALIKES:
+        out = f"replace({out}, '{shape}', '{common}')"
+    return out
+
+
+_LEAKS = f"""
+with d as (select doc_id, list_filter(string_split_regex({_sql_skeleton(_sql_speech("text"))}, '[^a-z0-9]+'), lambda w: w <> '') as ws from documents),
+dw as (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as k from d),
+i0 as (select item_id, list_filter(string_split_regex(passage, '[^\\pL\\pN]+'), lambda w: w <> '') as ws from eval_items),
+i1 as (select item_id, len(ws) as n, unnest(ws) as w, unnest(range(len(ws))) as spot from i0),
+i2 as (select item_id, n, spot, replace({_sql_skeleton("w")}, ' ', '') as w from i1),
+iw as (
+  select *, row_number() over o - 1 as k, coalesce(lag(spot) over o + 1, 0) as first, coalesce(lead(spot) over o - 1, n - 1) as last
+  from i2 where w <> '' window o as (partition by item_id order by spot)
+),
+m as (select doc_id, item_id, dw.k - iw.k as shift, iw.k, first, last, n from dw join iw using (w)),
+r as (select *, k - row_number() over (partition by doc_id, item_id, shift order by k) as run from m),
+f as (select doc_id, item_id, max(last) - min(first) + 1 as words, any_value(n) as n from r group by doc_id, item_id, shift, run)
+"""
+
 SQL = {
+    "p7_found": f"{_LEAKS} select distinct doc_id, item_id from f where 2 * words >= n",
     "p4_found": f"{_OVERLAPS} select least(t, h) as idx_a, greatest(t, h) as idx_b from f",
     "p4_report": f"{_OVERLAPS} select split, held_source, train_source, count(*) as n_pairs, count(distinct h) as n_held, count(distinct t) as n_train from f group by all",
     "p8_found": f"{_REPEATED} select doc_id from r where n_words > 0 and n_repeated >= 0.4 * n_words",
