@@ -72,9 +72,21 @@ def gradients_histogram(x: Column, bins: Column | None = None) -> Column:
     return let(both, lambda r: F.when((F.size(r["steps"]) == 0) | (r["k"] <= 0), none).otherwise(counts(r["steps"], r["k"])))
 
 
-def gradients_histogram_2d(x: Column) -> Column:
-    """One histogram of the gradients of all channels, one after the other."""
-    return let(F.flatten(difference_2d(x)), lambda g: gradients_histogram(g, F.floor(F.sqrt(F.size(F.get(x, F.lit(0))))).cast("int")))
+def gradients_histogram_2d(x: Column, strategy: str = "concatenate") -> Column:
+    """Histogram of the gradients of all channels: ``concatenate`` counts the differences of all channels
+    as one series, ``per_channel`` sets the channels' histograms side by side, ``average`` counts the mean
+    difference of the channels (of one length). As many bins as the root of the first channel's length."""
+    bins = F.floor(F.sqrt(F.size(F.get(x, F.lit(0))))).cast("int")
+    if strategy == "concatenate":
+        return let(F.flatten(difference_2d(x)), lambda g: gradients_histogram(g, bins))
+    if strategy == "per_channel":
+        return F.flatten(F.transform(difference_2d(x), lambda g: gradients_histogram(g, bins)))
+    if strategy != "average":
+        raise ValueError(f"unknown strategy {strategy!r}")
+    steps = difference_2d(x)
+    places = F.sequence(F.lit(0), F.greatest(F.size(F.get(steps, F.lit(0))), F.lit(1)) - 1)
+    mean_step = let(steps, lambda all_: F.transform(places, lambda i: total(F.transform(all_, lambda c: F.get(c, i))) / F.size(all_)))
+    return let(mean_step, lambda g: gradients_histogram(g, bins))
 
 
 def mean(x: Column) -> Column:

@@ -137,6 +137,13 @@ def knn_fill(rows: DataFrame, k: int = 5, distances: tuple[str, ...] = ("euclide
     return put(rows, values)
 
 
+def knn_mode(missing: DataFrame, known: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """(idx, value): categorical values missing in (idx), the most frequent of the neighbours' known (idx,
+    value); ties to the smaller value. neighbours: (idx, neighbour), as exact_nearest gives them."""
+    seen = missing.select("idx").join(neighbours.select("idx", "neighbour"), "idx").join(known.select(F.col("idx").alias("neighbour"), "value"), "neighbour")
+    return seen.groupBy("idx", "value").agg(F.count("*").alias("n")).groupBy("idx").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("value"))
+
+
 def _weighted(met: DataFrame) -> DataFrame:
     return met.groupBy("idx", "channel", "pos").agg((F.sum(F.col("prox") * F.col("v")) / F.sum("prox")).alias("value"))
 

@@ -83,12 +83,42 @@ def s_gradients_histogram(spark, d):
     return _series(spark, d).filter("size(series) > 1").select("idx", S.gradients_histogram(F.col("series")).alias("y"))
 
 
-@query()
+_R2 = "r as (select idx, list_transform(series, lambda c: list_transform(c, lambda v: case when v is null or isnan(v) then 0.0::double else v end)) as s from (select * from series_multi where series is not null qualify row_number() over (partition by idx order by arrived_at) = 1))"
+_STEPS_OF = "list_transform(range(1, len({x})), lambda k: {x}[k + 1] - {x}[k])"
+_COUNTS = "list_transform(range(0, n), lambda k: len(list_filter({g}, lambda t: case when list_max({g}) = list_min({g}) then k = 0 else least(floor((t - list_min({g})) / ((list_max({g}) - list_min({g})) / n)), n - 1) = k end))::double)"
+
+
+@query(f"with {_R2}, q as (select idx, flatten(list_transform(s, lambda x: {_STEPS_OF.format(x='x')})) as f, floor(sqrt(len(s[1])))::int as n from r), g as (select idx, n, {_STEPS_OF.format(x='f')} as g from q) select idx, {_COUNTS.format(g='g')} as y from g")
 def s_gradients_histogram_2d(spark, d):
     """One histogram of the gradients of all channels."""
     return records_2d(spark, d).select("idx", S.gradients_histogram_2d(F.col("series")).alias("y"))
 
 
+@query(f"with {_R2}, c as (select idx, floor(sqrt(len(s[1])))::int as n, unnest(s) as x, unnest(range(len(s))) as ch from r), f as (select idx, n, ch, {_STEPS_OF.format(x='x')} as f from c), g as (select idx, n, ch, {_STEPS_OF.format(x='f')} as g from f), h as (select idx, ch, {_COUNTS.format(g='g')} as y from g) select idx, flatten(list(y order by ch)) as y from h group by idx")
+def s_gradients_histogram_per_channel(spark, d):
+    """The channels' histograms side by side."""
+    return records_2d(spark, d).select("idx", S.gradients_histogram_2d(F.col("series"), "per_channel").alias("y"))
+
+
+@query()
+def s_gradients_histogram_average(spark, d):
+    """Histogram of the channels' mean gradients."""
+    return records_2d(spark, d).select("idx", S.gradients_histogram_2d(F.col("series"), "average").alias("y"))
+
+
+@query("""
+with v as (select idx, label, series from series_1d where len(series) = 32 and len(list_filter(series, lambda x: x is null or isnan(x))) = 0),
+n as (select a.idx, b.label, row_number() over (partition by a.idx order by list_distance(a.series, b.series), b.idx) as place from v a join v b on a.idx <> b.idx where a.label is null qualify place <= 5),
+c as (select idx, label, count(*) as k from n where label is not null group by all)
+select idx, arg_min(label, (-k, label)) as value from c group by idx
+""")
+def i_knn_mode(spark, d):
+    """Missing labels become the most frequent of the 5 nearest series."""
+    rows = _series(spark, d).filter("size(series) = 32")
+    lacking = rows.filter("label is null")
+    return impute.knn_mode(lacking, rows.filter("label is not null").select("idx", F.col("label").alias("value")), knn.exact_nearest(lacking, rows))
+
+
 @query(f"with {_V} select idx, list_transform(x, lambda t: round((t - list_avg(x)) / sqrt(list_var_pop(x)), 6)) as y from v")
 def s_z_normalised(spark, d):
     """Mean 0 and population deviation 1."""
