@@ -185,6 +185,9 @@ def _xy(expression: str) -> str:
     return expression.replace("{a}", "x").replace("{b}", "y")
 
 
+_CX, _CY = (f"sqrt(list_sum(list_transform({_STEPS.format(x=v)}, lambda v: v * v)))" for v in ("x", "y"))
+_ZC = "list_transform({x}, lambda v: case when list_var_pop({x}) > 0 then (v - list_avg({x})) / sqrt(list_var_pop({x})) else v - list_avg({x}) end)"
+_SECOND = "list_transform(range(1, len({x}) - 1), lambda k: ({x}[k + 2] - {x}[k + 1]) - ({x}[k + 1] - {x}[k]))"
 _STEPS_X, _STEPS_Y = _STEPS.format(x="x0"), _STEPS.format(x="y0")
 SQL = {
     "d_euclidean": _one(_E2.format(a="a", b="b")),
@@ -223,6 +226,9 @@ select idx, exemplar_idx, round(coalesce(list_sum(list_transform(list_filter(ran
     "d_erp_i": _per_channel(f"sqrt({_dp(_erp_cell(30), 'x', 'y')})", "x0", "y0"),
     "d_msm_i": _per_channel(_dp(_MSM, "x", "y"), "x0", "y0"),
     "d_twe_i": _per_channel(_dp(_TWE, "x", "y"), "x0", "y0"),
+    "d_cid_i": _per_channel(f"case when len(x) = len(y) then case when least({_CX}, {_CY}) > 0 then sqrt({_E2.format(a='x', b='y')}) * greatest({_CX}, {_CY}) / least({_CX}, {_CY}) when {_E2.format(a='x', b='y')} = 0 then 0 else 'inf'::double end end", "x0", "y0"),
+    "d_sbd_i": _per_channel("case when len(x) = len(y) then 1 - list_max(list_transform(range(-(len(x)::bigint) + 1, len(x)::bigint), lambda s: coalesce(list_sum(list_transform(range(greatest(1, 1 - s), least(len(x)::bigint, len(x)::bigint - s) + 1), lambda k: x[k] * y[k + s])), 0))) end", _ZC.format(x="x0"), _ZC.format(x="y0")),
+    "d_shapehog1ddtw_i": _per_channel(f"case when len(x) = 0 or len(y) = 0 then 0 else sqrt({_dp(_dtw_cell(_SQUARE), 'x', 'y')}) end", _HOG.format(g=_SECOND.format(x="x0"), n="floor(sqrt(len(x0) - 1))::int"), _HOG.format(g=_SECOND.format(x="y0"), n="floor(sqrt(len(y0) - 1))::int")),
     "d_euclidean_i": _per_channel(f"case when len(x) = len(y) then {_E2.format(a='x', b='y')} end", "x0", "y0").replace(", 9) as d", ", 3) as d"),
     "d_manhattan_i": _per_channel("case when len(x) = len(y) then list_sum(list_transform(range(1, len(x) + 1), lambda k: abs(x[k] - y[k]))) end", "x0", "y0"),
 }
