@@ -73,7 +73,7 @@ m as (
   from q, num
 ),
 v as (
-  select *, regexp_replace(regexp_replace(t1, good, '0', 'gi'), chr(2) || '[^' || chr(3) || ']*' || chr(3), '"', 'g') as t2 from m
+  select *, regexp_replace(regexp_replace(t1, good, '\1', 'gi'), chr(2) || '[^' || chr(3) || ']*' || chr(3), '"', 'g') as t2 from m
 ),
 s as (
   select *, case when is_2d then string_split(regexp_replace(t2, a || '[ \t]*$', ''), array_separator) else [t2] end as ch from v
