@@ -2,10 +2,13 @@
 
 Records are hash-blocked on their observed mixed features (file, label, subject, time, coarse shape
 of the series). Each record takes part in several blocks, so that a feature it lacks doesn't cut it
-off. A block larger than ``block_rows`` is salted into parts of about that size: every record stays,
-each part is bounded, and one hot subject or label loads no single task. Within a part the closest
-donors of every record with missing cells are found; a missing entry becomes the weighted median of
-what the donors observe there, a missing label their weighted majority. Filled cells carry donors.
+off. The recipients of a large block are dealt into slices and its records as donors into parts, of
+sizes set by ``block_rows``; every slice is compared with every part in a group of its own and hands on
+the k closest donors of every missing cell, from which the k closest of the block are taken. Groups are
+bounded, one hot subject or label loads no single task, and the result doesn't depend on
+``block_rows``: deviations are taken over whole blocks. The work is recipients times donors of a block.
+A missing entry becomes the weighted median of what the donors observe there, a missing label their
+weighted majority. Filled cells carry donors.
 
 Defined cases: the same idx delivered more than once counts once (earliest arrival); null series or
 channels have no cells; listed positions beyond a series are ignored; where no block gives a donor,
@@ -15,14 +18,17 @@ frequent label, else 'unknown') and ``donors`` is empty; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POINTS = 12  # resampled points a channel in the feature vector
 STRIDE = 1 << 24  # cell number = channel * STRIDE + pos
-CELL = "array<struct<cell: bigint, donor: bigint, distance: double, value: double, label: string>>"
+SLICE, PART = 10, 20  # a group compares at most about SLICE * block_rows recipients with PART * block_rows donors
 
 
 def missing_numbers(tokens: Column) -> Column:
@@ -62,58 +68,106 @@ def missing_cells(series: Column) -> Column:
     return F.flatten(F.transform(F.coalesce(series, F.array().cast("array<array<double>>")), lambda ch, c: F.filter(F.transform(F.coalesce(ch, F.array().cast("array<double>")), lambda x, p: F.when(x.isNull(), c.cast("bigint") * STRIDE + p)), lambda k: k.isNotNull())))
 
 
-def _features(series: list, channels: int) -> np.ndarray:
-    out = np.zeros((channels, POINTS))
-    for c, values in enumerate(series[:channels]):
-        a = np.array([np.nan if x is None else x for x in (values if values is not None else [])], float)
-        ok = np.isfinite(a)
-        if ok.any():
-            at = np.linspace(0, len(a) - 1, POINTS)
-            out[c] = np.interp(at, np.flatnonzero(ok), a[ok])
-    return out.ravel()
+class _Series:
+    """A column of series as flat values: ``size`` and ``start`` of every (row, channel), size -1 where there is none."""
+
+    def __init__(self, column: pa.ListArray) -> None:
+        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(counts)), counts)
+        at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+        channels = column.flatten()
+        sizes = pc.fill_null(pc.list_value_length(channels), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        held = np.maximum(sizes, 0)
+        self.values = channels.flatten().to_numpy(zero_copy_only=False).astype(float)
+        self.channels = int(counts.max(initial=0))
+        self.size = np.full((len(counts), self.channels), -1, np.int64)
+        self.start = np.zeros((len(counts), self.channels), np.int64)
+        self.size[rows, at], self.start[rows, at] = sizes, np.cumsum(held) - held
+
+    def features(self) -> np.ndarray:
+        """POINTS resampled points a channel, straight over the gaps; 0 where nothing is observed."""
+        out = np.zeros((*self.size.shape, POINTS))
+        gaps = np.concatenate([[0], np.cumsum(~np.isfinite(self.values))])
+        whole = (self.size > 0) & (gaps[self.start + np.maximum(self.size, 0)] == gaps[self.start])
+        for n in np.unique(self.size[whole]):
+            at = np.linspace(0, n - 1, POINTS)
+            low = np.minimum(at.astype(int), n - 1)
+            r, c = np.nonzero(whole & (self.size == n))
+            first, then = self.values[self.start[r, c][:, None] + low], self.values[self.start[r, c][:, None] + np.minimum(low + 1, n - 1)]
+            out[r, c] = (then - first) * (at - low) + first
+        for r, c in zip(*np.nonzero((self.size > 0) & ~whole), strict=True):
+            a = self.values[self.start[r, c] : self.start[r, c] + self.size[r, c]]
+            ok = np.isfinite(a)
+            if ok.any():
+                out[r, c] = np.interp(np.linspace(0, len(a) - 1, POINTS), np.flatnonzero(ok), a[ok])
+        return out.reshape(len(out), -1) if self.channels else np.zeros((len(out), 1))
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, features)."""
+    for batch in batches:
+        x = _Series(batch["series"]).features()
+        points = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([batch["key"], points], names=["key", "features"])
 
 
 def _donors(k: int):
-    """Donors of every recipient of one part of a block."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.reset_index(drop=True)
-        series = [[] if s is None else list(s) for s in rows["series"]]
-        wants = [i for i, (cells, lab) in enumerate(zip(rows["cells"], rows["wants_label"], strict=True)) if len(cells) or lab]
-        if not wants or len(rows) < 2:
-            return pd.DataFrame({"idx": pd.Series(dtype="int64"), "found": pd.Series(dtype=object)})
-        channels = max(map(len, series))
-        x = np.stack([_features(s, channels) for s in series]) if channels else np.zeros((len(rows), 1))
-        spread = x.std(0)
+    """The k closest donors, among those of one part of a block, of every missing cell of one slice."""
+
+    def run(rows: pa.Table, spreads: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        column = lambda name: rows[name].combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(name).type)
+        plain = lambda name, null: pc.fill_null(column(name), null).to_numpy(zero_copy_only=False)
+        asks, gives = np.flatnonzero(plain("asks", False)), np.flatnonzero(plain("gives", False))
+        series, idx = _Series(column("series")), plain("idx", 0)
+        x = series.features()
+        spread = x.std(0) if rows.num_rows else np.zeros(x.shape[1])
+        if spreads.num_rows:  # of the whole block, of which these rows are a part
+            spread = np.zeros(x.shape[1])
+            known = spreads["spread"][0].as_py()[: len(spread)]
+            spread[: len(known)] = known
         x = x / np.where(spread > 0, spread, 1)
-        labels, subjects, idx = rows["norm"].to_numpy(object), rows["subject_id"].to_numpy(), rows["idx"].to_numpy()
-        size = np.array([max(map(lambda c: len(c) if c is not None else 0, s), default=0) for s in series])
-        when = pd.to_datetime(rows["recorded_at"]).astype("int64").to_numpy() / 86.4e12 if len(rows) else np.zeros(0)
-        out = []
-        for i in wants:
-            d = ((x - x[i]) ** 2).mean(1) + 0.5 * np.array([a is not None and labels[i] is not None and a != labels[i] for a in labels]) + 0.25 * (subjects != subjects[i]) + 0.05 * np.minimum(np.abs(np.nan_to_num(when - when[i])), 30) / 30 + 0.02 * np.abs(size - size[i])
-            d[i] = np.inf
-            order = np.lexsort((idx, d))[:-1]
-            found = []
-            for cell in rows["cells"][i]:
-                c, p = divmod(int(cell), STRIDE)
-                got = 0
-                for j in order:
-                    own = series[j][c] if c < len(series[j]) else None
-                    if own is None or not len(own):
-                        continue
-                    q = p if len(own) == len(series[i][c]) else min(len(own) - 1, round(p * (len(own) - 1) / max(1, len(series[i][c]) - 1)))
-                    if own[q] is not None and np.isfinite(own[q]):
-                        found.append({"cell": int(cell), "donor": int(idx[j]), "distance": float(d[j]), "value": float(own[q]), "label": None})
-                        got += 1
-                        if got == k:
-                            break
-            if rows["wants_label"][i]:
-                for j in [j for j in order if labels[j] is not None][:k]:
-                    found.append({"cell": -1, "donor": int(idx[j]), "distance": float(d[j]), "value": None, "label": str(rows["label"][j])})
-            if found:
-                out.append((int(idx[i]), found))
-        return pd.DataFrame(out, columns=["idx", "found"])
+        norm = pc.fill_null(column("norm").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        subject, nobody = plain("subject_id", 0), column("subject_id").is_null().to_numpy(zero_copy_only=False)
+        size = np.maximum(series.size.max(1, initial=0), 0)
+        when = pc.fill_null(column("recorded_at").cast(pa.int64()), -(1 << 62)).to_numpy(zero_copy_only=False) / 86.4e9  # days
+        wants_label, cells, labels = plain("wants_label", False), column("cells"), column("label").to_pylist()
+        gx, gidx, gnorm, gsubject, gnobody, gsize, gwhen = (v[gives] for v in (x, idx, norm, subject, nobody, size, when))
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+
+        def closest(d: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
+            """Donors other than the record itself, closest first: at least ``most``, if there are so many."""
+            near = np.flatnonzero(~own & (d <= np.partition(d, most)[most])) if most < len(d) else np.flatnonzero(~own)
+            return near[np.lexsort((gidx[near], d[near]))]
+
+        def first(ok: np.ndarray) -> np.ndarray:
+            return ok & (np.cumsum(ok, 0) <= k)
+
+        for i in asks:
+            away = gx - x[i]
+            d = np.einsum("ij,ij->i", away, away) / x.shape[1] + 0.5 * ((gnorm >= 0) & (norm[i] >= 0) & (gnorm != norm[i])) + 0.25 * ((gsubject != subject[i]) | gnobody | nobody[i]) + 0.05 * np.minimum(np.abs(gwhen - when[i]), 30) / 30 + 0.02 * np.abs(gsize - size[i])
+            own = gidx == idx[i]
+            c, p = np.divmod(np.array(cells[i].as_py() or [], np.int64), STRIDE)
+            for most in (8 * k, len(d)):
+                order = closest(d, own, most)
+                j = gives[order]
+                n, m = series.size[np.ix_(j, c)], series.size[i, c]
+                q = np.where(n == m, p, np.minimum(n - 1, np.rint(p * (n - 1) / np.maximum(1, m - 1)).astype(np.int64)))
+                value = np.full(n.shape, np.nan)
+                value[n > 0] = series.values[(series.start[np.ix_(j, c)] + q)[n > 0]]
+                seen, named = np.isfinite(value), norm[j] >= 0
+                if most >= len(d) or ((seen.sum(0) >= k).all() and (not wants_label[i] or named.sum() >= k)):
+                    break
+            at, cell = np.nonzero(first(seen))
+            lab = np.flatnonzero(first(named)) if wants_label[i] else np.zeros(0, np.int64)
+            place = np.concatenate([at, lab])
+            none = np.full(len(lab), -1)
+            for held, new in zip(out, (np.full(len(place), idx[i]), np.concatenate([(c * STRIDE + p)[cell], none]), j[place], d[order[place]], np.concatenate([value[at, cell], np.full(len(lab), np.nan)])), strict=True):
+                held.append(new)
+        who, cell, donor, distance, value = (np.concatenate(v) if v else np.zeros(0) for v in out)
+        donor, cell = donor.astype(np.int64), cell.astype(np.int64)
+        texts = [labels[j] if e < 0 else None for j, e in zip(donor.tolist(), cell.tolist(), strict=True)]
+        return pa.table({"idx": pa.array(who.astype(np.int64)), "cell": pa.array(cell), "donor": pa.array(idx[donor].astype(np.int64)), "distance": pa.array(distance), "value": pa.array(value, from_pandas=True), "label": pa.array(texts, pa.string())})
 
     return run
 
@@ -142,10 +196,24 @@ def hot_deck(records: DataFrame, context: DataFrame, k: int = 5, block_rows: int
         text(F.lit("fh"), F.col("file_id"), size, F.array_join(F.coalesce(shape, F.array().cast("array<string>")), "")),
     )
     keyed = base.select("idx", "series", "label", "norm", "subject_id", "recorded_at", "cells", "wants_label", F.explode(F.array_distinct(keys)).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when((F.size("cells") > 0) | F.col("wants_label"), 1).otherwise(0)).alias("wanted")).filter("wanted = 1 and n > 1")
-    parts = keyed.join(counts, "key").withColumn("part", F.pmod(F.xxhash64("key", "idx"), F.ceil(F.col("n") / block_rows)))
-    found = parts.select("key", "part", "idx", "series", "label", "norm", "subject_id", "recorded_at", "cells", "wants_label").groupBy("key", "part").applyInPandas(_donors(k), f"idx bigint, found {CELL}")
-    near = found.select("idx", F.inline("found")).groupBy("idx", "cell").agg(F.sort_array(F.collect_set(F.struct("distance", "donor", "value", "label"))).alias("all"))
+    wanted = (F.size("cells") > 0) | F.col("wants_label")
+    split = lambda n, rows: F.greatest(F.ceil(F.col(n) / rows), F.lit(1)).cast("int")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(wanted.cast("int")).alias("r")).filter("r > 0 and n > 1").select("key", split("r", SLICE * block_rows).alias("slices"), split("n", PART * block_rows).alias("parts"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # every slice of the recipients of a block meets every part of its donors
+    dealt = keyed.join(counts, "key").withColumn("own_slice", F.when(wanted, F.pmod(F.xxhash64("idx", "key"), "slices").cast("int"))).withColumn("own_part", F.pmod(F.xxhash64("key", "idx"), "parts").cast("int"))
+    to = lambda s, p: F.struct(s.alias("slice"), p.alias("part"))
+    places = F.array_union(F.transform(every("slices"), lambda s: to(s, F.col("own_part"))), F.when(wanted, F.transform(every("parts"), lambda p: to(F.col("own_slice"), p))).otherwise(F.array().cast("array<struct<slice: int, part: int>>")))
+    asks, gives = F.coalesce(F.col("place.slice") == F.col("own_slice"), F.lit(False)), F.col("place.part") == F.col("own_part")
+    groups = dealt.withColumn("place", F.explode(places)).select("key", "place.slice", "place.part", asks.alias("asks"), gives.alias("gives"), "idx", "series", "label", "norm", "subject_id", "recorded_at", F.when(asks, F.col("cells")).alias("cells"), "wants_label")
+    # deviations of blocks that are split, once over the whole block
+    large = counts.filter("slices > 1 or parts > 1")
+    points = keyed.select("key", "series").join(large, "key", "left_semi").mapInArrow(_shapes, "key string, features array<double>").select("key", F.posexplode("features").alias("point", "x"))
+    spreads = points.groupBy("key", "point").agg(F.stddev_pop("x").alias("s")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "s"))), lambda r: r["s"]).alias("spread"))
+    spreads = spreads.join(large, "key").select("key", F.explode(every("slices")).alias("slice"), "parts", "spread").select("key", "slice", F.explode(every("parts")).alias("part"), "spread")
+    on = ["key", "slice", "part"]
+    found = groups.groupBy(*on).cogroup(spreads.groupBy(*on)).applyInArrow(_donors(k), "idx bigint, cell bigint, donor bigint, distance double, value double, label string")
+    near = found.groupBy("idx", "cell").agg(F.sort_array(F.collect_set(F.struct("distance", "donor", "value", "label"))).alias("all"))
     close = near.select("idx", "cell", F.slice("all", 1, k).alias("close"))  # the same donor has the same value in every block
     weighted = F.transform("close", lambda r: F.struct(r["value"].alias("value"), (1 / (r["distance"] + 0.05)).alias("weight")))
     votes = F.transform(F.array_distinct(F.transform("close", lambda r: r["label"])), lambda x: F.struct(F.aggregate(F.filter("close", lambda r: r["label"] == x), F.lit(0.0), lambda a, r: a + 1 / (r["distance"] + 0.05)).alias("w"), x.alias("label")))

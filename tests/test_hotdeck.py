@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 
 from kelpwood.operators import hotdeck as H
@@ -48,3 +49,20 @@ def test_empty(spark, context):
     assert H.hot_deck(frame, context).count() == 0
     one = spark.createDataFrame([record(1, [[None, 2.0]])], RECORD)
     assert H.hot_deck(one, context.limit(0)).first()["series"] == [[2.0, 2.0]]
+
+
+def test_donors_do_not_depend_on_the_parts(spark, context):
+    random = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        m = random.normal(size=(2, 10 + i % 3)).cumsum(1).tolist()
+        if i % 4 == 0:
+            m[0][i % 10] = m[1][(i // 4) % 10] = None
+        rows.append(record(i, m, None, None if i % 11 == 0 else f"l{i % 2}"))
+    frame = spark.createDataFrame(rows, RECORD)
+    cells = lambda n: {(r["idx"], r["field"], r["channel"], r["pos"]): (r["value"], r["label"], tuple(r["donors"])) for r in H.filled_cells(H.hot_deck(frame, context, block_rows=n)).collect()}
+    whole, split = cells(100_000), cells(4)  # in slices of 40 and parts of 80
+    assert len(whole) > 450 and split == whole
+    # an empty label's donors are the closest of the file, found by brute force in the widest block
+    lone = spark.createDataFrame([record(i, [[float(i), float(i + 1)]], None, None if i == 500 else f"x{i}") for i in range(1000)], RECORD)
+    assert H.filled_cells(H.hot_deck(lone, context, block_rows=4)).first()["donors"] == [499, 501, 498, 502, 497]
