@@ -2,10 +2,12 @@
 
 Records of equal content (same file, same side, same observed entries) become one representative.
 Windows of each channel, brought to mean 0 and deviation 1, are hashed to the signs of ``BITS``
-random projections; a gap in one channel thus leaves the codes of the others whole. Windows start at
+random projections, twice with independent projections (gaps are drawn straight, which moves a code;
+what moves one out of its blocks seldom moves the other too); a gap in one channel thus leaves the
+codes of the others whole. Windows start at
 0..``max_shift`` and have lengths of a geometric series, so that two records that agree under a
 shift share a window that lies within their overlap. Codes of the train side and the held-out side
-that agree in one of ``SEGMENTS`` blocks meet in a join; pairs within ``radius`` bits there, and
+that agree in one of ``SEGMENTS`` blocks meet in a join; pairs within ``radius`` bits of that code, and
 within ``whole_radius`` of the 128 bits of the window over all channels, are verified exactly under
 every shift, then expanded from representatives to records.
 
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS, SEGMENTS = 64, 4  # four blocks of 16 bits
+SEEDS = 11, 12  # of the codes of a channel
 
 
 def window_lengths(n: int) -> list[int]:
@@ -68,13 +71,13 @@ def _filled(m: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (rows, channels) of the channels and (rows, 2) of the whole windows (rows, channels, length),
+    """Codes (rows, channels, seeds) of the channels and (rows, 2) of the whole windows (rows, channels, length),
     and which channels' codes count: those that vary, or all where none does. The code of a constant
     channel would bring all records together that have one."""
     centred = stack - stack.mean(2, keepdims=True)
     spread = centred.std(2, keepdims=True)
     unit = centred / np.where(spread > 1e-12, spread, 1)
-    single = np.packbits(unit @ _directions(stack.shape[2], BITS) > 0, axis=2).view(">i8")[:, :, 0]
+    single = np.stack([np.packbits(unit @ _directions(stack.shape[2], BITS, seed) > 0, axis=2).view(">i8")[:, :, 0] for seed in SEEDS], axis=2)
     flat = unit.reshape(len(stack), -1)
     varied = spread[:, :, 0] > 1e-12
     whole = np.packbits(flat @ _directions(flat.shape[1], 128) > 0, axis=1).view(">i8").astype(np.int64)
@@ -82,7 +85,7 @@ def fingerprints(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _codes(max_shift: int, cover: float):
-    """Rows (file_id, channel, kind, width, code, rep) of every window of every record."""
+    """Rows (file_id, channel, kind, width, codes, rep) of every window of every record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +107,7 @@ def _codes(max_shift: int, cover: float):
                             for c in range(channels):
                                 own = np.flatnonzero(counts[:, c])
                                 same = lambda v: pa.array(np.full(len(own), v, np.int32))  # noqa: B023, E731
-                                yield pa.RecordBatch.from_arrays([pa.array([file] * len(own), pa.int32()), same(channels << 16 | c), same(kind), same(w), pa.array(code[own, c]), pa.array(whole[own, 0]), pa.array(whole[own, 1]), reps.take(pa.array(own))], names=["file_id", "channel", "kind", "width", "code", "hi", "lo", "rep"])
+                                yield pa.RecordBatch.from_arrays([pa.array([file] * len(own), pa.int32()), same(channels << 16 | c), same(kind), same(w), pa.array(code[own, c, 0]), pa.array(code[own, c, 1]), pa.array(whole[own, 0]), pa.array(whole[own, 1]), reps.take(pa.array(own))], names=["file_id", "channel", "kind", "width", "code", "second", "hi", "lo", "rep"])
 
     return run
 
@@ -165,13 +168,14 @@ def cross_split_pairs(records: DataFrame, max_shift: int = 3, cover: float = 0.8
     keyed = sided.select("idx", "file_id", "split", "source", "train", "series", digest.alias("digest"))
     # a representative is named by its smallest idx; its members are found again by the whole digest
     reps = keyed.groupBy("digest").agg(F.min("idx").alias("rep"), F.any_value("file_id").alias("file_id"), F.any_value("train").alias("train"), F.any_value("series").alias("series"))
-    coded = "file_id int, channel int, kind int, width int, code bigint, hi bigint, lo bigint, rep bigint"
+    coded = "file_id int, channel int, kind int, width int, code bigint, second bigint, hi bigint, lo bigint, rep bigint"
     width = BITS // SEGMENTS
-    blocks = [F.shiftrightunsigned("code", s * width).bitwiseAND((1 << width) - 1).cast("int") for s in range(SEGMENTS)]
+    blocks = [F.shiftrightunsigned(c, s * width).bitwiseAND((1 << width) - 1).cast("int") for c in ("code", "second") for s in range(SEGMENTS)]
     on = ["file_id", "channel", "kind", "width", "segment", "block"]
 
     def of(train: bool) -> DataFrame:
         part = reps.filter(F.col("train") == train).mapInArrow(_codes(max_shift, cover), coded).select("*", F.posexplode(F.array(*blocks)).alias("segment", "block"))
+        part = part.withColumn("code", F.when(F.col("segment") < SEGMENTS, F.col("code")).otherwise(F.col("second")))
         name = "train" if train else "held"
         return part.select(*on, *[F.col(c).alias(f"{name}_{c}") for c in ("code", "hi", "lo", "rep")])
 

@@ -69,3 +69,14 @@ def test_constant_channels_do_not_gather():
     flat = np.stack([np.zeros((2, 8)), np.stack([np.zeros(8), np.arange(8.0)])])
     counts = fingerprints(flat)[2]
     assert counts.tolist() == [[True, True], [False, True]]
+
+
+def test_pair_with_gaps_meets_by_the_second_code(spark):
+    random = np.random.default_rng(1438)  # no block of the first codes of this pair agrees
+    a = random.normal(size=(2, 20)).cumsum(1)
+    b = a + random.normal(size=a.shape) * 0.02 * a.std(1, keepdims=True)
+    b[random.random(b.shape) < 0.13] = np.nan
+    assert naive(a, b) < 0.1
+    series = lambda m: [[None if np.isnan(v) else float(v) for v in c] for c in m]
+    frame = spark.createDataFrame([(1, 1, "train", "s", series(a), "clash", "clash"), (2, 1, "test", "t", series(b), "clash", "clash")], SCHEMA)
+    assert [(r["train_idx"], r["held_idx"]) for r in cross_split_pairs(frame).collect()] == [(1, 2)]
