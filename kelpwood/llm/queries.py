@@ -175,16 +175,20 @@ f as (select distinct p.* from d join pairs p using (t, h) where d.n >= 0.8 * p.
 
 
 
+_CONTINUED = "\x80-\xbf" + "‚ƒ„…†‡ˆ‰Š‹Œ•–—˜™š›œžŸ“”‘’€Ž"
+_LOOKALIKES = (("0", "o"), ("a", "o"), ("1", "i"), ("l", "i"), ("|", "i"), ("5", "s"), ("8", "b"), ("b", "h"), ("c", "e"), ("f", "t"), ("u", "ii"), ("w", "vv"), ("m", "rn"))
+
+
 def _sql_skeleton(text: str) -> str:
-    """The spelling of leakage.skeletons in SQL."""
+    """A spelling of ASCII letters alone that damaged and whole words share."""
     out = text
-    steps = [(f"â[{leakage._CONTINUED}]{{2}}", " "), (f"[ÂÃÅâ][{leakage._CONTINUED}]+", "")]
+    steps = [(f"â[{_CONTINUED}]{{2}}", " "), (f"[ÂÃÅâ][{_CONTINUED}]+", "")]
     for pattern, new in steps:
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
     out = f"lower({out})"
     for pattern, new in ((r"([\pL\pN])\?+([\pL\pN])", r"\1\2"), (r"([\pL\pN])\?+([\pL\pN])", r"\1\2"), ("[�\\pM]", ""), (r"[^\x00-\x7f\pL\pN]", " "), (r"[^\x00-\x7f]", "")):
         out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
-    for shape, common in leakage.LOOKALIKES:
+    for shape, common in _LOOKALIKES:
         out = f"replace({out}, '{shape}', '{common}')"
     return out
 
