@@ -98,8 +98,8 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that are probably repetitive and, checked exactly, repeat at least 0.4 of their words."""
-    return repetition.repetition(table(spark, d, "documents")).filter("repetitive >= 0.05 and n_words > 0 and n_repeated >= 0.4 * n_words").select("doc_id")
+    """Repetitive documents: by the posterior of their votes where it is sure, by the exact share where the votes disagree."""
+    return repetition.repetition(table(spark, d, "documents")).filter("repetitive").select("doc_id")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_found, p3_neighbours, p4_found, p4_report, p6_packing, p6_report, p7_found, p7_report, p8_found, p8_shares)}

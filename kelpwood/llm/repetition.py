@@ -1,11 +1,14 @@
 """Repetition inside a single document, judged by weak supervision.
 
 One pass over the texts measures each document's repetition: words in a run of ``RUN`` words that
-occurred earlier in the document, repeated cues and lines, the commonest three-word run, distinct words. Rules turn the
-measures into votes (repetitive, not, or abstain). Expectation-maximisation on the counts of vote
-patterns, of which there are at most 3 ** rules, estimates how accurate each rule is; the posterior
-of its pattern is a document's probability of being repetitive. The counts cover every document and
-only they go to the driver.
+occurred earlier in the document, repeated cues and lines, the commonest three-word run, distinct words. The
+measures, a few numbers a document, are stored once. Rules turn them into votes (repetitive, not, or
+abstain). Expectation-maximisation on the counts of vote patterns, of which there are at most 3 ** rules,
+estimates how accurate each rule is, all rules alike; the posterior of its pattern is a document's
+probability of being repetitive. The counts cover every document and only they go to the driver.
+
+The posterior decides where it is sure (at most ``SURE`` from 0 or 1) and no vote contradicts it. The other
+patterns are ``contested``; ``repetitive`` settles their documents by the exact share.
 
 Defined cases: null and empty texts have 0 words, share 0 and abstain everywhere; documents given
 twice are judged twice; an empty table gives an empty result.
@@ -18,15 +21,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kelpwood.llm.speech import speech, split_words
+from kelpwood.session import checkpointed
 
 RUN = 5
 MEASURES = ("share", "cue_share", "line_share", "top_share", "distinct_share")
-#: Rule: measure, votes "repetitive" from here, votes "not" up to here (the last reads the other way).
-RULES = (("share", 0.4, 0.25), ("cue_share", 0.3, 0.05), ("line_share", 0.3, 0.1), ("top_share", 0.05, 0.02), ("distinct_share", 0.35, 0.6))
+SHARE = 2, 5  # repeated words of all words from which a document is repetitive, 0.4
+SURE = 0.02
+#: Rule: measure, votes "repetitive" from here, votes "not" up to here (the last reads the other way). The
+#: share of repeated words votes besides, from SHARE on "repetitive", else "not".
+RULES = (("cue_share", 0.3, 0.05), ("line_share", 0.3, 0.1), ("top_share", 0.05, 0.02), ("distinct_share", 0.35, 0.6))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -108,9 +115,15 @@ def measures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return ready.mapInArrow(_measured, f"`{key}` {kind}, n_words bigint, n_repeated bigint, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
+def _repeats() -> Column:
+    """Whether the exact share is at least SHARE, in whole numbers."""
+    part, of = SHARE
+    return (F.col("n_words") > 0) & (of * F.col("n_repeated") >= part * F.col("n_words"))
+
+
 def with_votes(measured: DataFrame) -> DataFrame:
-    """``pattern``: one digit a rule, 1 repetitive, 0 not, 2 abstains."""
-    digits = []
+    """``pattern``: one digit a rule, 1 repetitive, 0 not, 2 abstains; the first is that of the share."""
+    digits = [F.when(F.col("n_words") == 0, "2").when(_repeats(), "1").otherwise("0")]
     for name, high, low in RULES:
         m = F.col(name)
         yes, no = (m >= high, m <= low) if high > low else (m <= high, m >= low)
@@ -118,51 +131,50 @@ def with_votes(measured: DataFrame) -> DataFrame:
     return measured.withColumn("pattern", F.concat(*digits))
 
 
-def posteriors(counts: dict[str, int], rounds: int = 200) -> dict[str, float]:
-    """Posterior of "repetitive" of each vote pattern, by expectation-maximisation.
+def posteriors(counts: dict[str, int], rounds: int = 500) -> tuple[dict[str, float], np.ndarray]:
+    """Posterior of "repetitive" of each vote pattern, by expectation-maximisation, and the estimated chances
+    [class, rule, vote] of each rule to vote 0, 1 or abstain in either class.
 
-    Each rule has its own chances to vote 1, 0 or abstain in either class. The first rule states the
-    measure itself: a vote of it outside its class is held at 1e-7, the others' chances stay within
-    0.05..0.95, so no rule alone silences the rest.
+    All rules start alike, from the majority of the votes; no chance is ever 0 or 1.
     """
     patterns = sorted(counts)
     if not patterns:
-        return {}
+        return {}, np.zeros((2, 0, 3))
     votes = np.array([[int(x) for x in p] for p in patterns])
     n = np.array([counts[p] for p in patterns], float)
-    rules = votes.shape[1]
-    one = np.where(votes == 1, 1.0, 0).sum(1)
-    zero = np.where(votes == 0, 1.0, 0).sum(1)
-    post = np.where(votes[:, 0] == 1, 0.95, np.where(votes[:, 0] == 0, 0.05, (one + 0.5) / (one + zero + 1)))
+    one, zero = (votes == 1).sum(1), (votes == 0).sum(1)
+    post = (one + 0.2) / (one + zero + 1)  # few documents are repetitive where nothing votes
+    cast = (votes[:, :, None] == np.arange(3)).astype(float)
     for _ in range(rounds):
-        log = np.zeros((len(patterns), 2))
-        for y, w in ((1, n * post), (0, n * (1 - post))):
-            prior = (w.sum() + 1) / (n.sum() + 2)
-            log[:, y] += np.log(min(0.999, max(0.001, prior)))
-            for r in range(rules):
-                chance = np.array([((w * (votes[:, r] == v)).sum() + 1) / (w.sum() + 3) for v in (0, 1, 2)])
-                chance = np.clip(chance, 0.05, 0.95)
-                if r == 0:
-                    chance[1 - y] = 1e-7
-                log[:, y] += np.log(chance[votes[:, r]])
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
-        if np.abs(new - post).max() < 1e-9:
-            post = new
-            break
+        weight = np.stack([n * (1 - post), n * post])
+        prior = (weight.sum(1) + 1) / (n.sum() + 2)
+        chance = (np.einsum("yp,prv->yrv", weight, cast) + 0.1) / (weight.sum(1)[:, None, None] + 0.3)
+        log = np.log(prior)[:, None] + np.einsum("prv,yrv->yp", cast, np.log(chance))
+        new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+        done = np.abs(new - post).max() < 1e-9
         post = new
-    return dict(zip(patterns, post.tolist(), strict=True))
+        if done:
+            break
+    return dict(zip(patterns, post.tolist(), strict=True)), chance
+
+
+def contested(pattern: str, posterior: float) -> bool:
+    """Whether the posterior of a pattern is unsure, one of its votes contradicts it, or none supports it."""
+    votes = set(pattern) - {"2"}
+    return not (posterior <= SURE and votes == {"0"} or posterior >= 1 - SURE and votes == {"1"})
 
 
 def repetition(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: key, n_words, n_repeated, share and ``repetitive``, the posterior.
+    """One row a document: key, n_words, n_repeated, share, ``chance``, the posterior, ``contested``, and
+    ``repetitive``, the judgement.
 
-    The texts are read twice, once for the counts of patterns and once for the result; nothing is
-    shuffled but those counts.
+    The texts are read once, their measures kept in the checkpoint folder; nothing is shuffled but the
+    counts of patterns.
     """
-    voted = with_votes(measures(documents, key, text))
+    voted = with_votes(checkpointed(measures(documents, key, text)))
     counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}  # at most 3 ** rules
-    post = posteriors(counts)
-    chance = F.lit(0.0)
-    if post:
-        chance = F.element_at(F.create_map(*[x for p, v in post.items() for x in (F.lit(p), F.lit(v))]), F.col("pattern"))
-    return voted.select(key, "n_words", "n_repeated", "share", chance.alias("repetitive"))
+    post, _ = posteriors(counts)
+    judged = F.create_map(*[x for p, v in post.items() for x in (F.lit(p), F.struct(F.lit(v).alias("chance"), F.lit(contested(p, v)).alias("contested")))]) if post else F.lit(None).cast("map<string, struct<chance: double, contested: boolean>>")
+    known = voted.withColumn("judged", F.element_at(judged, F.col("pattern")))
+    decided = F.when(F.col("judged.contested"), _repeats()).otherwise(F.col("judged.chance") >= 0.5)
+    return known.select(key, "n_words", "n_repeated", "share", "judged.chance", "judged.contested", decided.alias("repetitive"))
