@@ -1,8 +1,9 @@
 """Rows that fail to parse: load valid lines as instances, put the others aside with a reason.
 
 Lines of one file are parsed block by block on a columnar path (Arrow compute, no Python per
-entry). A block with any line the columnar path can't accept is halved again and again; the few
-lines that remain are parsed one by one by a strict reader, which names the first of the reasons
+entry), lines with well-formed quotes included. A block with lines the columnar path can't accept is halved
+again and again until these stand alone; the halves without one are taken over as parsed. The lines
+that remain are parsed one by one by a strict reader, which names the first of the reasons
 
 ``quoting``       a double quote that neither encloses an entry nor is doubled inside one
 ``column_count``  wrong number of channels or entries
@@ -27,8 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 1024  # lines of a first block
-LEAF = 8  # blocks of so few lines are parsed strictly
+BLOCK = 4096  # lines of a block
+STAND_INS = ("\x1d", "\x1e", "\x1f")  # for an entry separator, an array separator and a quote inside quotes
 NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 _NUMBER = re.compile(NUMBER)
 SETTINGS = ("entry_separator", "array_separator", "missing_strings", "is_2d", "is_numeric", "n_channels", "n_entries", "target_column", "has_header")
@@ -36,7 +37,7 @@ OUTPUT = "reason string, label string, series array<array<double>>, tokens array
 
 
 class BlockError(Exception):
-    """A block has a line that the columnar path doesn't accept."""
+    """The columnar path doesn't read a block."""
 
 
 @dataclass(frozen=True)
@@ -130,86 +131,148 @@ def strict(line: str | None, s: Settings) -> tuple[str | None, str | None, list[
     return None, label, channels
 
 
-def columnar(lines: pa.Array, s: Settings) -> tuple[pa.Array, pa.Array, pa.Array]:
-    """(labels, series, tokens) of a block whose lines are all plainly valid; else BlockError."""
+def _unquoted(lines: pa.Array, s: Settings) -> tuple[pa.Array, pa.Array]:
+    """(lines, whether they are well-formed) of lines with quotes: the quotes gone, and what they enclose spelled with
+    stand-ins for separators and quotes."""
+    marks = [s.entry, *([s.array] if s.array else [])]
+    blank = "[" + "".join(c for c in " \t" if c not in marks) + "]*"
+    outside = "".join(re.escape(m) for m in marks)
+    entry = f'(?:{blank}"(?:[^"]|"")*"{blank}|[^"{outside}]*)'
+    fine = pc.match_substring_regex(lines, f"(?s)\\A{entry}(?:[{outside}]{entry})*\\z")
+    if s.is_2d:  # an empty entry in quotes at the end is no empty end
+        fine = pc.and_(fine, pc.invert(pc.match_substring_regex(lines, '"[ \t]*"')))
+    parts = pc.split_pattern(lines, '"')
+    sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, ends = parts.flatten(), np.cumsum(sizes)
+    at = np.arange(len(flat)) - np.repeat(ends - sizes, sizes)
+    inside = flat
+    for mark, stand_in in zip(marks, STAND_INS, strict=False):
+        inside = pc.replace_substring(inside, mark, stand_in)
+    # nothing between two quoted parts: a doubled quote
+    doubled = (at % 2 == 0) & (at > 0) & (at < np.repeat(sizes, sizes) - 1) & pc.equal(flat, "").to_numpy(zero_copy_only=False)
+    flat = pc.if_else(pa.array(at % 2 == 1), inside, pc.if_else(pa.array(doubled), STAND_INS[2], flat))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), flat), ""), fine
+
+
+def columnar(lines: pa.Array, s: Settings) -> tuple[np.ndarray, pa.Array, pa.Array, pa.Array]:
+    """(accepted, labels, series, tokens): which lines of a block are plainly valid, and the columns of these."""
     n = len(lines)
-    if pc.any(pc.match_substring(lines, '"')).as_py() or s.channels is None:
+    simple = len(s.entry) == 1 and (not s.is_2d or s.array is not None and len(s.array) == 1 and s.array not in " \t")
+    if not n or not simple or not s.is_2d and s.channels not in (None, 1):
         raise BlockError
     lines = pc.replace_substring_regex(lines, r"\r\z", "")
+    odd = pc.match_substring_regex(lines, f"[{''.join(STAND_INS)}]")
+    quoted = pc.match_substring(lines, '"')
+    some = pc.any(quoted).as_py()
+    if some:
+        changed, fine = _unquoted(lines.filter(quoted), s)
+        odd = pc.or_(odd, pc.replace_with_mask(pa.array(np.zeros(n, bool)), quoted, pc.invert(fine)))
+        lines = pc.replace_with_mask(lines, quoted, changed)
     if s.is_2d:
-        if not s.array:
-            raise BlockError
-        lines = pc.replace_substring_regex(lines, re.escape(s.array) + r"[ \t]*\z", "") if not re.fullmatch(r"[ \t]+", s.array) else lines
-        if pc.any(pc.match_substring_regex(lines, re.escape(s.array) + r"[ \t]*\z")).as_py():
-            raise BlockError
-        channels = pc.split_pattern(lines, s.array)
-        if not pc.all(pc.equal(pc.list_value_length(channels), s.channels)).as_py():
-            raise BlockError
-        flat = channels.flatten()
-    elif s.channels != 1:
-        raise BlockError
-    else:
-        flat = lines
-    entries = pc.split_pattern(flat, s.entry)
+        end = re.escape(s.array) + r"[ \t]*\z"
+        lines = pc.replace_substring_regex(lines, end, "")
+        odd = pc.or_(odd, pc.match_substring_regex(lines, rf"{end}|\A[ \t]*\z"))
+    good = ~odd.to_numpy(zero_copy_only=False)
+    channels = pc.split_pattern(lines, s.array) if s.is_2d else None
+    per_line = pc.list_value_length(channels).to_numpy(zero_copy_only=False).astype(np.int64) if s.is_2d else np.ones(n, np.int64)
+    entries = pc.split_pattern(channels.flatten() if s.is_2d else lines, s.entry)
     sizes = pc.list_value_length(entries).to_numpy(zero_copy_only=False).astype(np.int64)
-    if s.entries is not None:
-        if not (sizes == s.entries + s.labelled).all():
-            raise BlockError
-    elif not (sizes.reshape(n, s.channels) == sizes.reshape(n, s.channels)[:, :1]).all():
-        raise BlockError
-    values = pc.utf8_trim(entries.flatten(), " \t")
-    labels = pa.nulls(n, pa.string())
+    own = np.repeat(np.arange(n), per_line)  # line of each channel
+    first = sizes[np.cumsum(per_line) - per_line]
+    wanted = first[own] if s.entries is None else s.entries + s.labelled
+    good &= np.bincount(own[(sizes != wanted) | (sizes < s.labelled)], minlength=n) == 0
+    if s.channels is not None:
+        good &= per_line == s.channels
+    # on with the lines that fit
+    kept = good[own]
+    values = entries.flatten().filter(pa.array(np.repeat(kept, sizes)))
+    own, sizes = own[kept], sizes[kept]
+    if some:
+        for mark, stand_in in zip((s.entry, s.array, '"'), STAND_INS if s.is_2d else (STAND_INS[0], None, STAND_INS[2]), strict=True):
+            if stand_in:
+                values = pc.replace_substring(values, stand_in, mark)
+    values = pc.utf8_trim(values, " \t")
+    labels = pa.nulls(len(own), pa.string())
     if s.labelled:
-        if (sizes < 1).any():
-            raise BlockError
         ends = np.cumsum(sizes)
         at = ends - sizes if s.target == "first" else ends - 1
         labels = values.take(pa.array(at))
-        keep = np.ones(len(values), bool)
-        keep[at] = False
-        values, sizes = values.filter(pa.array(keep)), sizes - 1
+        rest = np.ones(len(values), bool)
+        rest[at] = False
+        values, sizes = values.filter(pa.array(rest)), sizes - 1
     gone = pc.is_in(pc.utf8_upper(values), pa.array(sorted(s.missing), pa.string()))
     if s.numeric:
-        fine = pc.or_(gone, pc.match_substring_regex(values, rf"\A(?:{NUMBER})\z"))
-        if not pc.all(fine).as_py():
-            raise BlockError
-        numbers = pc.if_else(gone, pa.scalar(None, pa.string()), pc.utf8_ltrim(values, "+")).cast(pa.float64())
-        if not pc.all(pc.is_finite(numbers)).as_py() and pc.any(pc.invert(pc.is_finite(numbers))).as_py():
-            raise BlockError
-        return labels, _nested(numbers, sizes, s.channels), pa.nulls(n, pa.list_(pa.list_(pa.string())))
-    tokens = pc.if_else(gone, pa.scalar(None, pa.string()), values)
-    return labels, pa.nulls(n, pa.list_(pa.list_(pa.float64()))), _nested(tokens, sizes, s.channels)
-
-
-def _nested(values: pa.Array, sizes: np.ndarray, channels: int) -> pa.Array:
+        number = pc.and_not(pc.match_substring_regex(values, rf"\A(?:{NUMBER})\z"), gone)
+        values = pc.if_else(number, pc.utf8_ltrim(values, "+"), pa.scalar(None, pa.string())).cast(pa.float64())
+        fine = pc.or_(gone, pc.fill_null(pc.is_finite(values), False)).to_numpy(zero_copy_only=False)
+        bad = np.zeros(n, bool)
+        bad[np.repeat(own, sizes)[~fine]] = True
+        if bad.any():
+            good &= ~bad
+            kept = good[own]
+            values = values.filter(pa.array(np.repeat(kept, sizes)))
+            labels = labels.filter(pa.array(kept)) if s.labelled else labels[: int(kept.sum())]
+            own, sizes = own[kept], sizes[kept]
+    else:
+        values = pc.if_else(gone, pa.scalar(None, pa.string()), values)
+    m = int(good.sum())
+    labels = labels if s.labelled else pa.nulls(m, pa.string())
     inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) + 1, channels), pa.int32()), inner)
+    nested = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_line[good])]), pa.int32()), inner)
+    none = pa.nulls(m, pa.list_(pa.list_(pa.string() if s.numeric else pa.float64())))
+    return good, labels, *((nested, none) if s.numeric else (none, nested))
 
 
-def _one(line: str | None, s: Settings) -> pa.RecordBatch:
-    reason, label, channels = strict(line, s)
-    series = tokens = None
-    if reason is None and s.numeric:
-        series = [[None if x.upper() in s.missing else float(x) for x in c] for c in channels]
-    elif reason is None:
-        tokens = [[None if x.upper() in s.missing else x for x in c] for c in channels]
-    return _batch(pa.array([reason], pa.string()), pa.array([label if reason is None else None], pa.string()), pa.array([series], pa.list_(pa.list_(pa.float64()))), pa.array([tokens], pa.list_(pa.list_(pa.string()))))
+def _strictly(lines: list[str | None], s: Settings) -> pa.RecordBatch:
+    """Lines read one by one."""
+    reasons, labels, series, tokens = [], [], [], []
+    for line in lines:
+        reason, label, channels = strict(line, s)
+        reasons.append(reason)
+        labels.append(label if reason is None else None)
+        series.append([[None if x.upper() in s.missing else float(x) for x in c] for c in channels] if reason is None and s.numeric else None)
+        tokens.append([[None if x.upper() in s.missing else x for x in c] for c in channels] if reason is None and not s.numeric else None)
+    return _batch(pa.array(reasons, pa.string()), pa.array(labels, pa.string()), pa.array(series, pa.list_(pa.list_(pa.float64()))), pa.array(tokens, pa.list_(pa.list_(pa.string()))))
 
 
 def _batch(*columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(columns), ["reason", "label", "series", "tokens"])
 
 
+def isolate(bad: np.ndarray) -> list[int]:
+    """Places of the bad records of a block, by halving every part that holds one. ``bad`` counts them up to each
+    place, so that a half is judged, and a clean one accepted as it was parsed, without parsing it again."""
+    found, open_ = [], [(0, len(bad) - 1)]
+    while open_:
+        lo, hi = open_.pop()
+        if bad[hi] == bad[lo]:
+            continue
+        if hi - lo == 1:
+            found.append(lo)
+            continue
+        middle = (lo + hi) // 2
+        open_ += [(middle, hi), (lo, middle)]
+    return found
+
+
 def parse_block(lines: pa.Array, s: Settings) -> list[pa.RecordBatch]:
-    """Parsed pieces of a block, in its order: as a whole if it can be, else by halves."""
-    if len(lines) <= LEAF:
-        return [_one(x, s) for x in lines.to_pylist()]
+    """Parsed pieces of a block, in its order: column-wise, but for the bad records, which are isolated by halving and
+    read strictly. A block that as a whole fails without a hint is parsed again by halves."""
     try:
-        labels, series, tokens = columnar(lines, s)
-        return [_batch(pa.nulls(len(lines), pa.string()), labels, series, tokens)]
+        good, *columns = columnar(lines, s)
     except (BlockError, pa.ArrowInvalid):
+        if len(lines) == 1 or len(s.entry) != 1:
+            return [_strictly(lines.to_pylist(), s)]
         half = len(lines) // 2
         return parse_block(lines[:half], s) + parse_block(lines[half:], s)
+    whole = _batch(pa.nulls(int(good.sum()), pa.string()), *columns)
+    single = isolate(np.concatenate([[0], np.cumsum(~good)]))
+    if not single:
+        return [whole]
+    both = pa.Table.from_batches([whole, _strictly(lines.take(pa.array(single)).to_pylist(), s)]).combine_chunks()
+    place = np.where(good, np.cumsum(good) - 1, 0)
+    place[single] = whole.num_rows + np.arange(len(single))
+    return both.take(pa.array(place)).combine_chunks().to_batches()
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

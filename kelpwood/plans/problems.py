@@ -14,8 +14,8 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every failing data line with its reason."""
-    return _parsed(spark, d).filter("reason is not null").select("line_id", "reason")
+    """Every data line that doesn't fit its file's settings, with the reason; lines of unknown files have none to fit."""
+    return _parsed(spark, d).filter("reason <> 'unknown_file'").select("line_id", "reason")
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,22 @@ r as (
 )
 """
 
+_LOADED = r"""
+, f as (
+  select line_id, file_id, is_numeric, ch, ms, flatten(case when lab = 0 then en when target_column = 'first' then [en[1][2:]] else [en[1][:-2]] end) as entries,
+    case when lab = 0 then null when target_column = 'first' then regexp_extract(t, '^(' || ent || ')(' || e || '|$)', 1) else regexp_extract(t, '(^|' || e || ')(' || ent || ')$', 2) end as raw
+  from w join r using (line_id, file_id) where reason is null
+),
+g as (select *, list_transform(entries, lambda x: trim(x, ' ' || chr(9))) as trimmed, trim(raw, ' ' || chr(9)) as lb from f),
+h as (select *, list_filter(trimmed, lambda x: not list_contains(ms, upper(x))) as seen from g)
+"""
+
 SQL = {
+    "p1_loaded": f"""with {_LINES} {_LOADED}
+select line_id, file_id, case when lb like '"%' then trim(replace(lb[2:-2], '""', '"'), ' ' || chr(9)) else lb end as label,
+  len(ch)::int as n_channels, len(entries)::int as n_entries, (len(entries) - len(seen))::int as n_missing,
+  case when is_numeric then round(coalesce(list_sum(list_transform(seen, lambda x: ltrim(x, '+')::double)), 0), 6) end as total
+from h""",
     "p1_found": f"with {_LINES} select line_id, reason from r where reason is not null",
     "p1_report": f"with {_LINES} select file_id, coalesce(reason, 'loaded') as outcome, count(*) as n_lines from r group by all",
     "p5_found": """

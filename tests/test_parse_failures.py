@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,16 +25,35 @@ def test_reasons():
     assert case('a"b,1', ONE) == "quoting"  # the first reason that applies
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(["1", "-2.5", "+.5", "3e2", "NA", "na", "", " 4 ", "x", '"5"', 'q"', ":", "inf", "7\r", "\t8"]), min_size=0, max_size=6).map(",".join), min_size=1, max_size=40), st.sampled_from([ONE, TWO]))
-def test_blocks_agree_with_the_strict_reader(lines, s):
+LAYOUTS = [
+    ONE, TWO, P.Settings("\t", None, frozenset({"", "?"}), False, True, 1, 3, "last"), P.Settings(";", None, frozenset({"-"}), False, False, 1, 3, "first"),
+    P.Settings(",", ":", frozenset({""}), True, False, None, 2, "none"), P.Settings("|", "#", frozenset(), True, True, None, None, "none"), P.Settings(",", ":", frozenset({"NA"}), True, True, 1, 1, "none"),
+    P.Settings(" ", None, frozenset({"NA"}), False, True, None, None, "none"), P.Settings("::", None, frozenset({"NA"}), False, True, 1, 2, "none"), P.Settings(",", None, frozenset(), False, True, 1, 1, "last"),
+]
+ENTRY = st.sampled_from(["1", "-2.5", "+.5", "3e2", "2.e-3", "NA", "na", "", " 4 ", "x", '"5"', '"a,b"', '"1:2"', '"x""y"', '""', '" "', ' "7" ', 'q"', '"', ":", "#", "inf", "nan", "1e999", "7\r", "\t8", "\x1d", "é", "1_0"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(LAYOUTS), st.data())
+def test_blocks_agree_with_the_strict_reader(s, data):
+    sep = st.sampled_from([s.entry] * 4 + ([s.array] * 2 if s.array else []))
+    line = st.lists(st.tuples(ENTRY, sep), min_size=0, max_size=6).map(lambda parts: "".join(a + b for a, b in parts)[: None if len(parts) % 2 else -1])
+    lines = data.draw(st.lists(line, min_size=1, max_size=40))
     got = pa.Table.from_batches(P.parse_block(pa.array(lines, pa.string()), s)).to_pylist()
     assert len(got) == len(lines)
     for line, row in zip(lines, got, strict=True):
-        want = P._one(line, s).to_pylist()[0]
+        want = P._strictly([line], s).to_pylist()[0]
         assert row == want, line
 
 
+def test_few_lines_are_read_one_by_one():
+    lines = [f'l{k},{k},"{k}.5", NA' for k in range(500)] + ['"p,q",1,2,3', "x,1,2", "y,1,2,z", 'w"x,1,2,3'] * 5
+    good, labels, series, _ = P.columnar(pa.array(lines), ONE)
+    assert good.sum() == 505 and labels.to_pylist()[500] == "p,q" and series.to_pylist()[7] == [[7.0, 7.5, None]]
+    bad = np.concatenate([[0], np.cumsum(~good)])
+    assert P.isolate(bad) == np.flatnonzero(~good).tolist() and P.isolate(np.zeros(9, int)) == P.isolate(np.zeros(1, int)) == []
+
+
 def test_whole_path(spark):
     context = spark.createDataFrame([(1, "f", ",", None, ["NA"], False, True, 1, 2, "first", True), (1, "f", ",", None, ["NA"], False, True, 1, 2, "first", True), (2, "g", "\t", None, None, False, False, 1, 2, None, False)], CONTEXT)
     rows = [(i, 1, i + 1, "a,1,2" if i % 7 else "a,1", "x") for i in range(50)]
