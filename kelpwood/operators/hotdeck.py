@@ -1,17 +1,21 @@
 """Filling missing values from similar records: nearest-neighbour hot deck.
 
-Records are hash-blocked on their observed mixed features (file, label, subject, time, coarse shape
-of the series). Each record takes part in several blocks, so that a feature it lacks doesn't cut it
-off. The recipients of a large block are dealt into slices and its records as donors into parts, of
-sizes set by ``block_rows``; every slice is compared with every part in a group of its own and hands on
-the k closest donors of every missing cell, from which the k closest of the block are taken. Groups are
-bounded, one hot subject or label loads no single task, and the result doesn't depend on
-``block_rows``: deviations are taken over whole blocks. The work is recipients times donors of a block.
-A missing entry becomes the weighted median of what the donors observe there, a missing label their
-weighted majority. Filled cells carry donors.
+Records are hash-blocked on their observed mixed features: file and number of channels, and within these
+label, subject and length. Every block is ordered along Hilbert curves of time and projected shapes of the
+series (gaps drawn straight, scaled by the deviations of the file); a record looks for donors among the ``window`` records on
+either side of it in every ordering of its blocks, across the borders of partitions too. The distance adds
+differences of label, subject, time and length to that of the shapes. All orderings are range-partitioned
+together, so that no hot file, subject or label loads one task; the work grows with the records, not with
+their pairs. A block of at most ``window`` records is thus searched whole. Records for which the windows don't give ``k``
+donors to every missing cell (a channel that is hardly ever observed) are compared with all records of the
+file, in slices and parts of bounded size. Only features and the numbers of missing cells travel; the
+values are fetched from the chosen donors.
+
+A missing entry becomes the weighted median of what the k closest donors observe there, a missing label
+their weighted majority; every donor counts once. Filled cells carry their donors.
 
 Defined cases: the same idx delivered more than once counts once (earliest arrival); null series or
-channels have no cells; listed positions beyond a series are ignored; where no block gives a donor,
+channels have no cells; listed positions beyond a series are ignored; where no record gives a donor,
 the mean of the channel over the file and label, then the file, then 0 is taken (the file's most
 frequent label, else 'unknown') and ``donors`` is empty; an empty table gives an empty result.
 """
@@ -19,6 +23,7 @@ frequent label, else 'unknown') and ``donors`` is empty; an empty table gives an
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +31,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpwood.functions.hilbert import hilbert
+from kelpwood.session import checkpointed, parallelism
+
 POINTS = 12  # resampled points a channel in the feature vector
-STRIDE = 1 << 24  # cell number = channel * STRIDE + pos
-SLICE, PART = 10, 20  # a group compares at most about SLICE * block_rows recipients with PART * block_rows donors
+STRIDE = 1 << 32  # cell number = channel * STRIDE + pos, more than a series can have entries
+#: Orderings: the block (file alone, label, subject), whether it holds one length only, how much time weighs as an axis.
+CURVES = (("s", False, 1), ("s", True, 0.2), ("l", True, 1), ("l", True, 0.2), ("l", True, 0), ("l", False, 0.2), ("f", True, 1), ("f", True, 0.2), ("f", False, 0.2))
+FORTNIGHT = 14  # days on the axis of time that weigh as much as a deviation of the shape
+WAVES = 12  # shapes that are turned into axes
+AXES, BITS = 6, 10  # 60 bits: a place on the curve fits a bigint
+SLICE, PART = 500, 4_000  # recipients and donors of one group of the exhaustive search
+LABEL = -1  # the cell number of a label
 
 
 def missing_numbers(tokens: Column) -> Column:
@@ -103,71 +117,275 @@ class _Series:
         return out.reshape(len(out), -1) if self.channels else np.zeros((len(out), 1))
 
 
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, features)."""
+def _doubles(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds sizes of the channels and features."""
+    for batch in batches:
+        if batch.num_rows:
+            s = _Series(batch["series"])
+            sizes = s.size if s.channels else np.zeros((batch.num_rows, 0), np.int64)
+            counts = pc.fill_null(pc.list_value_length(batch["series"]), 0).to_numpy(zero_copy_only=False)
+            held = np.arange(sizes.shape[1])[None] < counts[:, None]
+            x = s.features()
+            points = np.repeat(held, POINTS, axis=1) if s.channels else np.zeros(x.shape, bool)
+            offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            more = [pa.ListArray.from_arrays(offsets(counts), pa.array(sizes[held], pa.int32())), pa.ListArray.from_arrays(offsets(counts * POINTS), pa.array(x[points], pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "sizes", "features"])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (grp, n, sums, squares) of every group of a batch."""
+    for batch in batches:
+        groups = batch["grp"].dictionary_encode()
+        at = groups.indices.to_numpy(zero_copy_only=False)
+        for g, name in enumerate(groups.dictionary.to_pylist()):
+            own = np.flatnonzero(at == g)
+            x = batch["features"].take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(own), -1)
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(own)], pa.int64()), _doubles(x.sum(0)[None]), _doubles((x * x).sum(0)[None])], names=["grp", "n", "sums", "squares"])
+
+
+PLACED = "key string, place bigint, idx bigint, asks boolean, cells array<bigint>, norm bigint, subject bigint, day double, sizes array<int>, features array<float>"
+
+
+@lru_cache(maxsize=256)
+def _turns(width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Projections and shifts of the curves over so many features: turns of the slowest waves of every channel."""
+    random = np.random.default_rng([5, width])
+    channels = max(1, width // POINTS)
+    waves = np.cos(np.pi * (np.arange(POINTS) + 0.5)[None] * np.arange(POINTS)[:, None] / POINTS) * np.where(np.arange(POINTS) > 0, np.sqrt(2), 1)[:, None] / POINTS
+    slow = np.zeros((min(width, max(WAVES, channels)), width))
+    for k in range(len(slow)):
+        c, wave = k % channels, k // channels
+        slow[k, c * POINTS : (c + 1) * POINTS] = waves[wave]
+    out = []
+    for _ in CURVES:
+        turn = np.linalg.qr(random.normal(size=(max(1, len(slow)), max(1, len(slow)))))[0][: len(slow), :AXES]
+        out.append((slow.T @ turn, random.uniform(0, 1, turn.shape[1])))
+    return out
+
+
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every ordering that a record takes part in; features divided by their spread."""
+    kept = ["idx", "asks", "cells", "norm", "subject", "day", "sizes"]
     for batch in batches:
-        x = _Series(batch["series"]).features()
-        points = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-        yield pa.RecordBatch.from_arrays([batch["key"], points], names=["key", "features"])
+        lengths = pc.list_value_length(batch["features"]).to_numpy(zero_copy_only=False)
+        for width in np.unique(lengths):
+            rows = batch.take(pa.array(np.flatnonzero(lengths == width)))
+            flat = lambda name: rows[name].flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(rows.num_rows, width)  # noqa: B023, E731
+            spread = flat("spread")
+            x = flat("features") / np.where(spread > 0, spread, 1)
+            points = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * width, pa.int32()), pa.array(x.ravel()))
+            day = pc.fill_null(rows["day"], 0.0).to_numpy(zero_copy_only=False) / FORTNIGHT
+            day = 6 - np.abs(day % 24 - 12)  # there and back, within the width of a shape axis
+            longest = _longest(rows["sizes"])
+            for curve, ((kind, sized, timed), (turn, shift)) in enumerate(zip(CURVES, _turns(int(width)), strict=True)):
+                known = {"f": rows["grp"], "l": rows["norm"].cast(pa.string()), "s": rows["subject"].cast(pa.string())}[kind]
+                key = pc.binary_join_element_wise(rows["grp"], f"{kind}{curve}", known, longest if sized else "", "|")
+                axes = x @ turn
+                if timed:
+                    axes = np.column_stack([axes[:, : AXES - 1], day * timed])
+                    shift = np.append(shift[: AXES - 1], 0.5)
+                grid = np.clip((axes / 6 + 0.5 + shift) / 2, 0, 1) * ((1 << BITS) - 1)
+                out = pa.RecordBatch.from_arrays([key, pa.array(hilbert(np.rint(grid), BITS)), *(rows[c] for c in kept), points], names=["key", "place", *kept, "features"])
+                yield out.filter(key.is_valid())
+
+
+def _longest(sizes: pa.ListArray) -> pa.Array:
+    """Greatest size of each row as text; 0 where there is none."""
+    n = pc.list_value_length(sizes).to_numpy(zero_copy_only=False)
+    out = np.zeros(len(n), np.int64)
+    np.maximum.at(out, np.repeat(np.arange(len(n)), n), sizes.flatten().to_numpy(zero_copy_only=False))
+    return pa.array(out).cast(pa.string())
+
+
+class _Rows:
+    """Placed rows as arrays."""
+
+    def __init__(self, rows: pa.RecordBatch | pa.Table) -> None:
+        column = lambda name: rows[name].combine_chunks() if isinstance(rows, pa.Table) else rows[name]
+        plain = lambda name, null: pc.fill_null(column(name), null).to_numpy(zero_copy_only=False)
+
+        def padded(name: str, null: float, kind: type) -> tuple[np.ndarray, np.ndarray]:
+            lists = column(name)
+            n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            out = np.full((len(n), int(n.max(initial=1))), null, kind)
+            out[np.arange(out.shape[1])[None] < n[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+            return out, n
+
+        self.n = rows.num_rows
+        self.idx, self.asks, self.day = plain("idx", 0), plain("asks", False), plain("day", -1e9)
+        self.norm, self.subject = plain("norm", 0), plain("subject", 0)
+        self.named, self.owned = column("norm").is_valid().to_numpy(zero_copy_only=False), column("subject").is_valid().to_numpy(zero_copy_only=False)
+        self.sizes, _ = padded("sizes", -1, np.int64)
+        self.longest = np.maximum(self.sizes.max(1, initial=0), 0)
+        self.features, self.width = padded("features", 0, np.float32)
+        cells = column("cells")
+        counts = pc.list_value_length(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.cell, self.cell_start = cells.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)])
+        self.codes = np.unique(self.cell)
+        self.missing = np.sort(np.repeat(np.arange(self.n), counts) * max(1, len(self.codes)) + np.searchsorted(self.codes, self.cell))
+
+    def lacks(self, row: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Whether rows miss a cell."""
+        if not len(self.codes):
+            return np.zeros(np.broadcast(row, cell).shape, bool)
+        code = np.minimum(np.searchsorted(self.codes, cell), len(self.codes) - 1)
+        key = row * len(self.codes) + code
+        at = np.minimum(np.searchsorted(self.missing, key), len(self.missing) - 1)
+        return (self.missing[at] == key) & (self.codes[code] == cell)
+
+
+def distances(t: _Rows, asks: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Distances of the rows ``asks`` (n) to the rows ``other`` (n, m)."""
+    away = t.features[asks][:, None] - t.features[other]
+    d = np.einsum("rmd,rmd->rm", away, away, dtype=float) / np.maximum(1, t.width[asks])[:, None]
+    d += 0.5 * (t.named[asks][:, None] & t.named[other] & (t.norm[asks][:, None] != t.norm[other]))
+    d += 0.25 * ~(t.owned[asks][:, None] & t.owned[other] & (t.subject[asks][:, None] == t.subject[other]))
+    return d + 0.05 * np.minimum(np.abs(t.day[asks][:, None] - t.day[other]), 30) / 30 + 0.02 * np.abs(t.longest[asks][:, None] - t.longest[other])
+
+
+def closest(t: _Rows, asks: np.ndarray, other: np.ndarray, fit: np.ndarray, k: int) -> list[np.ndarray]:
+    """(idx, cell, donor, at, distance) of the k closest donors of every missing cell of the rows ``asks`` among the rows
+    ``other`` (n, m) where they ``fit``; at is the donor's own cell, at the same place of a series of another length."""
+    d = np.where(fit, distances(t, asks, other), np.inf)
+    order = np.lexsort((t.idx[other], d), axis=1)
+    other, d = np.take_along_axis(other, order, 1), np.take_along_axis(d, order, 1)
+    counts = t.cell_start[asks + 1] - t.cell_start[asks]
+    of = np.repeat(np.arange(len(asks)), counts)
+    cell = t.cell[np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + t.cell_start[asks][of]]
+    out = []
+    todo, few = np.arange(len(of)), min(4 * k, other.shape[1])
+    while len(todo) and few:
+        donor, far, c = other[of[todo], :few], d[of[todo], :few], np.maximum(cell[todo] // STRIDE, 0)[:, None]
+        n, m = t.sizes[donor, c], t.sizes[asks[of[todo]][:, None], c]
+        p = (cell[todo] % STRIDE)[:, None]
+        at = np.where(n == m, p, np.minimum(n - 1, np.rint(p * (n - 1) / np.maximum(1, m - 1)).astype(np.int64))) + c * STRIDE
+        seen = np.where(cell[todo][:, None] == LABEL, t.named[donor], (n > 0) & ~t.lacks(donor, at)) & np.isfinite(far)
+        first = seen & (np.cumsum(seen, 1) <= k)
+        whole = (first.sum(1) >= k) | (few == other.shape[1])
+        q, j = np.nonzero(first & whole[:, None])
+        out.append([t.idx[asks[of[todo[q]]]], cell[todo[q]], t.idx[donor[q, j]], np.where(cell[todo[q]] == LABEL, LABEL, at[q, j]), far[q, j]])
+        todo, few = todo[~whole], other.shape[1]
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
+
+
+FOUND = "idx bigint, cell bigint, near array<struct<distance: double, donor: bigint, at: bigint>>"
+
+
+def _found(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """A row for every missing cell of a recipient with what it found."""
+    idx, cell, donor, at, distance = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0)] * 5
+    idx, cell, donor, at = (c.astype(np.int64) for c in (idx, cell, donor, at))
+    order = np.lexsort((cell, idx))
+    idx, cell = idx[order], cell[order]
+    start = np.flatnonzero(np.append(True, (np.diff(idx) != 0) | (np.diff(cell) != 0))) if len(idx) else np.zeros(0, np.int64)
+    near = pa.StructArray.from_arrays([pa.array(distance[order]), pa.array(donor[order]), pa.array(at[order])], names=["distance", "donor", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(idx[start]), pa.array(cell[start]), pa.ListArray.from_arrays(pa.array(np.append(start, len(idx)), pa.int32()), near)], names=["idx", "cell", "near"])
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """(idx, cell, near) with the k closest donors; one met in several orderings counts once."""
+    once = F.filter("all", lambda r, i: ~F.exists(F.slice("all", 1, i), lambda o: o["donor"] == r["donor"]))
+    all_ = F.array_sort(F.array_distinct(F.flatten(F.collect_list("near"))))  # at most k an ordering
+    return found.groupBy("idx", "cell").agg(all_.alias("all")).select("idx", "cell", F.slice(once, 1, k).alias("near"))
+
+
+def _in_windows(rows: pa.RecordBatch, lo: int, hi: int, window: int, k: int, split: int | None = None) -> list[list[np.ndarray]]:
+    """What the recipients among the rows lo..hi of a sorted stretch find within their windows; with ``split`` only on
+    the other side of that row."""
+    if hi <= lo:
+        return []
+    t = _Rows(rows)
+    key = rows["key"].dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    out = []
+    every = np.flatnonzero(t.asks[lo:hi]) + lo
+    for at in range(0, len(every), 256):
+        asks = every[at : at + 256]
+        place = asks[:, None] + np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])[None]
+        fit = (place >= 0) & (place < t.n)
+        place = np.clip(place, 0, t.n - 1)
+        fit &= (key[place] == key[asks][:, None]) & (t.idx[place] != t.idx[asks][:, None])
+        if split is not None:
+            fit &= (place < split) != (asks < split)[:, None]
+        some = fit.any(1)
+        if some.any():
+            out.append(closest(t, asks[some], place[some], fit[some], k))
+    return out
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def _windows(window: int, k: int):
+    """Compare within a sorted partition; also hand out the rows next to its borders."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, head, rest, done = TaskContext.get().partitionId(), [], None, 0
+        whole = lambda found, rows, border: pa.RecordBatch.from_arrays(
+            [*found.columns, *(pa.nulls(found.num_rows, f.type) for f in rows.schema), pa.nulls(found.num_rows, pa.int32()), pa.nulls(found.num_rows, pa.bool_())] if border is None
+            else [*(pa.nulls(rows.num_rows, f.type) for f in found.schema), *rows.columns, pa.array(np.full(rows.num_rows, border[0], np.int32)), pa.array(np.full(rows.num_rows, border[1]))],
+            names=[*found.schema.names, *(f"r_{c}" for c in rows.schema.names), "border", "after"],
+        )
+        pieces = (batch[at : at + 8192] for batch in batches for at in range(0, batch.num_rows, 8192))
+        for batch in _and_none(pieces):
+            # rows stay until all rows of their window have come
+            if batch is not None:
+                if sum(b.num_rows for b in head) < window:
+                    head.append(batch[:window])
+                rest = batch if rest is None else _one([rest, batch])
+            if rest is None:
+                continue
+            end = rest.num_rows if batch is None else max(done, rest.num_rows - window)
+            found = _found(_in_windows(rest, done, end, window, k))
+            if found.num_rows:
+                yield whole(found, rest, None)
+            if batch is None:
+                yield whole(_found([]), _one(head)[:window], (part, True))
+                yield whole(_found([]), rest[max(0, rest.num_rows - window) :], (part + 1, False))
+                continue
+            keep = max(0, end - window)
+            rest, done = rest[keep:], end - keep
 
+    return run
 
-def _donors(k: int):
-    """The k closest donors, among those of one part of a block, of every missing cell of one slice."""
 
-    def run(rows: pa.Table, spreads: pa.Table) -> pa.Table:
-        rows = rows.combine_chunks()
-        column = lambda name: rows[name].combine_chunks() if rows.num_rows else pa.array([], rows.schema.field(name).type)
-        plain = lambda name, null: pc.fill_null(column(name), null).to_numpy(zero_copy_only=False)
-        asks, gives = np.flatnonzero(plain("asks", False)), np.flatnonzero(plain("gives", False))
-        series, idx = _Series(column("series")), plain("idx", 0)
-        x = series.features()
-        spread = x.std(0) if rows.num_rows else np.zeros(x.shape[1])
-        if spreads.num_rows:  # of the whole block, of which these rows are a part
-            spread = np.zeros(x.shape[1])
-            known = spreads["spread"][0].as_py()[: len(spread)]
-            spread[: len(known)] = known
-        x = x / np.where(spread > 0, spread, 1)
-        norm = pc.fill_null(column("norm").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
-        subject, nobody = plain("subject_id", 0), column("subject_id").is_null().to_numpy(zero_copy_only=False)
-        size = np.maximum(series.size.max(1, initial=0), 0)
-        when = pc.fill_null(column("recorded_at").cast(pa.int64()), -(1 << 62)).to_numpy(zero_copy_only=False) / 86.4e9  # days
-        wants_label, cells, labels = plain("wants_label", False), column("cells"), column("label").to_pylist()
-        gx, gidx, gnorm, gsubject, gnobody, gsize, gwhen = (v[gives] for v in (x, idx, norm, subject, nobody, size, when))
-        out: list[list[np.ndarray]] = [[], [], [], [], []]
-
-        def closest(d: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
-            """Donors other than the record itself, closest first: at least ``most``, if there are so many."""
-            near = np.flatnonzero(~own & (d <= np.partition(d, most)[most])) if most < len(d) else np.flatnonzero(~own)
-            return near[np.lexsort((gidx[near], d[near]))]
-
-        def first(ok: np.ndarray) -> np.ndarray:
-            return ok & (np.cumsum(ok, 0) <= k)
-
-        for i in asks:
-            away = gx - x[i]
-            d = np.einsum("ij,ij->i", away, away) / x.shape[1] + 0.5 * ((gnorm >= 0) & (norm[i] >= 0) & (gnorm != norm[i])) + 0.25 * ((gsubject != subject[i]) | gnobody | nobody[i]) + 0.05 * np.minimum(np.abs(gwhen - when[i]), 30) / 30 + 0.02 * np.abs(gsize - size[i])
-            own = gidx == idx[i]
-            c, p = np.divmod(np.array(cells[i].as_py() or [], np.int64), STRIDE)
-            for most in (8 * k, len(d)):
-                order = closest(d, own, most)
-                j = gives[order]
-                n, m = series.size[np.ix_(j, c)], series.size[i, c]
-                q = np.where(n == m, p, np.minimum(n - 1, np.rint(p * (n - 1) / np.maximum(1, m - 1)).astype(np.int64)))
-                value = np.full(n.shape, np.nan)
-                value[n > 0] = series.values[(series.start[np.ix_(j, c)] + q)[n > 0]]
-                seen, named = np.isfinite(value), norm[j] >= 0
-                if most >= len(d) or ((seen.sum(0) >= k).all() and (not wants_label[i] or named.sum() >= k)):
-                    break
-            at, cell = np.nonzero(first(seen))
-            lab = np.flatnonzero(first(named)) if wants_label[i] else np.zeros(0, np.int64)
-            place = np.concatenate([at, lab])
-            none = np.full(len(lab), -1)
-            for held, new in zip(out, (np.full(len(place), idx[i]), np.concatenate([(c * STRIDE + p)[cell], none]), j[place], d[order[place]], np.concatenate([value[at, cell], np.full(len(lab), np.nan)])), strict=True):
-                held.append(new)
-        who, cell, donor, distance, value = (np.concatenate(v) if v else np.zeros(0) for v in out)
-        donor, cell = donor.astype(np.int64), cell.astype(np.int64)
-        texts = [labels[j] if e < 0 else None for j, e in zip(donor.tolist(), cell.tolist(), strict=True)]
-        return pa.table({"idx": pa.array(who.astype(np.int64)), "cell": pa.array(cell), "donor": pa.array(idx[donor].astype(np.int64)), "distance": pa.array(distance), "value": pa.array(value, from_pandas=True), "label": pa.array(texts, pa.string())})
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _across(window: int, k: int):
+    """Compare the rows on both sides of a border."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        before, after = (rows.filter(pc.equal(rows["after"], v)).sort_by([("key", "ascending"), ("place", "ascending"), ("idx", "ascending")]) for v in (False, True))
+        if not before.num_rows or not after.num_rows:
+            return pa.Table.from_batches([_found([])])
+        both = pa.concat_tables([before, after]).combine_chunks().to_batches()[0]
+        return pa.Table.from_batches([_found(_in_windows(both, 0, both.num_rows, window, k, before.num_rows))])
+
+    return run
+
+
+def _everywhere(k: int):
+    """Compare all recipients of a group with all its donors."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        t = _Rows(rows.combine_chunks())
+        takes, gives = (pc.fill_null(rows[c].combine_chunks(), False).to_numpy(zero_copy_only=False) for c in ("takes", "gives"))
+        asks, donors, out = np.flatnonzero(takes), np.flatnonzero(gives), []
+        for at in range(0, len(asks), 16):
+            own = asks[at : at + 16]
+            other = np.broadcast_to(donors, (len(own), len(donors)))
+            if len(donors):
+                out.append(closest(t, own, other, t.idx[other] != t.idx[own][:, None], k))
+        return pa.Table.from_batches([_found(out)])
 
     return run
 
@@ -180,41 +398,67 @@ def _weighted(rows: Column) -> Column:
     return F.aggregate(ordered, start, lambda a, r: F.struct((a["w"] + r["weight"]).alias("w"), F.when(a["v"].isNotNull(), a["v"]).when(a["w"] + r["weight"] >= half, r["value"]).alias("v")))["v"]
 
 
-def hot_deck(records: DataFrame, context: DataFrame, k: int = 5, block_rows: int = 200) -> DataFrame:
+def placed_records(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records with ``spread``, counts): the spread of each feature over the file's records of as many channels, and the
+    number of these."""
+    sums = base.select("grp", "features").mapInArrow(_sums, "grp string, n bigint, sums array<double>, squares array<double>")
+    points = sums.select("grp", "n", F.posexplode(F.arrays_zip("sums", "squares")).alias("point", "v")).groupBy("grp", "point").agg(F.sum("n").alias("n"), F.sum("v.sums").alias("s"), F.sum("v.squares").alias("q"))
+    spread = F.sqrt(F.greatest(F.col("q") / F.col("n") - F.pow(F.col("s") / F.col("n"), 2), F.lit(0.0)))
+    spreads = points.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("point", spread.alias("s")))), lambda r: r["s"]).alias("spread"))
+    counts = sums.groupBy("grp").agg(F.sum("n").alias("n"))
+    return base.join(spreads, "grp", "left").withColumn("spread", F.coalesce("spread", F.array().cast("array<double>"))), counts
+
+
+def nearest_donors(base: DataFrame, k: int, window: int, parts: int | None = None) -> DataFrame:
+    """(idx, cell, near): the k closest donors of every missing cell.
+
+    base: checkpointed rows with grp, idx, asks, cells, norm (hashed), subject, day, sizes, features.
+    """
+    spark = base.sparkSession
+    rows, counts = placed_records(base)
+    placed = rows.select("grp", "idx", "asks", "cells", "norm", "subject", "day", "sizes", "features", "spread").mapInArrow(_place, PLACED)
+    parts = parts or max(1, min(parallelism(spark), base.count() * len(CURVES) // (16 * window)))
+    order = ["key", "place", "idx"]
+    sorted_rows = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    both = ", ".join([FOUND, *(f"r_{c}" for c in PLACED.split(", ")), "border int", "after boolean"])
+    seen = checkpointed(sorted_rows.mapInArrow(_windows(window, k), both))
+    edges = seen.filter("border is not null").select("border", "after", *(F.col(f"r_{c.split()[0]}").alias(c.split()[0]) for c in PLACED.split(", ")))
+    within = seen.filter("border is null").select("idx", "cell", "near")
+    if parts > 1:
+        within = within.unionByName(edges.groupBy("border").applyInArrow(_across(window, k), FOUND))
+    best = checkpointed(_merged(within, k))
+    # who lacks donors in windows that don't hold the whole file
+    wide = counts.filter(F.col("n") > window + 1).select("grp", F.col("n").alias("n_rows"))
+    had = best.filter(F.size("near") >= k).groupBy("idx").agg(F.count("*").alias("n_served"))
+    lacking = checkpointed(base.filter("asks").join(wide, "grp").join(had, "idx", "left").filter(F.coalesce("n_served", F.lit(0)) < F.size("cells")).select("grp", "idx", "n_rows"))
+    if not lacking.limit(1).count():
+        return best
+    groups = lacking.groupBy("grp").agg(F.count("*").alias("r"), F.first("n_rows").alias("n")).select("grp", F.ceil(F.col("r") / SLICE).cast("int").alias("slices"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda n: F.pmod(F.xxhash64("idx"), F.col(n)).cast("int")
+    own = rows.select("grp", "idx", "cells", "norm", "subject", "day", "sizes", F.zip_with("features", "spread", lambda x, s: F.when(s > 0, x / s).otherwise(x).cast("float")).alias("features"))
+    takers = own.join(lacking.select("idx"), "idx", "left_semi").join(groups, "grp").withColumn("slice", dealt("slices")).withColumn("part", every("parts"))
+    givers = own.join(groups, "grp").withColumn("part", dealt("parts")).withColumn("slice", every("slices"))
+    flagged = lambda rows, takes: rows.drop("slices", "parts").withColumn("asks", F.lit(takes)).withColumn("takes", F.lit(takes)).withColumn("gives", F.lit(not takes))
+    rest = flagged(takers, True).unionByName(flagged(givers, False)).groupBy("grp", "slice", "part").applyInArrow(_everywhere(k), FOUND)
+    return _merged(best.unionByName(rest), k)
+
+
+def hot_deck(records: DataFrame, context: DataFrame, k: int = 5, window: int = 100, parts: int | None = None) -> DataFrame:
     """One row an idx: series and label filled, and ``filled``: what was filled, cell by cell, as
-    array<struct<field, channel, pos, value, label, donors>>."""
-    base = observed_records(records, context).withColumn("norm", F.upper("label")).withColumn("cells", missing_cells(F.col("series"))).withColumn("wants_label", F.col("label").isNull())
-    day = F.coalesce(F.date_format("recorded_at", "yyyy-MM-dd"), F.lit("?"))
-    shape = F.transform(F.coalesce("series", F.array().cast("array<array<double>>")), lambda ch: F.when(F.coalesce(F.get(F.filter(ch, lambda x: x.isNotNull()), F.lit(0)), F.lit(0.0)) < F.element_at(F.concat(F.filter(ch, lambda x: x.isNotNull()), F.array(F.lit(0.0))), -1), "u").otherwise("d"))
-    text = lambda *parts: F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("?")) for p in parts])
-    size = F.size("series")
-    keys = F.array(
-        text(F.lit("ls"), F.col("file_id"), size, F.col("norm"), F.col("subject_id")),
-        text(F.lit("lh"), F.col("file_id"), size, F.col("norm"), F.array_join(F.coalesce(shape, F.array().cast("array<string>")), "")),
-        text(F.lit("sd"), F.col("file_id"), size, F.col("subject_id"), F.trunc("recorded_at", "month"), F.substring(day, 9, 1)),
-        text(F.lit("lt"), F.col("file_id"), size, F.col("norm"), F.trunc("recorded_at", "month")),
-        text(F.lit("fh"), F.col("file_id"), size, F.array_join(F.coalesce(shape, F.array().cast("array<string>")), "")),
-    )
-    keyed = base.select("idx", "series", "label", "norm", "subject_id", "recorded_at", "cells", "wants_label", F.explode(F.array_distinct(keys)).alias("key"))
-    wanted = (F.size("cells") > 0) | F.col("wants_label")
-    split = lambda n, rows: F.greatest(F.ceil(F.col(n) / rows), F.lit(1)).cast("int")
-    counts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(wanted.cast("int")).alias("r")).filter("r > 0 and n > 1").select("key", split("r", SLICE * block_rows).alias("slices"), split("n", PART * block_rows).alias("parts"))
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    # every slice of the recipients of a block meets every part of its donors
-    dealt = keyed.join(counts, "key").withColumn("own_slice", F.when(wanted, F.pmod(F.xxhash64("idx", "key"), "slices").cast("int"))).withColumn("own_part", F.pmod(F.xxhash64("key", "idx"), "parts").cast("int"))
-    to = lambda s, p: F.struct(s.alias("slice"), p.alias("part"))
-    places = F.array_union(F.transform(every("slices"), lambda s: to(s, F.col("own_part"))), F.when(wanted, F.transform(every("parts"), lambda p: to(F.col("own_slice"), p))).otherwise(F.array().cast("array<struct<slice: int, part: int>>")))
-    asks, gives = F.coalesce(F.col("place.slice") == F.col("own_slice"), F.lit(False)), F.col("place.part") == F.col("own_part")
-    groups = dealt.withColumn("place", F.explode(places)).select("key", "place.slice", "place.part", asks.alias("asks"), gives.alias("gives"), "idx", "series", "label", "norm", "subject_id", "recorded_at", F.when(asks, F.col("cells")).alias("cells"), "wants_label")
-    # deviations of blocks that are split, once over the whole block
-    large = counts.filter("slices > 1 or parts > 1")
-    points = keyed.select("key", "series").join(large, "key", "left_semi").mapInArrow(_shapes, "key string, features array<double>").select("key", F.posexplode("features").alias("point", "x"))
-    spreads = points.groupBy("key", "point").agg(F.stddev_pop("x").alias("s")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "s"))), lambda r: r["s"]).alias("spread"))
-    spreads = spreads.join(large, "key").select("key", F.explode(every("slices")).alias("slice"), "parts", "spread").select("key", "slice", F.explode(every("parts")).alias("part"), "spread")
-    on = ["key", "slice", "part"]
-    found = groups.groupBy(*on).cogroup(spreads.groupBy(*on)).applyInArrow(_donors(k), "idx bigint, cell bigint, donor bigint, distance double, value double, label string")
-    near = found.groupBy("idx", "cell").agg(F.sort_array(F.collect_set(F.struct("distance", "donor", "value", "label"))).alias("all"))
-    close = near.select("idx", "cell", F.slice("all", 1, k).alias("close"))  # the same donor has the same value in every block
+    array<struct<field, channel, pos, value, label, donors>>. ``parts`` sets the range partitions of the orderings."""
+    grp = F.concat_ws("|", F.coalesce(F.col("file_id").cast("string"), F.lit("?")), F.coalesce(F.size("series"), F.lit(-1)).cast("string"))
+    ready = observed_records(records, context).withColumn("norm", F.upper("label")).withColumn("cells", missing_cells(F.col("series"))).withColumn("wants_label", F.col("label").isNull()).withColumn("grp", grp)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields)
+    base = checkpointed(ready.mapInArrow(_shaped, f"{kinds}, sizes array<int>, features array<float>"))
+    asked = F.when(F.col("wants_label"), F.concat("cells", F.array(F.lit(LABEL).cast("bigint")))).otherwise(F.col("cells"))
+    compact = base.select("grp", "idx", (F.size(asked) > 0).alias("asks"), asked.alias("cells"), F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("norm"), F.col("subject_id").alias("subject"), (F.unix_micros(F.col("recorded_at").cast("timestamp")) / 86.4e9).alias("day"), "sizes", "features")
+    found = nearest_donors(compact, k, window, parts)
+    best = found.select("idx", "cell", F.inline("near"))
+    at = lambda part: (F.col("at") % STRIDE if part else F.floor(F.col("at") / STRIDE)).cast("int")
+    given = base.select(F.col("idx").alias("donor"), "series", "label")
+    valued = best.join(given, "donor").select("idx", "cell", "distance", "donor", F.when(F.col("cell") >= 0, F.get(F.get("series", at(0)), at(1))).alias("value"), F.when(F.col("cell") < 0, F.col("label")).alias("label"))
+    close = valued.groupBy("idx", "cell").agg(F.sort_array(F.collect_list(F.struct("distance", "donor", "value", "label"))).alias("close"))
     weighted = F.transform("close", lambda r: F.struct(r["value"].alias("value"), (1 / (r["distance"] + 0.05)).alias("weight")))
     votes = F.transform(F.array_distinct(F.transform("close", lambda r: r["label"])), lambda x: F.struct(F.aggregate(F.filter("close", lambda r: r["label"] == x), F.lit(0.0), lambda a, r: a + 1 / (r["distance"] + 0.05)).alias("w"), x.alias("label")))
     deck = close.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("cell", F.struct(F.when(F.col("cell") >= 0, _weighted(weighted)).alias("value"), F.when(F.col("cell") < 0, F.array_max(votes)["label"]).alias("label"), F.array_distinct(F.transform("close", lambda r: r["donor"])).alias("donors"))))).alias("deck"))
