@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpwood.functions.arrays import Channels
 from kelpwood.functions.hilbert import hilbert
 from kelpwood.session import checkpointed, parallelism
 
@@ -82,39 +83,23 @@ def missing_cells(series: Column) -> Column:
     return F.flatten(F.transform(F.coalesce(series, F.array().cast("array<array<double>>")), lambda ch, c: F.filter(F.transform(F.coalesce(ch, F.array().cast("array<double>")), lambda x, p: F.when(x.isNull(), c.cast("bigint") * STRIDE + p)), lambda k: k.isNotNull())))
 
 
-class _Series:
-    """A column of series as flat values: ``size`` and ``start`` of every (row, channel), size -1 where there is none."""
-
-    def __init__(self, column: pa.ListArray) -> None:
-        counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(len(counts)), counts)
-        at = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
-        channels = column.flatten()
-        sizes = pc.fill_null(pc.list_value_length(channels), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        held = np.maximum(sizes, 0)
-        self.values = channels.flatten().to_numpy(zero_copy_only=False).astype(float)
-        self.channels = int(counts.max(initial=0))
-        self.size = np.full((len(counts), self.channels), -1, np.int64)
-        self.start = np.zeros((len(counts), self.channels), np.int64)
-        self.size[rows, at], self.start[rows, at] = sizes, np.cumsum(held) - held
-
-    def features(self) -> np.ndarray:
-        """POINTS resampled points a channel, straight over the gaps; 0 where nothing is observed."""
-        out = np.zeros((*self.size.shape, POINTS))
-        gaps = np.concatenate([[0], np.cumsum(~np.isfinite(self.values))])
-        whole = (self.size > 0) & (gaps[self.start + np.maximum(self.size, 0)] == gaps[self.start])
-        for n in np.unique(self.size[whole]):
-            at = np.linspace(0, n - 1, POINTS)
-            low = np.minimum(at.astype(int), n - 1)
-            r, c = np.nonzero(whole & (self.size == n))
-            first, then = self.values[self.start[r, c][:, None] + low], self.values[self.start[r, c][:, None] + np.minimum(low + 1, n - 1)]
-            out[r, c] = (then - first) * (at - low) + first
-        for r, c in zip(*np.nonzero((self.size > 0) & ~whole), strict=True):
-            a = self.values[self.start[r, c] : self.start[r, c] + self.size[r, c]]
-            ok = np.isfinite(a)
-            if ok.any():
-                out[r, c] = np.interp(np.linspace(0, len(a) - 1, POINTS), np.flatnonzero(ok), a[ok])
-        return out.reshape(len(out), -1) if self.channels else np.zeros((len(out), 1))
+def features(s: Channels) -> np.ndarray:
+    """POINTS resampled points a channel, straight over the gaps; 0 where nothing is observed."""
+    out = np.zeros((*s.size.shape, POINTS))
+    gaps = np.concatenate([[0], np.cumsum(~np.isfinite(s.values))])
+    whole = (s.size > 0) & (gaps[s.start + np.maximum(s.size, 0)] == gaps[s.start])
+    for n in np.unique(s.size[whole]):
+        at = np.linspace(0, n - 1, POINTS)
+        low = np.minimum(at.astype(int), n - 1)
+        r, c = np.nonzero(whole & (s.size == n))
+        first, then = s.values[s.start[r, c][:, None] + low], s.values[s.start[r, c][:, None] + np.minimum(low + 1, n - 1)]
+        out[r, c] = (then - first) * (at - low) + first
+    for r, c in zip(*np.nonzero((s.size > 0) & ~whole), strict=True):
+        a = s.values[s.start[r, c] : s.start[r, c] + s.size[r, c]]
+        ok = np.isfinite(a)
+        if ok.any():
+            out[r, c] = np.interp(np.linspace(0, len(a) - 1, POINTS), np.flatnonzero(ok), a[ok])
+    return out.reshape(len(out), -1) if s.channels else np.zeros((len(out), 1))
 
 
 def _doubles(x: np.ndarray) -> pa.Array:
@@ -125,11 +110,11 @@ def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds sizes of the channels and features."""
     for batch in batches:
         if batch.num_rows:
-            s = _Series(batch["series"])
+            s = Channels(batch["series"])
             sizes = s.size if s.channels else np.zeros((batch.num_rows, 0), np.int64)
             counts = pc.fill_null(pc.list_value_length(batch["series"]), 0).to_numpy(zero_copy_only=False)
             held = np.arange(sizes.shape[1])[None] < counts[:, None]
-            x = s.features()
+            x = features(s)
             points = np.repeat(held, POINTS, axis=1) if s.channels else np.zeros(x.shape, bool)
             offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             more = [pa.ListArray.from_arrays(offsets(counts), pa.array(sizes[held], pa.int32())), pa.ListArray.from_arrays(offsets(counts * POINTS), pa.array(x[points], pa.float32()))]

@@ -3,7 +3,7 @@ distances, sources and streams, over whole tables, with SQL where it can express
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +17,7 @@ from kelpwood.operators import hotdeck, impute, knn, proximity
 from kelpwood.operators import purity as P
 from kelpwood.plans.problems import _LINES
 from kelpwood.plans.distance_queries import records_2d, valid
-from kelpwood.session import broadcast_if_small, checkpointed, table
+from kelpwood.session import broadcast_if_small, checkpointed, folder, table
 from kelpwood.sources import delimited
 from kelpwood.streaming import scoring
 
@@ -329,19 +329,11 @@ def f_outliers(spark, d):
 def f_save_and_load(spark, d):
     """A saved forest gives the same predictions."""
     model, rows = _forest(spark, d)
-    path = f"{_folder(spark)}/model"
+    path = f"{folder(spark)}/model"
     model.save(path)
     return FO.ForestModel.load(spark, path).transform(rows)
 
 
-def _folder(spark) -> str:
-    """A new folder below the checkpoint folder, which all executors share."""
-    checkpointed(spark.range(1))
-    import uuid
-
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
-
-
 # --- proximity tables ------------------------------------------------------------------------
 
 _PROX = "p as (select i, j, max(prox) as prox from sparse_proximities where prox > 0 and prox <= 1 and j <> i group by all)"
@@ -594,7 +586,7 @@ def m_file_class_mismatch(spark, d):
 @query(f"with {_V} select idx, label, list_transform(x, lambda t: t::double) as series from v")
 def io_write_and_read(spark, d):
     """Series written as text with inline labels and read back."""
-    path = f"{_folder(spark)}/lines"
+    path = f"{folder(spark)}/lines"
     rows = _series(spark, d)
     line = F.concat_ws("\t", F.col("idx").cast("string"), F.coalesce("label", F.lit("?")), delimited.series_text(F.col("series"), False, "\t"))
     rows.select(line.alias("value")).write.text(path)
@@ -615,9 +607,9 @@ def _streamed(spark, d):
     alone = lines.inputFiles()[0].endswith("/raw_lines.parquet")  # else a folder of part files
     reader = spark.readStream.schema(lines.schema)
     source = reader.option("pathGlobFilter", "raw_lines.parquet").parquet(d) if alone else reader.parquet(f"{d}/raw_lines.parquet")
-    name = f"outcomes_{abs(hash((spark.sparkContext.applicationId, d, tempfile.mktemp())))}"
+    name = f"outcomes_{uuid.uuid4().hex}"
     found = scoring.outcomes(source, table(spark, d, "app_context"))
-    run = found.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{_folder(spark)}/stream").trigger(availableNow=True).start()
+    run = found.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{folder(spark)}/stream").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,13 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the one the cluster names in spark.checkpoint.dir. Only where that is unset,
-    as in local tests, a folder of this machine is used.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the one the cluster names in spark.checkpoint.dir. Only where that is unset, as in
+    local tests, a folder of this machine is used."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -28,9 +25,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="kelpwood-checkpoint-")
         sc.setCheckpointDir(shared)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table written to the shared folder: smaller than a checkpoint, and read by column."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder below the shared one."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4()}"
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
