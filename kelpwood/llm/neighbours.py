@@ -5,13 +5,14 @@
 2. Each representative is projected by ``curves`` random rotations of the leading principal axes,
    shifted, laid on a grid and given its place on a Hilbert curve. The axes and scale are fitted on
    a bounded sample of ``fit_rows`` rows; every row is indexed.
-3. All orderings are range-partitioned and sorted together. Every row is compared with the
-   ``window`` rows on either side of it in each ordering, in blocks, with exact distances. Rows next
-   to a partition's border are compared again across it.
-4. The windows' best are merged by row, copies are expanded, and the k nearest by (distance, id) come
-   out.
-
-Defined cases: vectors that are null, of another length than ``dim``, or hold null, NaN or infinite
+3. All orderings are range-partitioned and sorted together; the vectors travel in single precision.
+   Every row is compared with the ``window`` rows on either side of it in each ordering, in blocks.
+   Rows next to a partition's border are compared again across it.
+4. The windows' best are merged by row. Where distances lie so close to each other (or to a limit that
+   the caller names) that single precision can't order them, they are computed again from the stored
+   vectors. Copies are expanded, and the k nearest by (distance, id) come out.
+
+Distances are those of vectors in single precision, but for the ones computed again. Defined cases: vectors that are null, of another length than ``dim``, or hold null, NaN or infinite
 entries take no part; null ids take none; a repeated (id, vector) row counts once; an empty table
 gives an empty result.
 """
@@ -26,37 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpwood.functions.hilbert import hilbert
 from kelpwood.session import checkpointed, parallelism
 
 AXES, BITS = 6, 10  # 60 bits: a place on the curve fits a bigint
-
-
-def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Places on the Hilbert curve of the rows of a grid of 2**bits cells an axis (Skilling 2004)."""
-    x = cells.astype(np.int64).T.copy()
-    n = len(x)
-    bit = 1 << (bits - 1)
-    while bit > 1:
-        low = bit - 1
-        for i in range(n):
-            on = (x[i] & bit) != 0
-            swap = np.where(on, 0, (x[0] ^ x[i]) & low)
-            x[0] ^= np.where(on, low, swap)
-            x[i] ^= swap
-        bit >>= 1
-    for i in range(1, n):
-        x[i] ^= x[i - 1]
-    turn = np.zeros_like(x[0])
-    bit = 1 << (bits - 1)
-    while bit > 1:
-        turn ^= np.where((x[n - 1] & bit) != 0, bit - 1, 0)
-        bit >>= 1
-    x ^= turn
-    place = np.zeros_like(x[0])
-    for b in range(bits - 1, -1, -1):
-        for i in range(n):
-            place = (place << 1) | ((x[i] >> b) & 1)
-    return place
+CLOSE = 1e-5  # relative difference from which single precision orders distances
+MORE = 3  # neighbours beyond k that are kept for that
 
 
 class Curves:
@@ -88,6 +64,7 @@ def _best(x: np.ndarray, ids: np.ndarray, window: int, k: int, only: tuple[int,
 
     only: compare just rows on different sides of that place, within the window.
     """
+    x = x.astype(float)
     n, block, out = len(x), max(64, window), []
     for lo in range(0, n, block):
         hi = min(n, lo + block)
@@ -118,7 +95,7 @@ def _stack(parts: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarr
 def _near_arrays(d: np.ndarray, i: np.ndarray) -> pa.Array:
     ok = np.isfinite(d)
     sizes = np.concatenate([[0], np.cumsum(ok.sum(1))])
-    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(d[ok]), pa.array(i[ok], pa.int64())], names=["distance", "id"]))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(d[ok].astype(np.float32)), pa.array(i[ok], pa.int64())], names=["distance", "id"]))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -127,7 +104,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _windows(dim: int, window: int, k: int):
     """Compare within a sorted partition; also hand out the rows next to its borders."""
-    near = pa.list_(pa.struct([("distance", pa.float64()), ("id", pa.int64())]))
+    near = pa.list_(pa.struct([("distance", pa.float32()), ("id", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,7 +126,7 @@ def _windows(dim: int, window: int, k: int):
             d, i = np.concatenate([p[0] for p in parts])[rest_done:end], np.concatenate([p[1] for p in parts])[rest_done:end]
             if len(d):
                 n = len(d)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), rest["id"][rest_done:end], pa.nulls(n, pa.list_(pa.float64())), _near_arrays(d, i)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), rest["id"][rest_done:end], pa.nulls(n, pa.list_(pa.float32())), _near_arrays(d, i)], names=names)
             keep = max(0, end - window)
             tail, rest, rest_done = rest[max(0, rest.num_rows - window) :], rest[keep:], max(0, end - keep)
         if tail is not None:
@@ -179,14 +156,17 @@ def _border(dim: int, window: int, k: int):
     return run
 
 
-def nearest(rows: DataFrame, idx: str, vec: str, k: int = 5, dim: int = 32, curves: int = 10, window: int = 64, fit_rows: int = 10_000, seed: int = 7) -> DataFrame:
-    """(idx, neighbour, distance, place): the k most similar vectors of every vector."""
+def nearest(rows: DataFrame, idx: str, vec: str, k: int = 5, dim: int = 32, curves: int = 8, window: int = 192, fit_rows: int = 10_000, seed: int = 7, limit: float | None = None) -> DataFrame:
+    """(idx, neighbour, distance, place): the k most similar vectors of every vector.
+
+    limit: a distance that the caller compares with; distances next to it are exact.
+    """
     spark = rows.sparkSession
     bad = F.exists(F.col(vec), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     base = rows.filter(F.col(idx).isNotNull() & (F.size(vec) == dim)).filter(~bad).select(F.col(idx).cast("bigint").alias("idx"), F.transform(vec, lambda x: x.cast("double") + F.lit(0.0)).alias("vec"))
-    first = Window.partitionBy("vec").orderBy("idx")
-    copies = base.withColumn("n", F.dense_rank().over(first)).filter(F.col("n") <= k + 1)
-    reps = checkpointed(copies.groupBy("vec").agg(F.array_sort(F.collect_set("idx")).alias("members")).select(F.col("members")[0].alias("id"), "vec", "members"))
+    first = Window.partitionBy("h", "vec").orderBy("idx")  # sorted by the hash, not by whole vectors
+    copies = base.withColumn("h", F.xxhash64("vec")).withColumn("n", F.dense_rank().over(first)).filter(F.col("n") <= k + 1)
+    reps = checkpointed(copies.groupBy("h", "vec").agg(F.array_sort(F.collect_set("idx")).alias("members")).select(F.col("members")[0].alias("id"), "vec", "members"))
     n = reps.count()
     drawn = reps.select("vec").orderBy(F.xxhash64("id")).limit(fit_rows).toPandas()["vec"]
     fitted = Curves(np.stack(drawn.to_numpy()) if len(drawn) else np.zeros((0, dim)), dim, curves, seed)
@@ -195,17 +175,29 @@ def nearest(rows: DataFrame, idx: str, vec: str, k: int = 5, dim: int = 32, curv
         for batch in batches:
             if batch.num_rows:
                 x = _matrix(batch["vec"], dim)
+                short = batch["vec"].cast(pa.list_(pa.float32()))
                 for t in range(curves):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(fitted.places(x, t)), batch["id"], batch["vec"]], names=["curve", "place", "id", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(fitted.places(x, t)), batch["id"], short], names=["curve", "place", "id", "vec"])
 
     parts = max(1, min(parallelism(spark), n * curves // (16 * window)))
-    placed = reps.select("id", "vec").mapInArrow(place, "curve int, place bigint, id bigint, vec array<double>")
+    placed = reps.select("id", "vec").mapInArrow(place, "curve int, place bigint, id bigint, vec array<float>")
     ordered = placed.repartitionByRange(parts, "curve", "place", "id").sortWithinPartitions("curve", "place", "id")
-    near = "near array<struct<distance: double, id: bigint>>"
-    seen = checkpointed(ordered.mapInArrow(_windows(dim, window, k), f"border int, curve int, place bigint, id bigint, vec array<double>, {near}"))
-    across = seen.filter("border is not null").groupBy("border").applyInPandas(_border(dim, window, k), f"id bigint, {near}")
-    merged = seen.filter("border is null").select("id", "near").unionByName(across).select("id", F.inline("near").alias("distance", "other"))
-    best = merged.groupBy("id").agg(F.slice(F.sort_array(F.collect_set(F.struct("distance", "other"))), 1, k).alias("best"))  # at most 2 * curves * k
+    near = "near array<struct<distance: float, id: bigint>>"
+    seen = checkpointed(ordered.mapInArrow(_windows(dim, window, k + 1), f"border int, curve int, place bigint, id bigint, vec array<float>, {near}"))
+    across = seen.filter("border is not null").groupBy("border").applyInPandas(_border(dim, window, k + 1), f"id bigint, {near}")
+    merged = seen.filter("border is null").select("id", "near").unionByName(across)
+    best = merged.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, 2 * (k + MORE)).alias("best"))  # at most k + 1 an ordering
+    # a neighbour met in several orderings counts once
+    once = F.filter("best", lambda r, i: ~F.exists(F.slice("best", 1, i), lambda o: o["id"] == r["id"]))
+    best = checkpointed(best.select("id", F.transform(F.slice(once, 1, k + MORE), lambda r: F.struct(r["distance"].cast("double").alias("distance"), r["id"].alias("other"))).alias("best")))
+    near_limit = F.lit(False) if limit is None else F.exists("best", lambda r: F.abs(r["distance"] - limit) <= CLOSE * (1 + limit))
+    tied = F.exists(F.slice("best", 1, k + 1), lambda r: F.exists("best", lambda o: (o["other"] != r["other"]) & (F.abs(o["distance"] - r["distance"]) <= CLOSE * (1 + r["distance"]))))
+    best = best.withColumn("unsure", near_limit | tied)
+    vectors = reps.select(F.col("id").alias("vid"), F.col("vec").alias("v"))
+    pairs = best.filter("unsure").select("id", F.inline("best")).join(vectors, F.col("id") == F.col("vid")).select("id", "other", F.col("v").alias("a")).join(vectors, F.col("other") == F.col("vid"))
+    exact = F.sqrt(F.aggregate(F.zip_with("a", "v", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    again = pairs.select("id", exact.alias("distance"), "other").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("distance", "other"))).alias("best"))
+    best = best.filter("not unsure").select("id", "best").unionByName(again).select("id", F.slice("best", 1, k).alias("best"))
     several = reps.filter(F.size("members") > 1).select(F.col("id").alias("sid"), "members")
     wide = best.select("id", F.inline("best")).join(several, F.col("other") == F.col("sid"), "left").select("id", "distance", F.explode(F.coalesce(F.slice("members", 1, k), F.array("other"))).alias("item"))
     wide = wide.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "item"))), 1, k).alias("best"))  # at most k * k

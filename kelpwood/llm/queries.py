@@ -37,12 +37,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 nearest vectors of every vector."""
-    return neighbours.nearest(table(spark, d, "series_1d"), "idx", "series").withColumn("distance", F.round("distance", 6))
+    return neighbours.nearest(table(spark, d, "series_1d"), "idx", "series").withColumn("distance", F.round("distance", 4))
+
+
+CLOSE_PAIR = 1.2
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs within 1.2 of which one is among the 5 nearest of the other."""
-    return neighbours.close_pairs(neighbours.nearest(table(spark, d, "series_1d"), "idx", "series"), 1.2).select("idx_a", "idx_b")
+    return neighbours.close_pairs(neighbours.nearest(table(spark, d, "series_1d"), "idx", "series", limit=CLOSE_PAIR), CLOSE_PAIR).select("idx_a", "idx_b")
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from kelpwood.llm.neighbours import close_pairs, hilbert, nearest
+from kelpwood.functions.hilbert import hilbert
+from kelpwood.llm.neighbours import close_pairs, nearest
 from kelpwood.operators.knn import exact_nearest
 
 
