@@ -27,11 +27,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kelpwood.functions.arrays import Channels
+from kelpwood.session import stored
+
 BITS, SEGMENTS = 64, 4  # four blocks of 16 bits
 SEEDS = 11, 12  # of the codes of a channel
 
@@ -84,34 +87,56 @@ def fingerprints(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return single.astype(np.int64), whole, varied | ~varied.any(1, keepdims=True)
 
 
+CODED = "place bigint, code bigint, second bigint, hi bigint, lo bigint, rep bigint"
+
+
 def _codes(max_shift: int, cover: float):
-    """Rows (file_id, channel, kind, width, codes, rep) of every window of every record."""
+    """Codes of every window of every record; place stands for file, channel, number of channels, kind and width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shapes: dict = {}
-            for file, rep, train, series in zip(*(batch[c].to_pylist() for c in ("file_id", "rep", "train", "series")), strict=True):
-                length = max((len(c) for c in series if c is not None), default=0)
-                if length:
-                    m = matrix(series, len(series), length)
-                    if (~np.isnan(m)).sum() >= cover * m.size:
-                        shapes.setdefault((file, train, *m.shape), []).append((rep, _filled(m)))
-            for (file, train, channels, length), rows in shapes.items():
-                stack, reps = np.stack([m for _, m in rows]), pa.array([r for r, _ in rows], pa.int64())
-                for w in window_lengths(length):
-                    for start in range(min(max_shift, length - w) + 1):
-                        code, whole, counts = fingerprints(stack[:, :, start : start + w])
-                        # kind 0: train starts at 0..shift, held-out at 0; kind 1: train at 0, held-out at 1..shift
-                        kinds = ([0, 1] if start == 0 else [0]) if train else ([0] if start == 0 else [1])
-                        for kind in kinds:
-                            for c in range(channels):
-                                own = np.flatnonzero(counts[:, c])
-                                same = lambda v: pa.array(np.full(len(own), v, np.int32))  # noqa: B023, E731
-                                yield pa.RecordBatch.from_arrays([pa.array([file] * len(own), pa.int32()), same(channels << 16 | c), same(kind), same(w), pa.array(code[own, c, 0]), pa.array(code[own, c, 1]), pa.array(whole[own, 0]), pa.array(whole[own, 1]), reps.take(pa.array(own))], names=["file_id", "channel", "kind", "width", "code", "second", "hi", "lo", "rep"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                batch = whole[at : at + 2000]
+                s = Channels(batch["series"])
+                file, rep, train = (batch[c].to_numpy(zero_copy_only=False) for c in ("file_id", "rep", "train"))
+                channels, length = pc.list_value_length(batch["series"]).to_numpy(zero_copy_only=False).astype(np.int64), s.size.max(1, initial=0)
+                shape = np.column_stack([file, train, channels, length]).astype(np.int64)
+                kinds, which = np.unique(shape, axis=0, return_inverse=True)
+                out: list[list[np.ndarray]] = [[] for _ in range(6)]
+                for g, (f, side, c, n) in enumerate(kinds.tolist()):
+                    if n < 1:
+                        continue
+                    rows = np.flatnonzero(which.ravel() == g)
+                    stack = s.dense(rows, c, n)
+                    fit = (~np.isnan(stack)).sum((1, 2)) >= cover * c * n
+                    rows, stack = rows[fit], stack[fit]
+                    for m in np.flatnonzero(np.isnan(stack).any((1, 2))):
+                        stack[m] = _filled(stack[m])
+                    for w in window_lengths(n) if len(rows) else []:
+                        for start in range(min(max_shift, n - w) + 1):
+                            code, wide, counts = fingerprints(stack[:, :, start : start + w])
+                            r, k = np.nonzero(counts)
+                            # kind 0: train starts at 0..shift, held-out at 0; kind 1: train at 0, held-out at 1..shift
+                            for kind in ([0, 1] if start == 0 else [0]) if side else ([0] if start == 0 else [1]):
+                                place = _mixed(f, c, k, kind, w)
+                                for held, new in zip(out, (place, code[r, k, 0], code[r, k, 1], wide[r, 0], wide[r, 1], rep[rows[r]]), strict=True):
+                                    held.append(new)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["place", "code", "second", "hi", "lo", "rep"])
 
     return run
 
 
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
+    """One 64-bit number of several."""
+    out = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            out = (out ^ np.asarray(p).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            out = out ^ (out >> np.uint64(29))
+    return np.asarray(out).view(np.int64)
+
+
 def differences(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, max_shift: int, cover: float) -> tuple[np.ndarray, np.ndarray]:
     """(least root mean squared difference, its shift) of pairs of stacks (pairs, channels, length),
     over the shifts that cover enough of ``sizes``, the entries of the longer records; inf if none."""
@@ -140,19 +165,20 @@ def differences(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, max_shift: int,
 
 
 def _verify(max_shift: int, cover: float, most: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in frames:
-            out = []
-            longest = lambda s: max((len(c) for c in s if c is not None), default=0)
-            size = np.maximum(rows["train_series"].map(longest), rows["held_series"].map(longest)).to_numpy()
-            channels = rows["train_series"].map(len).to_numpy()
-            for c, n in set(zip(channels.tolist(), size.tolist(), strict=True)):
-                own = rows[(channels == c) & (size == n)]
-                stacks = [np.stack([matrix(s, c, n) for s in own[name]]) for name in ("train_series", "held_series")]
-                rms, shift = differences(*stacks, np.full(len(own), c * n), max_shift, cover)
-                kept = own[["train_rep", "held_rep"]].assign(difference=rms, shift=shift)
-                out.append(kept[rms <= most])
-            yield pd.concat(out) if out else pd.DataFrame({"train_rep": [], "held_rep": [], "difference": [], "shift": []})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole[at : at + 4000]
+                train, held = (Channels(batch[c]) for c in ("train_series", "held_series"))
+                channels = pc.list_value_length(batch["train_series"]).to_numpy(zero_copy_only=False).astype(np.int64)
+                size = np.maximum(train.size.max(1, initial=0), held.size.max(1, initial=0))
+                rms, shift = np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, np.int32)
+                for c, n in np.unique(np.column_stack([channels, size]), axis=0).tolist():
+                    own = np.flatnonzero((channels == c) & (size == n))
+                    rms[own], shift[own] = differences(train.dense(own, c, n), held.dense(own, c, n), np.full(len(own), c * n), max_shift, cover)
+                kept = np.flatnonzero(rms <= most)
+                if len(kept):
+                    yield pa.RecordBatch.from_arrays([batch["train_rep"].take(pa.array(kept)), batch["held_rep"].take(pa.array(kept)), pa.array(rms[kept]), pa.array(shift[kept])], names=["train_rep", "held_rep", "difference", "shift"])
 
     return run
 
@@ -163,32 +189,29 @@ def cross_split_pairs(records: DataFrame, max_shift: int = 3, cover: float = 0.8
     records: one row an idx with file_id, split, source and ``series`` (null where missing).
     """
     split = F.lower(F.trim("split"))
-    sided = records.withColumn("split", split).filter("split in ('train', 'validation', 'test') and size(series) > 0").withColumn("train", F.col("split") == "train")
-    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("file_id").cast("string"), F.lit("")), F.col("train").cast("string"), F.to_json(F.struct("series"), {"ignoreNullFields": "false"})))
-    keyed = sided.select("idx", "file_id", "split", "source", "train", "series", digest.alias("digest"))
+    sided = records.withColumn("split", split).filter("split in ('train', 'validation', 'test') and size(series) > 0 and file_id is not null").withColumn("train", F.col("split") == "train")
+    digest = F.md5(F.concat_ws("|", F.col("file_id").cast("string"), F.col("train").cast("string"), F.to_json(F.struct("series"), {"ignoreNullFields": "false"})))
+    keyed = stored(sided.select("idx", "file_id", "split", "source", "train", "series", digest.alias("digest")))
     # a representative is named by its smallest idx; its members are found again by the whole digest
-    reps = keyed.groupBy("digest").agg(F.min("idx").alias("rep"), F.any_value("file_id").alias("file_id"), F.any_value("train").alias("train"), F.any_value("series").alias("series"))
-    coded = "file_id int, channel int, kind int, width int, code bigint, second bigint, hi bigint, lo bigint, rep bigint"
+    reps = stored(keyed.groupBy("digest").agg(F.min("idx").alias("rep"), F.any_value("file_id").alias("file_id"), F.any_value("train").alias("train"), F.any_value("series").alias("series")))
     width = BITS // SEGMENTS
     blocks = [F.shiftrightunsigned(c, s * width).bitwiseAND((1 << width) - 1).cast("int") for c in ("code", "second") for s in range(SEGMENTS)]
-    on = ["file_id", "channel", "kind", "width", "segment", "block"]
 
     def of(train: bool) -> DataFrame:
-        part = reps.filter(F.col("train") == train).mapInArrow(_codes(max_shift, cover), coded).select("*", F.posexplode(F.array(*blocks)).alias("segment", "block"))
-        part = part.withColumn("code", F.when(F.col("segment") < SEGMENTS, F.col("code")).otherwise(F.col("second")))
+        part = reps.filter(F.col("train") == train).select("file_id", "train", "rep", "series").mapInArrow(_codes(max_shift, cover), CODED).select("*", F.posexplode(F.array(*blocks)).alias("segment", "block"))
         name = "train" if train else "held"
-        return part.select(*on, *[F.col(c).alias(f"{name}_{c}") for c in ("code", "hi", "lo", "rep")])
+        code = F.when(F.col("segment") < SEGMENTS, F.col("code")).otherwise(F.col("second"))
+        return part.select(F.xxhash64("place", "segment", "block").alias("key"), code.alias(f"{name}_code"), *[F.col(c).alias(f"{name}_{c}") for c in ("hi", "lo", "rep")])
 
     apart = lambda c: F.bit_count(F.col(f"train_{c}").bitwiseXOR(F.col(f"held_{c}")))
     near = (apart("code") <= radius) & (apart("hi") + apart("lo") <= whole_radius)
-    met = of(True).join(of(False), on).filter(near).select("train_rep", "held_rep").distinct()
-    series = lambda name: reps.select(F.col("rep").alias(f"{name}_rep"), F.col("series").alias(f"{name}_series"))
-    both = met.join(series("train"), "train_rep").join(series("held"), "held_rep")
-    found = both.mapInPandas(_verify(max_shift, cover, most), "train_rep bigint, held_rep bigint, difference double, shift int")
-    named = lambda name: reps.select(F.col("rep").alias(f"{name}_rep"), F.col("digest").alias(f"{name}_digest"))
-    members = lambda name: keyed.select(F.col("digest").alias(f"{name}_digest"), F.col("idx").alias(f"{name}_idx"), F.col("source").alias(f"{name}_source"), *([F.col("split")] if name == "held" else []))
-    digests = found.join(named("train"), "train_rep").join(named("held"), "held_rep")
-    return digests.join(members("train"), "train_digest").join(members("held"), "held_digest").select("train_idx", "held_idx", "split", "train_source", "held_source", "difference", "shift")
+    met = of(True).join(of(False), "key").filter(near).select("train_rep", "held_rep").distinct()
+    series = lambda name: reps.filter(F.col("train") == (name == "train")).select(F.col("rep").alias(f"{name}_rep"), F.col("file_id").alias(f"{name}_file"), F.col("series").alias(f"{name}_series"))
+    both = met.join(series("train"), "train_rep").join(series("held"), "held_rep").filter((F.col("train_file") == F.col("held_file")) & (F.size("train_series") == F.size("held_series")))
+    found = both.select("train_rep", "held_rep", "train_series", "held_series").mapInArrow(_verify(max_shift, cover, most), "train_rep bigint, held_rep bigint, difference double, shift int")
+    named = keyed.select("digest", "idx", "source", "split", "train").join(reps.select("digest", "rep"), "digest")
+    members = lambda name: named.filter(F.col("train") == (name == "train")).select(F.col("rep").alias(f"{name}_rep"), F.col("idx").alias(f"{name}_idx"), F.col("source").alias(f"{name}_source"), *([F.col("split")] if name == "held" else []))
+    return found.join(members("train"), "train_rep").join(members("held"), "held_rep").select("train_idx", "held_idx", "split", "train_source", "held_source", "difference", "shift")
 
 
 def overlap_report(pairs: DataFrame) -> DataFrame:

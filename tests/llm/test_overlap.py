@@ -80,3 +80,23 @@ def test_pair_with_gaps_meets_by_the_second_code(spark):
     series = lambda m: [[None if np.isnan(v) else float(v) for v in c] for c in m]
     frame = spark.createDataFrame([(1, 1, "train", "s", series(a), "clash", "clash"), (2, 1, "test", "t", series(b), "clash", "clash")], SCHEMA)
     assert [(r["train_idx"], r["held_idx"]) for r in cross_split_pairs(frame).collect()] == [(1, 2)]
+
+
+def test_recall_near_the_limit(spark):
+    random = np.random.default_rng(6)
+    rows, pairs, k = [], [], 0
+    series = lambda m: [[None if np.isnan(v) else float(v) for v in c] for c in m]
+    while len(pairs) < 240:
+        m = random.normal(size=(3, 22)).cumsum(1)
+        unit = (m - m.mean(1, keepdims=True)) / m.std(1, keepdims=True)
+        shift, noise = int(random.integers(0, 4)), random.uniform(0.05, 0.15)
+        n = unit[:, shift:] + random.normal(size=unit[:, shift:].shape) * noise
+        for x in (m, n):
+            x[random.random(x.shape) < random.choice([0, 0.03, 0.06])] = np.nan
+        held = np.pad(n, ((0, 0), (0, 22 - n.shape[1])), constant_values=np.nan)
+        if 0.05 <= differences(m[None], held[None], np.array([66]), 3, 0.8)[0][0] <= 0.15:
+            rows += [(k, 1, "train", "s", series(m), "", ""), (100_000 + k, 1, "test", "t", series(n), "", "")]
+            pairs.append((k, 100_000 + k))
+            k += 1
+    found = {(r["train_idx"], r["held_idx"]) for r in cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(found & set(pairs)) >= 0.97 * len(pairs)
