@@ -256,7 +256,7 @@ def fit(rows: DataFrame, config: ForestConfig | None = None) -> ForestModel:
         inside, of = tried.filter("not oob"), [*at, "cand", "branch"]
         children = P.numeric_purity(inside, of, "label", kind, F.col("mult")) if regression else P.class_purity(P.class_counts(inside, of, "label", F.col("mult")), of, kind)
         split = P.weighted_purity(children, [*at, "cand"]).join(sets.select(*at, "cand", "k"), [*at, "cand"]).filter("n_branches = k and k > 1")
-        best = checkpointed(split.groupBy(*at).agg(F.min_by("cand", F.struct("weighted_purity", "cand")).alias("cand")))
+        best = checkpointed(split.groupBy(*at).agg(F.min_by("cand", F.struct(F.round("weighted_purity", 12), "cand")).alias("cand")))
         chosen = sets.join(best, [*at, "cand"])
         nodes.append(stats.join(chosen.select(*at, "measure", "params"), at, "left").select(*at, F.lit(depth).alias("depth"), F.col("measure").isNull().alias("is_leaf"), "prediction", F.col("n").cast("bigint").alias("n"), "purity", "measure", "params"))
         exemplars.append(chosen.select(*at, F.inline("exemplars")))

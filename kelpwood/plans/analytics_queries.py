@@ -233,7 +233,7 @@ def a_stratified_sample(spark, d):
     return _labelled(spark, d).filter("label is not null").withColumn("n", F.row_number().over(order)).filter("n <= 2").drop("n")
 
 
-# --- one seeded split, whole forests ---------------------------------------------------------
+# --- one seeded split ---------------------------------------------------------
 
 _SPLIT = """
 with v as (
@@ -259,81 +259,6 @@ def f_split(spark, d):
     return P.class_purity(P.class_counts(routed, ["branch"]), ["branch"], "gini").withColumn("purity", F.round("purity", 9))
 
 
-_MODELS: dict = {}
-
-
-def _forest(spark, d, **options) -> tuple[FO.ForestModel, DataFrame]:
-    """The forest over all labelled whole series of a folder, trained once a session."""
-    key = (spark.sparkContext.applicationId, d, tuple(sorted(options.items())))
-    rows = _series(spark, d).filter("size(series) = 32")
-    if options.get("task") == "regression":
-        rows = rows.withColumn("label", S.mean(F.col("series")) + F.get("series", F.lit(0)))
-    if key not in _MODELS:
-        _MODELS[key] = FO.fit(rows, FO.ForestConfig(**{"n_trees": 3, "n_candidates": 2, "distances": ("euclidean", "dtwcv"), "max_depth": 4, "seed": 1} | options))
-    return _MODELS[key], rows
-
-
-@query()
-def f_predict(spark, d):
-    """Votes of a forest for every series."""
-    model, rows = _forest(spark, d)
-    return model.transform(rows)
-
-
-@query()
-def f_accuracy(spark, d):
-    """Accuracy of a forest on its own rows."""
-    model, rows = _forest(spark, d)
-    return P.accuracy(model.transform(rows).join(rows.select("idx", "label"), "idx"))
-
-
-@query()
-def f_regression(spark, d):
-    """R2 of a regression forest on its own rows."""
-    model, rows = _forest(spark, d, task="regression", purity="variance", distances=("euclidean",), max_depth=3)
-    return P.r_squared(model.transform(rows).join(rows.select("idx", "label"), "idx"))
-
-
-@query()
-def f_tree_stats(spark, d):
-    """Nodes, leaves and depths of the trees."""
-    return _forest(spark, d)[0].tree_stats()
-
-
-@query()
-def f_forest_stats(spark, d):
-    return _forest(spark, d)[0].forest_stats()
-
-
-@query()
-def f_proximities(spark, d):
-    """Proximities of the training rows of a forest."""
-    return proximity.train_proximities(_forest(spark, d)[0])
-
-
-@query()
-def f_proximities_of_others(spark, d):
-    """Proximities of the unlabelled series to the training rows."""
-    model, rows = _forest(spark, d)
-    return proximity.test_proximities(model, rows.filter("label is null"))
-
-
-@query()
-def f_outliers(spark, d):
-    """Outlier scores from the forest's own proximities."""
-    model, rows = _forest(spark, d)
-    return proximity.outlier_scores(proximity.train_proximities(model), rows)
-
-
-@query()
-def f_save_and_load(spark, d):
-    """A saved forest gives the same predictions."""
-    model, rows = _forest(spark, d)
-    path = f"{folder(spark)}/model"
-    model.save(path)
-    return FO.ForestModel.load(spark, path).transform(rows)
-
-
 # --- proximity tables ------------------------------------------------------------------------
 
 _PROX = "p as (select i, j, max(prox) as prox from sparse_proximities where prox > 0 and prox <= 1 and j <> i group by all)"
@@ -479,14 +404,6 @@ def i_weighted_mode(spark, d):
     return impute.weighted_mode(rows.filter("label is null"), rows.filter("label is not null").select("idx", F.col("label").alias("value")), p)
 
 
-@query()
-def i_forest(spark, d):
-    """The whole iteration: initial imputer, forest, proximities, update, final forest."""
-    rows = _whole(spark, d)
-    cfg = FO.ForestConfig(n_trees=2, n_candidates=1, distances=("euclidean",), max_depth=3, impute_iterations=1, seed=2)
-    return impute.forest_impute(rows, cfg)[1].select("idx", "series")
-
-
 @query("""
 with c as (select file_id, list_transform(missing_strings, lambda x: upper(x)) as ms from app_context),
 r as (select r.*, ms from (select * from series_multi qualify row_number() over (partition by idx order by arrived_at) = 1) r left join c using (file_id))

@@ -8,10 +8,10 @@ import os
 import duckdb
 import pytest
 
-from kelpwood.plans import analytics_queries, distance_queries, problems
+from kelpwood.plans import analytics_queries, distance_queries, forest_queries, problems
 
 DIR = "/root/testdata/sf0.001"
-ALL = {n: (m.QUERIES[n], sql) for m in (problems, distance_queries, analytics_queries) for n, sql in m.SQL.items()}
+ALL = {n: (m.QUERIES[n], sql) for m in (problems, distance_queries, analytics_queries, forest_queries) for n, sql in m.SQL.items()}
 
 
 @pytest.fixture(scope="module")
