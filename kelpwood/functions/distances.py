@@ -9,17 +9,18 @@ null distance.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kelpwood.functions import kernels as K
 from kelpwood.functions import series as S
+from kelpwood.functions.arrays import Channels, lists
 
 PARAMS = ("w", "g", "c", "nu", "lam", "epsilon", "delta")
 #: The grids that the costs of msm and twe are drawn from.
@@ -31,14 +32,20 @@ DEFAULT_POOL = ("euclidean", "dtw", "dtwcv", "ddtw", "ddtwcv", "wdtw", "wddtw",
 
 @dataclass(frozen=True)
 class Distance:
-    """A distance over lists of pairs (channels, length) with its parameters as arrays."""
+    """A distance of pairs of series as arrays (pairs, channels, length) with their lengths and parameters.
+
+    ``exact`` ones take only pairs of the same two lengths together and no padding; ``average`` ones are the mean of
+    a one-dimensional distance over the channels.
+    """
 
     name: str
-    run: Callable[[list[np.ndarray], list[np.ndarray], dict[str, np.ndarray]], np.ndarray]
+    run: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]], np.ndarray]
     params: tuple[str, ...] = ()
     multi: bool = False
     column: Callable[[Column, Column], Column] | None = None
     defaults: dict[str, float] = field(default_factory=dict)
+    exact: bool = False
+    average: bool = False
 
 
 REGISTRY: dict[str, Distance] = {}
@@ -50,163 +57,161 @@ def register(d: Distance, *aliases: str) -> Distance:
     return d
 
 
+def each(fn: Callable[[np.ndarray, np.ndarray], float], multi: bool = True) -> Callable:
+    """Pair by pair, for distances that are Python functions of two arrays."""
+    own = (lambda x: x) if multi else (lambda x: x[0])
+    return lambda a, b, la, lb, _: np.array([float(fn(own(x), own(y))) for x, y in zip(a, b, strict=True)])
+
+
 def register_distance(name: str, fn: Callable[[object, object], float], multi: bool = False) -> Distance:
     """A user's own Python distance of two numpy arrays, by name like the built-in ones."""
-    one = lambda x: x if multi else x[0]
-    return register(Distance(name, lambda a, b, _: np.array([float(fn(one(x), one(y))) for x, y in zip(a, b, strict=True)]), (), multi))
+    return register(Distance(name, each(fn, multi), (), multi, exact=True))
+
+
+def from_file(path: str, function: str = "Distance", multi: bool = False) -> Distance:
+    """A user's own Python distance from a file: ``function`` of two arrays; known as python:path:function. The function
+    travels to the executors by value."""
+    with open(path, encoding="utf-8") as f:
+        source = f.read()
+
+    def run(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, p: dict) -> np.ndarray:
+        space: dict = {"__name__": "user_distance"}
+        exec(compile(source, path, "exec"), space)  # noqa: S102
+        return each(space[function], multi)(a, b, la, lb, p)
+
+    return register(Distance(f"python:{path}:{function}", run, (), multi, exact=True))
 
 
 def get(name: str) -> Distance:
+    if name.lower() not in REGISTRY and name.startswith("python:"):
+        path, _, function = name.removeprefix("python:").partition(":")
+        return from_file(path, function or "Distance")
     if name.lower() not in REGISTRY:
         raise ValueError(f"unknown distance {name!r}; known: {', '.join(sorted(REGISTRY))}")
     return REGISTRY[name.lower()]
 
 
-def _keogh_all(parts: list[np.ndarray]) -> list[np.ndarray]:
-    return [K.keogh(x[None], np.array([x.shape[1]]))[0] for x in parts]
+def _keogh(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return K.keogh(x, n), n
 
 
-def _diff_all(parts: list[np.ndarray]) -> list[np.ndarray]:
-    return [np.diff(x, axis=1) for x in parts]
+def _diff(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.diff(x, axis=2), n - 1
 
 
-def _single(kernel: Callable, params: tuple[str, ...], change: Callable | None = None, root: bool = False) -> Callable:
-    def run(a: list[np.ndarray], b: list[np.ndarray], p: dict[str, np.ndarray]) -> np.ndarray:
+def _warping(kernel: Callable, params: tuple[str, ...], change: Callable | None = None, root: bool = False) -> Callable:
+    def run(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, p: dict[str, np.ndarray]) -> np.ndarray:
         if change:
-            a, b = change(a), change(b)
-        d = K.in_batches(kernel, a, b, *(p[k] for k in params))
+            (a, la), (b, lb) = change(a, la), change(b, lb)
+        d = kernel(a, b, la, lb, *(p[k] for k in params))
         return np.sqrt(d) if root else d
 
     return run
 
 
-def _each(fn: Callable[[np.ndarray, np.ndarray], float]) -> Callable:
-    return lambda a, b, _: np.array([fn(x[0], y[0]) for x, y in zip(a, b, strict=True)], float)
-
-
-def _average(single: Callable) -> Callable:
-    """Mean over the channels of a one-dimensional distance."""
-
-    def run(a: list[np.ndarray], b: list[np.ndarray], p: dict[str, np.ndarray]) -> np.ndarray:
-        own = np.repeat(np.arange(len(a)), [len(x) for x in a])
-        flat_a, flat_b = [x[c : c + 1] for x in a for c in range(len(x))], [y[c : c + 1] for y in b for c in range(len(y))]
-        d = single(flat_a, flat_b, {k: v[own] for k, v in p.items()})
-        return np.bincount(own, d, len(a)) / np.bincount(own, minlength=len(a))
-
-    return run
-
-
-def _same_length(fn: Callable) -> Callable:
-    return lambda x, y: fn(x, y) if len(x) == len(y) else np.nan
+def _aligned(fn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable:
+    """A distance of series of one length, (pairs, length); others have none."""
+    return lambda a, b, la, lb, _: fn(a[:, 0], b[:, 0]) if a.shape[2] == b.shape[2] else np.full(len(a), np.nan)
 
 
-_euclid = _each(_same_length(lambda x, y: ((x - y) ** 2).sum()))
-_manhattan = _each(_same_length(lambda x, y: np.abs(x - y).sum()))
+def _cos(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    n = np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1))
+    return np.where(n > 0, 1 - (x * y).sum(1) / np.where(n > 0, n, 1), 1.0)
 
 
-def _cos(x: np.ndarray, y: np.ndarray) -> float:
-    n = np.sqrt((x * x).sum()) * np.sqrt((y * y).sum())
-    return 1 - (x * y).sum() / n if n > 0 else 1.0
+def _cid(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    cx, cy = (np.sqrt((np.diff(v, axis=1) ** 2).sum(1)) for v in (x, y))
+    d, least = np.sqrt(((x - y) ** 2).sum(1)), np.minimum(cx, cy)
+    return np.where(least > 0, d * np.maximum(cx, cy) / np.where(least > 0, least, 1), np.where(d == 0, 0.0, np.inf))
 
 
-def _cid(x: np.ndarray, y: np.ndarray) -> float:
-    cx, cy = (np.sqrt((np.diff(v) ** 2).sum()) for v in (x, y))
-    d = np.sqrt(((x - y) ** 2).sum())
-    return d * (max(cx, cy) / min(cx, cy)) if min(cx, cy) > 0 else (0.0 if d == 0 else np.inf)
+def _of_histograms(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    if not x.shape[1] or not y.shape[1]:
+        return np.zeros(len(x))
+    full = lambda h: np.full(len(h), h.shape[1])
+    return K.dtw(x[:, None], y[:, None], full(x), full(y))
 
 
-def _hog_1d(x: np.ndarray, y: np.ndarray) -> float:
-    hx, hy = (K.gradients_histogram(np.diff(v)) for v in (x, y))
-    return K.dtw_path(hx, hy)[0] if len(hx) and len(hy) else 0.0
+def _hog_1d(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, _: dict) -> np.ndarray:
+    one = lambda x: K.gradients_histogram(np.diff(x[:, 0], axis=1), int(np.sqrt(max(0, x.shape[2] - 1))))
+    return _of_histograms(one(a), one(b))
 
 
-def _hog_multi(a: list[np.ndarray], b: list[np.ndarray], _: dict) -> np.ndarray:
-    def one(m: np.ndarray) -> np.ndarray:
-        steps = np.diff(m, axis=1)
-        return K.gradients_histogram(np.diff(steps, axis=1).ravel(), int(np.sqrt(steps.shape[1])))
+def _hog_multi(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, _: dict) -> np.ndarray:
+    one = lambda x: K.gradients_histogram(np.diff(x, n=2, axis=2).reshape(len(x), -1), int(np.sqrt(max(0, x.shape[2] - 1))))
+    return _of_histograms(one(a), one(b))
 
-    return np.array([K.dtw_path(x, y)[0] if len(x) and len(y) else 0.0 for x, y in ((one(p), one(q)) for p, q in zip(a, b, strict=True))])
 
-
-_dtw = _single(K.dtw, ())
-_dtwcv = _single(K.dtw, ("w",))
-_ddtw = _single(K.dtw, (), _keogh_all)
-_ddtwcv = _single(K.dtw, ("w",), _keogh_all)
-_wdtw = _single(K.wdtw, ("g",))
-_wddtw = _single(K.wdtw, ("g",), _keogh_all)
-_lcss = _single(K.lcss, ("epsilon", "delta"))
-_erp = _single(K.erp, ("g", "w"))
-_msm = _single(K.msm, ("c",))
-_twe = _single(K.twe, ("nu", "lam"))
-_sbd = _each(_same_length(K.sbd))
+_dtw = _warping(K.dtw, ())
 _W = {"w": -1.0}
-for _name, _run, _params, _column, _defaults in (
-    ("euclidean", _euclid, (), S.squared_euclidean, {}), ("manhattan", _manhattan, (), S.manhattan, {}), ("cosine", _each(_same_length(_cos)), (), S.cosine_distance, {}),
-    ("dtw", _dtw, (), None, {}), ("dtwcv", _dtwcv, ("w",), None, _W), ("ddtw", _ddtw, (), None, {}), ("ddtwcv", _ddtwcv, ("w",), None, _W),
-    ("wdtw", _wdtw, ("g",), None, {"g": 0.05}), ("wddtw", _wddtw, ("g",), None, {"g": 0.05}), ("lcss", _lcss, ("epsilon", "delta"), None, {"epsilon": 0.5, "delta": -1.0}),
-    ("erp", _erp, ("g", "w"), None, {"g": 0.0, "w": -1.0}), ("msm", _msm, ("c",), None, {"c": 1.0}), ("twe", _twe, ("nu", "lam"), None, {"nu": 0.001, "lam": 0.1}),
-    ("shapeHoG1dDTW", _each(_hog_1d), (), None, {}), ("cid", _each(_same_length(_cid)), (), S.cid_distance, {}), ("sbd", _sbd, (), None, {}),
+for _name, _run, _params, _column, _defaults, _exact in (
+    ("euclidean", _aligned(lambda x, y: ((x - y) ** 2).sum(1)), (), S.squared_euclidean, {}, True), ("manhattan", _aligned(lambda x, y: np.abs(x - y).sum(1)), (), S.manhattan, {}, True),
+    ("cosine", _aligned(_cos), (), S.cosine_distance, {}, True), ("cid", _aligned(_cid), (), S.cid_distance, {}, True), ("sbd", _aligned(K.sbd), (), None, {}, True), ("shapeHoG1dDTW", _hog_1d, (), None, {}, True),
+    ("dtw", _dtw, (), None, {}, False), ("dtwcv", _warping(K.dtw, ("w",)), ("w",), None, _W, False), ("ddtw", _warping(K.dtw, (), _keogh), (), None, {}, False), ("ddtwcv", _warping(K.dtw, ("w",), _keogh), ("w",), None, _W, False),
+    ("wdtw", _warping(K.wdtw, ("g",)), ("g",), None, {"g": 0.05}, False), ("wddtw", _warping(K.wdtw, ("g",), _keogh), ("g",), None, {"g": 0.05}, False),
+    ("lcss", _warping(K.lcss, ("epsilon", "delta")), ("epsilon", "delta"), None, {"epsilon": 0.5, "delta": -1.0}, False), ("erp", _warping(K.erp, ("g", "w")), ("g", "w"), None, {"g": 0.0, "w": -1.0}, False),
+    ("msm", _warping(K.msm, ("c",)), ("c",), None, {"c": 1.0}, False), ("twe", _warping(K.twe, ("nu", "lam")), ("nu", "lam"), None, {"nu": 0.001, "lam": 0.1}, False),
 ):
-    register(Distance(_name, _run, _params, False, _column, _defaults), f"shifaz{_name}")
-    register(Distance(f"{_name}_i", _average(_run), _params, True, None, _defaults), f"shifaz{_name}_I")
+    register(Distance(_name, _run, _params, False, _column, _defaults, _exact))
+    register(Distance(f"{_name}_i", _run, _params, True, None, _defaults, _exact, True))
 for _name, _run, _params, _defaults in (
-    ("dtw_d", _dtw, (), {}), ("ddtw_d", _single(K.dtw, (), _diff_all), (), {}), ("wdtw_d", _single(K.wdtw, ("g",), None, True), ("g",), {"g": 0.05}),
-    ("wddtw_d", _single(K.wdtw, ("g",), _diff_all, True), ("g",), {"g": 0.05}), ("shapeHoGdtw_d", _hog_multi, (), {}),
+    ("dtw_d", _dtw, (), {}), ("ddtw_d", _warping(K.dtw, (), _diff), (), {}), ("wdtw_d", _warping(K.wdtw, ("g",), None, True), ("g",), {"g": 0.05}), ("wddtw_d", _warping(K.wdtw, ("g",), _diff, True), ("g",), {"g": 0.05}),
 ):
-    register(Distance(_name, _run, _params, True, None, _defaults), f"shifaz{_name}")
-register(Distance("shapeHoGdtw", _hog_multi, (), True), "shifazShapeHoGDTW")
+    register(Distance(_name, _run, _params, True, None, _defaults))
+register(Distance("shapeHoGdtw_d", _hog_multi, (), True, exact=True), "shapeHoGdtw")
 
 
-def _array(x: object, multi: bool) -> np.ndarray | None:
-    """(channels, length) of a series; None if it can't be compared."""
-    if x is None or len(x) == 0:
-        return None
-    try:
-        m = np.array([np.asarray(c, float) for c in x]) if multi else np.asarray(x, float)[None]
-    except (ValueError, TypeError):
-        return None
-    return m if m.ndim == 2 and m.shape[1] and not np.isnan(m).any() else None
+PAIRS, CELLS = 4096, 4_000_000  # pairs and numbers of one batch at most
 
 
-def _ragged_channels(x: object) -> list[np.ndarray] | None:
-    if x is None or len(x) == 0 or any(c is None or len(c) == 0 for c in x):
-        return None
-    out = [np.asarray(c, float) for c in x]
-    return None if any(np.isnan(c).any() for c in out) else out
+def _batches(la: np.ndarray, lb: np.ndarray, channels: int, exact: bool) -> Iterator[np.ndarray]:
+    """Places of pairs of similar lengths (of the same lengths, if ``exact``)."""
+    order = np.lexsort((lb, la))
+    at = 0
+    while at < len(order):
+        end = min(len(order), at + PAIRS)
+        if exact:
+            change = np.flatnonzero((la[order[at + 1 : end]] != la[order[at]]) | (lb[order[at + 1 : end]] != lb[order[at]]))
+            end = at + 1 + int(change[0]) if len(change) else end
+        while end - at > 1 and (end - at) * channels * int(la[order[at:end]].max() + 3 * lb[order[at:end]].max()) > CELLS:
+            end = at + (end - at) // 2
+        yield order[at:end]
+        at = end
 
 
-def evaluate(name: str | Distance, a: Iterable, b: Iterable, params: dict[str, np.ndarray] | None = None) -> np.ndarray:
-    """Distances of pairs of series; NaN where two series can't be compared."""
+def evaluate(name: str | Distance, a: object, b: object, params: dict[str, np.ndarray] | None = None) -> np.ndarray:
+    """Distances of pairs of series, Arrow columns or lists; NaN where two series can't be compared."""
     d = get(name) if isinstance(name, str) else name
-    a, b = list(a), list(b)
-    out = np.full(len(a), np.nan)
-    filled = {k: np.asarray((params or {}).get(k, np.full(len(a), d.defaults.get(k, 0.0))), float) for k in d.params}
+    x, y = (Channels(lists(v, 2 if d.multi else 1), d.multi) for v in (a, b))
+    n = len(x.counts)
+    out = np.full(n, np.nan)
+    given = params or {}
+    filled = {k: np.asarray(given[k] if k in given else np.full(n, np.nan), float) for k in d.params}
     filled = {k: np.where(np.isnan(v), d.defaults.get(k, 0.0), v) for k, v in filled.items()}
-    if d.multi and d.name.endswith("_i"):  # channels of different lengths are fine here
-        left, right = [_ragged_channels(x) for x in a], [_ragged_channels(y) for y in b]
-        good = [k for k in range(len(a)) if left[k] is not None and right[k] is not None and len(left[k]) == len(right[k])]
-        if good:
-            as_list = lambda parts: [_Channels(parts[k]) for k in good]
-            out[good] = d.run(as_list(left), as_list(right), {k: v[good] for k, v in filled.items()})
-        return out
-    left, right = [_array(x, d.multi) for x in a], [_array(y, d.multi) for y in b]
-    by: dict[int, list[int]] = {}
-    for k, (x, y) in enumerate(zip(left, right, strict=True)):
-        if x is not None and y is not None and len(x) == len(y):
-            by.setdefault(len(x), []).append(k)
-    for good in by.values():
-        out[good] = d.run([left[k] for k in good], [right[k] for k in good], {k: v[good] for k, v in filled.items()})
+    fit = x.whole() & y.whole() & (x.counts == y.counts)
+    if not d.average:  # channels of one length
+        for s in (x, y):
+            fit &= ((s.size == s.size[:, :1]) | (np.arange(s.channels) >= s.counts[:, None])).all(1) if s.channels else False
+    rows = np.flatnonzero(fit)
+    if d.average:
+        counts = x.counts[rows]
+        own, first = np.repeat(rows, counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        groups = [(1, own, first)]
+    else:
+        groups = [(int(c), rows[x.counts[rows] == c], 0) for c in np.unique(x.counts[rows])]
+    total = np.zeros(n)
+    for channels, own, first in groups:
+        at = np.broadcast_to(np.asarray(first), own.shape)
+        la, lb = x.size[own, at], y.size[own, at]
+        for part in _batches(la, lb, channels, d.exact):
+            m = own[part]
+            left = x.dense(m, channels, int(la[part].max()), at[part], 0.0)
+            right = y.dense(m, channels, int(lb[part].max()), at[part], 0.0)
+            np.add.at(total, m, d.run(left, right, la[part], lb[part], {k: v[m] for k, v in filled.items()}))
+    out[rows] = total[rows] / x.counts[rows] if d.average else total[rows]
     return out
 
 
-class _Channels(list):
-    """Channels of different lengths, sliced like an array of one row."""
-
-    def __getitem__(self, at: slice | int) -> np.ndarray:
-        got = super().__getitem__(at)
-        return np.stack(got) if isinstance(at, slice) else got
-
-
 def distance(name: str, a: Column, b: Column, **params: float | Column) -> Column:
     """Column of the distance of two series columns, null where they can't be compared."""
     d = get(name)
@@ -217,20 +222,34 @@ def distance(name: str, a: Column, b: Column, **params: float | Column) -> Colum
         return d.column(a, b)
     given = [k for k in d.params if k in params]
 
-    @F.pandas_udf(T.DoubleType())
-    def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for x, y, *rest in parts:
-            got = pd.Series(evaluate(d, x, y, dict(zip(given, (r.to_numpy() for r in rest), strict=True))))
-            yield got.astype(object).where(got.notna(), None).astype("Float64")
+    @F.arrow_udf(T.DoubleType())
+    def run(x: pa.Array, y: pa.Array, *rest: pa.Array) -> pa.Array:
+        return pa.array(evaluate(d, x, y, {k: r.to_numpy(zero_copy_only=False) for k, r in zip(given, rest, strict=True)}), from_pandas=True)
 
     return run(a, b, *[F.lit(params[k]).cast("double") if isinstance(params[k], (int, float)) else params[k].cast("double") for k in given])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))
-def alignment_path(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Alignment of two series on their DTW path."""
-    for a, b in parts:
-        yield pd.Series([None if x is None or y is None or not len(x) or not len(y) else [{"i": i, "j": j} for i, j in K.dtw_path(np.asarray(x, float), np.asarray(y, float))[1]] for x, y in zip(a, b, strict=True)])
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())])))
+def alignment_path(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Alignment of two series on their DTW path; null where they can't be compared."""
+    x, y = Channels(lists(a, 1), False), Channels(lists(b, 1), False)
+    rows = np.flatnonzero(x.whole() & y.whole())
+    la, lb = x.size[rows, 0], y.size[rows, 0]
+    steps, parts = np.zeros(len(x.counts), np.int64), []
+    for part in _batches(la * lb, lb, 1, False):  # the table of a batch holds all its cells
+        for at in range(0, len(part), 512):
+            own = part[at : at + 512]
+            m = rows[own]
+            _, n, i, j = K.dtw_paths(x.dense(m, 1, int(la[own].max()), 0, 0.0), y.dense(m, 1, int(lb[own].max()), 0, 0.0), la[own], lb[own])
+            steps[m] = n
+            back = n[:, None] - 1 - np.arange(i.shape[1])[None]  # from the start on
+            kept = back >= 0
+            parts.append((np.repeat(m, n), *(np.take_along_axis(v, np.maximum(back, 0), 1)[kept] for v in (i, j))))
+    row, i, j = (np.concatenate(v) for v in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 3
+    order = np.argsort(row, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(steps)]).astype(np.int32)
+    fields = pa.StructArray.from_arrays([pa.array(v[order].astype(np.int32)) for v in (i, j)], names=["i", "j"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=np.append(steps == 0, False)), fields)
 
 
 def masked(a: Column, b: Column, expression: Callable[[Column, Column], Column]) -> Column:

@@ -164,9 +164,5 @@ def edit_assigned(a: np.ndarray, b: np.ndarray) -> float:
     return _edit_cost(a, b, {int(i): j for j, i in enumerate(assignment(cost.T))})
 
 
-def _pairs(fn):  # noqa: ANN001, ANN202
-    return lambda a, b, _: np.array([fn(x, y) for x, y in zip(a, b, strict=True)], float)
-
-
 for _name, _fn in (("HammingDistance", hamming), ("ShortestPathDistance", shortest_path), ("GraphletDistance", graphlet), ("WLDistance", refinement), ("WLDistance2", refinement_cosine), ("ApproximateGraphEditDistance", edit_greedy), ("GraphEditDistance", edit_assigned)):
-    D.register(D.Distance(_name, _pairs(_fn), (), True))
+    D.register(D.Distance(_name, D.each(_fn), (), True, exact=True))

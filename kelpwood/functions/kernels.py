@@ -2,7 +2,8 @@
 
 A batch holds pairs as arrays (pairs, channels, length), padded to the longest series, with each
 pair's own lengths. The program walks the cells of one row after the other for all pairs together
-and reads every pair's answer at its own last cell. No Spark imports here.
+and reads every pair's answer at its own last cell. Cells of all pairs lie next to each other in memory.
+No Spark imports here.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from collections.abc import Callable
 
 import numpy as np
 
-CELLS = 4_000_000  # numbers held at once for one batch
 Rule = Callable[[int, int, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
@@ -20,10 +20,10 @@ def _sweep(m: int, n: int, la: np.ndarray, lb: np.ndarray, rule: Rule, outside:
     cells further than ``band`` from the diagonal, hold ``outside``."""
     pairs = len(la)
     out = np.full(pairs, np.nan)
-    above = np.full((pairs, n), outside)
+    above = np.full((pairs, n), outside, order="F")
     none = np.full(pairs, outside)
     for i in range(m):
-        row = np.empty((pairs, n))
+        row = np.empty((pairs, n), order="F")
         left = none
         for j in range(n):
             cell = rule(i, j, above[:, j - 1] if j and i else none, above[:, j] if i else none, left)
@@ -37,15 +37,75 @@ def _sweep(m: int, n: int, la: np.ndarray, lb: np.ndarray, rule: Rule, outside:
 
 
 def _gaps(a: np.ndarray, b: np.ndarray) -> Callable[[int, int], np.ndarray]:
+    if a.shape[1] == 1:
+        return lambda i, j: (a[:, 0, i] - b[:, 0, j]) ** 2
     return lambda i, j: ((a[:, :, i] - b[:, :, j]) ** 2).sum(1)
 
 
+def _costs(a: np.ndarray, b: np.ndarray, i: int) -> np.ndarray:
+    """(length of b, pairs): squared differences to entry i of a, summed over the channels."""
+    away = b.transpose(2, 1, 0) - a[:, :, i].T[None]
+    away *= away
+    return away[:, 0] if away.shape[1] == 1 else away.sum(1)
+
+
 def dtw(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
     """Root of the cheapest warping path of squared differences, summed over the channels."""
-    cost = _gaps(a, b)
-    band = None if w is None else np.where(w < 0, np.inf, np.maximum(w, 0))
-    rule = lambda i, j, d, u, l: cost(i, j) + (0 if i == j == 0 else np.minimum(np.minimum(d, u), l))  # noqa: E731, E741
-    return np.sqrt(_sweep(a.shape[2], b.shape[2], la, lb, rule, np.inf, band))
+    return np.sqrt(_warped(a, b, la, lb, w, None))
+
+
+def _warped(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, w: np.ndarray | None, table: np.ndarray | None) -> np.ndarray:
+    """Cost of the cheapest path; ``table`` (length of a, length of b, pairs) takes all cells."""
+    m, n, pairs = a.shape[2], b.shape[2], len(la)
+    band = np.full(pairs, np.inf) if w is None else np.where(w < 0, np.inf, np.maximum(w, 0))
+    least, most = band.min(initial=np.inf), band.max(initial=0)
+    out = np.full(pairs, np.nan)
+    infinite = np.full(pairs, np.inf)
+    above = np.full((n, pairs), np.inf)
+    for i in range(m):
+        cost = _costs(a, b, i)
+        row = np.full((n, pairs), np.inf) if table is None else table[i]
+        left = infinite
+        for j in range(n):
+            off = abs(i - j)
+            if off > most:
+                row[j] = np.inf
+                left = infinite
+                continue
+            cell = row[j]
+            if i == j == 0:
+                cell[:] = cost[0]
+            else:
+                np.minimum(above[j], left, out=cell)
+                if i and j:
+                    np.minimum(cell, above[j - 1], out=cell)
+                cell += cost[j]
+            if off > least:
+                cell[off > band] = np.inf
+            left = cell
+        last = np.flatnonzero(la - 1 == i)
+        out[last] = row[lb[last] - 1, last]
+        above = row
+    return out
+
+
+def dtw_paths(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distances, steps, i, j) of pairs: places (pairs, longest path) of the cheapest paths from their ends back; on ties
+    diagonal, then up, then left."""
+    pairs = len(la)
+    table = np.full((a.shape[2], b.shape[2], pairs), np.inf)
+    total = _warped(a, b, la, lb, None, table)
+    i, j, every = la - 1, lb - 1, np.arange(pairs)
+    out_i, out_j, steps = [i], [j], np.ones(pairs, np.int64)
+    while (open_ := (i > 0) | (j > 0)).any():
+        up, left = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+        costs = np.stack([np.where((i > 0) & (j > 0), table[up, left, every], np.inf), np.where(i > 0, table[up, j, every], np.inf), np.where(j > 0, table[i, left, every], np.inf)])
+        way = np.argmin(costs, axis=0)
+        i, j = np.where(open_ & (way != 2), up, i), np.where(open_ & (way != 1), left, j)
+        steps += open_
+        out_i.append(i)
+        out_j.append(j)
+    return np.sqrt(total), steps, np.stack(out_i, 1), np.stack(out_j, 1)
 
 
 def wdtw(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -122,17 +182,20 @@ def twe(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, nu: np.nda
     return _sweep(a.shape[2], b.shape[2], la, lb, rule, np.inf, None)
 
 
-def sbd(a: np.ndarray, b: np.ndarray) -> float:
-    """1 - the greatest cross-correlation of two normalised series of one length (not divided by it)."""
-    za, zb = (x - x.mean() for x in (a, b))
-    sa, sb = za.std(), zb.std()
-    za, zb = za / sa if sa > 0 else za, zb / sb if sb > 0 else zb
-    return float(1 - np.correlate(za, zb, "full").max())
+def sbd(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """1 - the greatest cross-correlation of normalised series (pairs, length) of one length (not divided by it)."""
+    n = a.shape[1]
+    za, zb = (x - x.mean(1, keepdims=True) for x in (a, b))
+    za, zb = (z / np.where(s > 0, s, 1) for z, s in ((za, za.std(1, keepdims=True)), (zb, zb.std(1, keepdims=True))))
+    size = 1 << (2 * n - 1).bit_length()
+    both = np.fft.irfft(np.fft.rfft(za, size) * np.conj(np.fft.rfft(zb, size)), size)
+    shifts = np.concatenate([both[:, :n], both[:, size - n + 1 :]], axis=1)  # the others wrap around
+    return 1 - shifts.max(1)
 
 
 def keogh(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Keogh's derivative of padded series (pairs, channels, length); the ends copy their neighbours."""
-    out = x.astype(float).copy()
+    out = np.array(x, float, order="K")
     if x.shape[2] > 2:
         out[:, :, 1:-1] = ((x[:, :, 1:-1] - x[:, :, :-2]) + (x[:, :, 2:] - x[:, :, :-2]) / 2) / 2
         out[:, :, 0] = out[:, :, 1]
@@ -143,50 +206,12 @@ def keogh(x: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients_histogram(x: np.ndarray, bins: int | None = None) -> np.ndarray:
-    """Counts of the differences of x in equal bins between the least and the greatest."""
-    bins = int(np.sqrt(len(x))) if bins is None else bins
-    steps = np.diff(x)
-    if not len(steps) or bins <= 0:
-        return np.zeros(0)
-    low, wide = steps.min(), (steps.max() - steps.min()) / bins
-    at = np.zeros(len(steps), int) if wide == 0 else np.minimum(((steps - low) / wide).astype(int), bins - 1)
-    return np.bincount(at, minlength=bins).astype(float)
-
-
-def dtw_path(a: np.ndarray, b: np.ndarray, w: int = -1) -> tuple[float, list[tuple[int, int]]]:
-    """Root of the cheapest path and the path; on ties diagonal, then up, then left."""
-    m, n = len(a), len(b)
-    cost = np.full((m + 1, n + 1), np.inf)
-    cost[0, 0] = 0
-    for i in range(m):
-        for j in range(n):
-            if w < 0 or abs(i - j) <= w:
-                cost[i + 1, j + 1] = (a[i] - b[j]) ** 2 + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
-    path, i, j = [], m, n
-    while i and j:
-        path.append((i - 1, j - 1))
-        steps = (cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
-        i, j = ((i - 1, j - 1), (i - 1, j), (i, j - 1))[int(np.argmin(steps))]
-    return float(np.sqrt(cost[m, n])), path[::-1]
-
-
-def in_batches(run: Callable[..., np.ndarray], a: list[np.ndarray], b: list[np.ndarray], *params: np.ndarray) -> np.ndarray:
-    """Stack ragged pairs (channels, length) by similar length and run a kernel on bounded batches."""
-    la, lb = np.array([x.shape[1] for x in a]), np.array([x.shape[1] for x in b])
-    out = np.full(len(a), np.nan)
-    order = np.lexsort((lb, la))
-    at = 0
-    while at < len(order):
-        m, n = 1, 1
-        end = at
-        while end < len(order):
-            m2, n2 = max(m, la[order[end]]), max(n, lb[order[end]])
-            if end > at and (end - at + 1) * (m2 + n2 * 3) * a[0].shape[0] > CELLS:
-                break
-            m, n, end = m2, n2, end + 1
-        rows = order[at:end]
-        stack = lambda parts, size: np.stack([np.pad(parts[r], ((0, 0), (0, size - parts[r].shape[1]))) for r in rows])  # noqa: B023, E731
-        out[rows] = run(stack(a, m), stack(b, n), la[rows], lb[rows], *(p[rows] for p in params))
-        at = end
-    return out
+def gradients_histogram(x: np.ndarray, bins: int) -> np.ndarray:
+    """Counts (rows, bins) of the differences of each row in equal bins between its least and greatest."""
+    steps = np.diff(x, axis=1)
+    if not steps.shape[1] or bins <= 0:
+        return np.zeros((len(x), 0))
+    low = steps.min(1, keepdims=True)
+    wide = (steps.max(1, keepdims=True) - low) / bins
+    at = np.where(wide == 0, 0, np.minimum(((steps - low) / np.where(wide == 0, 1, wide)).astype(np.int64), bins - 1))
+    return np.bincount((at + np.arange(len(x))[:, None] * bins).ravel(), minlength=len(x) * bins).reshape(len(x), bins).astype(float)

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,36 +80,48 @@ def _nearest(seed: int, names_used: tuple[str, ...]):
     """Branch of the nearest exemplar: identity first, ties by hash, NaN last."""
     known = {D.get(n).name: D.get(n) for n in names_used}  # travels with the function, also a user's own
 
-    @F.pandas_udf(T.IntegerType())
-    def branch(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for where, idx, series, measure, params, exemplars in parts:
-            size = exemplars.map(len).to_numpy()
-            own = np.repeat(np.arange(len(idx)), size)
-            flat = [e for row in exemplars for e in row]
-            d = np.full(len(flat), np.inf)
-            names = measure.to_numpy()[own] if len(own) else np.array([], object)
-            table = np.array([[np.nan if v is None else v for v in p] for p in params], float).reshape(len(idx), len(D.PARAMS))
-            rows = series.to_numpy()
-            for name in set(names):
-                at = np.flatnonzero(names == name)
-                got = D.evaluate(known[name], [rows[own[k]] for k in at], [flat[k]["series"] for k in at], {p: table[own[at], D.PARAMS.index(p)] for p in known[name].params})
-                d[at] = np.where(np.isnan(got), np.inf, got)
-            ids = np.array([e["idx"] for e in flat], dtype=object)
-            d[ids == idx.to_numpy(object)[own]] = -1
-            out, start = [], 0
-            for k, n in enumerate(size):
-                part = d[start : start + n]
-                ties = np.flatnonzero(part == part.min()) if n else []
-                if len(ties) > 1:
-                    key = lambda t: hashlib.md5(f"{seed}|tie|{where.iloc[k]}|{flat[start + t]['branch']}|{idx.iloc[k]}".encode()).hexdigest()  # noqa: B023, E731
-                    ties = sorted(ties, key=key)
-                out.append(flat[start + ties[0]]["branch"] if n else None)
-                start += n
-            yield pd.Series(out, dtype="Int32")
+    @F.arrow_udf(T.IntegerType())
+    def branch(where: pa.Array, idx: pa.Array, series: pa.Array, measure: pa.Array, params: pa.Array, exemplars: pa.Array) -> pa.Array:
+        size = pc.fill_null(pc.list_value_length(exemplars), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        own = np.repeat(np.arange(len(size)), size)
+        flat = exemplars.flatten()
+        theirs, branches = (pc.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in ("idx", "branch"))
+        shapes = pc.struct_field(flat, "series")
+        d = np.full(len(own), np.inf)
+        codes = measure.dictionary_encode()
+        code = pc.fill_null(codes.indices, -1).to_numpy(zero_copy_only=False)[own]
+        table = params.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(D.PARAMS)) if len(own) else np.zeros((0, len(D.PARAMS)))
+        for k, name in enumerate(codes.dictionary.to_pylist()):
+            at = np.flatnonzero(code == k)
+            used = {p: table[own[at], D.PARAMS.index(p)] for p in known[name].params}
+            got = D.evaluate(known[name], series.take(pa.array(own[at])), shapes.take(pa.array(at)), used)
+            d[at] = np.where(np.isnan(got), np.inf, got)
+        d[theirs == idx.to_numpy(zero_copy_only=False)[own]] = -1
+        some = np.flatnonzero(size)
+        out = np.full(len(size), -1)
+        if len(some):
+            start = (np.cumsum(size) - size)[some]
+            least = np.repeat(np.minimum.reduceat(d, start), size[some])
+            tied = d == least
+            first = np.flatnonzero(tied)
+            first = first[np.unique(own[first], return_index=True)[1]]
+            out[some] = branches[first]
+            for r in some[np.add.reduceat(tied.astype(np.int64), start) > 1]:
+                at = np.flatnonzero(tied[(lo := int(size[:r].sum())) : lo + int(size[r])]) + lo
+                out[r] = min((hashlib.md5(f"{seed}|tie|{where[int(r)].as_py()}|{branches[t]}|{idx[int(r)].as_py()}".encode()).hexdigest(), branches[t]) for t in at)[1]
+        return pa.array(out.astype(np.int32), mask=out < 0)
 
     return branch
 
 
+def _numeric(rows: DataFrame) -> bool:
+    """Whether the series hold numbers only."""
+    kind = rows.schema["series"].dataType
+    while isinstance(kind, T.ArrayType):
+        kind = kind.elementType
+    return isinstance(kind, T.NumericType)
+
+
 @dataclass
 class ForestModel:
     """nodes(tree, node, depth, is_leaf, prediction, n, measure, params), exemplars(tree, node, branch,
@@ -204,6 +216,8 @@ def fit(rows: DataFrame, config: ForestConfig | None = None) -> ForestModel:
     regression = cfg.task == "regression"
     for name in cfg.distances:
         D.get(name)
+    if not _numeric(rows):
+        raise ValueError("a forest needs series of numbers; give mixed entries numbers first")
     kind = {"gini": "variance", "entropy": "variance"}.get(cfg.purity, cfg.purity) if regression else cfg.purity
     train = checkpointed(rows.filter("idx is not null and series is not null and label is not null").select(F.col("idx").cast("bigint").alias("idx"), "series", F.col("label").cast("double" if regression else "string").alias("label")).dropDuplicates(["idx"]))
     multi, seed = _multi(train), cfg.seed

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kelpwood.functions import distances as D
 from kelpwood.functions import series as S
-from kelpwood.session import broadcast_if_small, table
+from kelpwood.session import broadcast_if_small, parallelism, table
 
 MOST_EXEMPLARS = 10_000
 
@@ -20,11 +20,11 @@ def valid(x: F.Column) -> F.Column:
     return (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v))
 
 
-def pairs_1d(spark: SparkSession, d: str) -> DataFrame:
+def pairs_1d(spark: SparkSession, d: str, heavy: bool = False) -> DataFrame:
     """(idx, exemplar_idx, a, b): each valid series with the exemplars of its file."""
     exemplars = broadcast_if_small(table(spark, d, "exemplars").select("file_id", "exemplar_idx", F.col("series").alias("b")), MOST_EXEMPLARS)
     rows = table(spark, d, "series_1d").filter(valid(F.col("series"))).select("idx", "file_id", F.col("series").alias("a"))
-    return rows.join(exemplars, "file_id").select("idx", "exemplar_idx", "a", "b")
+    return (_dealt(rows) if heavy else rows).join(exemplars, "file_id").select("idx", "exemplar_idx", "a", "b")
 
 
 def records_2d(spark: SparkSession, d: str) -> DataFrame:
@@ -40,11 +40,16 @@ def pairs_2d(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(broadcast_if_small(first, MOST_EXEMPLARS), F.col("file_id") == F.col("f")).select("idx", F.col("series").alias("a"), "b")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all tasks: they are small, the work on a pair is not."""
+    return rows.repartition(parallelism(rows.sparkSession), "idx")
+
+
 def _pairs(name: str, params: dict, digits: int, spark: SparkSession, d: str) -> DataFrame:
     if D.get(name).multi:
         p, keys = pairs_2d(spark, d), ["idx"]
     else:
-        p, keys = pairs_1d(spark, d), ["idx", "exemplar_idx"]
+        p, keys = pairs_1d(spark, d, D.get(name).column is None), ["idx", "exemplar_idx"]
     return p.select(*keys, F.round(D.distance(name, F.col("a"), F.col("b"), **params), digits).alias("d"))
 
 
@@ -70,14 +75,14 @@ def masked_euclidean(spark: SparkSession, d: str) -> DataFrame:
 
 def nearest_exemplar(spark: SparkSession, d: str) -> DataFrame:
     """The nearest exemplar of every series by DTW; ties go to the smaller exemplar."""
-    p = pairs_1d(spark, d).withColumn("d", D.distance("dtw", F.col("a"), F.col("b")))
+    p = pairs_1d(spark, d, True).withColumn("d", D.distance("dtw", F.col("a"), F.col("b")))
     best = p.groupBy("idx").agg(F.min(F.struct("d", "exemplar_idx")).alias("m"))
     return best.select("idx", F.col("m.exemplar_idx").alias("exemplar_idx"), F.round("m.d", 6).alias("d"))
 
 
 def alignment(spark: SparkSession, d: str) -> DataFrame:
     """Cells of the DTW alignment path of every series to its file's exemplars, counted by shift."""
-    p = pairs_1d(spark, d).select("idx", "exemplar_idx", F.explode(D.alignment_path("a", "b")).alias("at"))
+    p = pairs_1d(spark, d, True).select("idx", "exemplar_idx", F.explode(D.alignment_path("a", "b")).alias("at"))
     return p.groupBy("idx", "exemplar_idx").agg(F.count("*").alias("n_cells"), F.sum(F.abs(F.col("at.i") - F.col("at.j"))).cast("bigint").alias("off_diagonal"))
 
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 
 from kelpwood.functions import distances as D
 from kelpwood.functions import graphs as G
+from kelpwood.functions import kernels as K
 
 numbers = st.floats(-5, 5).map(lambda v: round(v, 3))
 series = st.lists(numbers, min_size=3, max_size=8)
@@ -36,7 +37,9 @@ def test_dtw_family(a, b):
     assert np.isclose(one("dtw", a, b), math.sqrt(naive_dtw(a, b)))
     weight = lambda k: 1 / (1 + math.exp(-0.3 * (k - max(len(a), len(b)) / 2)))
     assert np.isclose(one("wdtw", a, b, g=0.3), naive_dtw(a, b, weight=weight))
-    path_cost, path = __import__("kelpwood.functions.kernels", fromlist=["dtw_path"]).dtw_path(np.array(a), np.array(b))
+    total, steps, i, j = K.dtw_paths(np.array([[a]]), np.array([[b]]), np.array([len(a)]), np.array([len(b)]))
+    path_cost, path = total[0], list(zip(i[0].tolist(), j[0].tolist(), strict=True))[::-1]
+    assert len(path) == steps[0]
     assert np.isclose(path_cost, one("dtw", a, b)) and path[0] == (0, 0) and path[-1] == (len(a) - 1, len(b) - 1)
     assert np.isclose(sum((a[i] - b[j]) ** 2 for i, j in path), path_cost**2)
 
