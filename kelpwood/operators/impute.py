@@ -17,6 +17,7 @@ from kelpwood.functions import distances as D
 from kelpwood.functions.series import let, total
 from kelpwood.operators import forest as FO
 from kelpwood.operators import knn, proximity
+from kelpwood.operators import purity as P
 from kelpwood.session import checkpointed
 
 STRIDE = 1 << 24  # cell number = channel * STRIDE + position
@@ -107,8 +108,10 @@ def global_fill(rows: DataFrame, kind: str) -> DataFrame:
     cells = entries(rows).filter("v is not null")
     if kind == "mode":
         values = cells.groupBy(*at, "v").agg(F.count("*").alias("n")).groupBy(*at).agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("value"))
+    elif kind == "median":
+        values = P.medians(cells, at, "v", "value")
     else:
-        values = cells.groupBy(*at).agg({"mean": F.avg("v"), "median": F.expr("percentile(v, 0.5)")}[kind].alias("value"))
+        values = cells.groupBy(*at).agg(F.avg("v").alias("value"))
     table = values.agg(F.map_from_entries(F.collect_list(F.struct(cell(F.col("channel"), F.col("pos")).alias("cell"), "value"))).alias("__by"))  # one entry a position
     return rows.crossJoin(F.broadcast(table)).withColumn("series", _put(rows, lambda k, v, _: F.coalesce(v, F.element_at("__by", k), F.lit(0.0)))).drop("__by")
 

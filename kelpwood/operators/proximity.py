@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kelpwood.operators.forest import ForestModel
+from kelpwood.operators.purity import medians
+from kelpwood.session import at_most, stored
 
 LEAST = 1e-6
+MOST_COLUMNS = 100_000  # of a dense table
 
 
 def _proximities(places: DataFrame, model: ForestModel) -> DataFrame:
@@ -39,9 +42,12 @@ def test_proximities(model: ForestModel, rows: DataFrame) -> DataFrame:
 
 def dense(prox: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
     """The whole grid as one array a row: (i, prox array in order of j). On request only: it holds
-    |rows| * |columns| numbers."""
-    order = columns.select(F.col("idx").alias("j")).distinct()
+    |rows| * |columns| numbers, so at most ``MOST_COLUMNS`` columns; more are taken block by block."""
+    order = stored(columns.select(F.col("idx").alias("j")).distinct())
+    if not at_most(order, MOST_COLUMNS):
+        raise ValueError(f"more than {MOST_COLUMNS} columns: take them in blocks")
     js = order.agg(F.array_sort(F.collect_list("j")).alias("js"))
+    prox = prox.join(F.broadcast(order), "j", "left_semi")
     have = prox.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "prox"))).alias("m"))
     grid = rows.select(F.col("idx").alias("i")).distinct().join(have, "i", "left").crossJoin(F.broadcast(js))
     return grid.select("i", F.transform("js", lambda j: F.coalesce(F.element_at("m", j), F.lit(0.0))).alias("prox"))
@@ -62,7 +68,8 @@ def outlier_scores(prox: DataFrame, labels: DataFrame) -> DataFrame:
     own = prox.join(known.select(F.col("idx").alias("i"), "label"), "i").join(known.select(F.col("idx").alias("j"), F.col("label").alias("other")), "j").filter("label = other")
     squares = own.groupBy(F.col("i").alias("idx")).agg(F.sum(F.col("prox") * F.col("prox")).alias("s"))
     raw = known.join(squares, "idx", "left").crossJoin(n).select("idx", "label", (F.col("n") / F.coalesce(F.nullif("s", F.lit(0.0)), F.lit(1e-6))).alias("raw"))
-    middle = raw.groupBy("label").agg(F.expr("percentile(raw, 0.5)").alias("median"))
+    raw = stored(raw)
+    middle = medians(raw, ["label"], "raw")
     off = raw.join(middle, "label").withColumn("off", F.abs(F.col("raw") - F.col("median")))
     spread = off.groupBy("label").agg(F.avg("off").alias("spread"))
     return off.join(spread, "label").select("idx", "label", "raw", F.when(F.col("spread") > 0, F.col("off") / F.col("spread")).alias("score"))

@@ -6,9 +6,15 @@ Gini 1 and entropy 0, groups without numbers have null variance and mean deviati
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kelpwood.session import stored
+
 
 def class_counts(rows: DataFrame, keys: list[str], label: str = "label", weight: Column | None = None) -> DataFrame:
     return rows.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.sum(F.lit(1) if weight is None else weight).alias("n"))
@@ -64,3 +70,37 @@ def r_squared(predicted: DataFrame, label: str = "label", prediction: str = "pre
     mean = F.broadcast(rows.agg(F.avg(label).alias("__m")))
     gap = F.col(label) - F.col(prediction)
     return rows.crossJoin(mean).agg((1 - F.try_divide(F.sum(gap * gap), F.sum(F.pow(F.col(label) - F.col("__m"), 2)))).alias("r2"), F.avg(F.abs(gap)).alias("mae"), F.count("*").alias("n"))
+
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the partition and the running sum of __n within it."""
+    from pyspark import TaskContext
+
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        if batch.num_rows:
+            upto = pc.add(pc.cumulative_sum(batch["__n"]), total)
+            total = upto[-1].as_py()
+            yield pa.RecordBatch.from_arrays([*batch.columns, upto, pa.array([part] * batch.num_rows, pa.int32())], names=[*batch.schema.names, "__upto", "__part"])
+
+
+def medians(rows: DataFrame, keys: list[str], value: str, name: str = "median") -> DataFrame:
+    """(keys.., name): exact median of each group's values; groups of any size.
+
+    Equal values are counted first; the counts are range-partitioned by (keys, value), so that no group is ranked by
+    one task, and ranks come from running sums. Null values don't count; null keys form a group.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.schema.fields)
+    order = [*keys, "__v"]
+    ranked = stored(counts.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_running, f"{kinds}, __upto bigint, __part int"))
+    parts = ranked.groupBy("__part").agg(F.max("__upto").alias("__all")).withColumn("__before", F.sum("__all").over(Window.orderBy("__part")) - F.col("__all"))
+    placed = ranked.join(F.broadcast(parts.select("__part", "__before")), "__part").withColumn("__upto", F.col("__upto") + F.col("__before"))  # one row a partition
+    named = [F.col(k).alias(f"__{k}") for k in keys]
+    groups = placed.groupBy(*named).agg(F.min(F.col("__upto") - F.col("__n")).alias("__first"), F.sum("__n").alias("__size"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    met = placed.join(groups, same)
+    holds = lambda place: (F.col("__first") + place >= F.col("__upto") - F.col("__n")) & (F.col("__first") + place < F.col("__upto"))
+    low, high = holds(F.floor((F.col("__size") - 1) / 2)), holds(F.floor(F.col("__size") / 2))
+    middle = met.filter(low | high).groupBy(*keys).agg((F.max(F.when(low, F.col("__v"))) / 2 + F.max(F.when(high, F.col("__v"))) / 2).alias(name))
+    return middle

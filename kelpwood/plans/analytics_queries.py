@@ -17,7 +17,7 @@ from kelpwood.operators import hotdeck, impute, knn, proximity
 from kelpwood.operators import purity as P
 from kelpwood.plans.problems import _LINES
 from kelpwood.plans.distance_queries import records_2d, valid
-from kelpwood.session import broadcast_if_small, checkpointed, folder, table
+from kelpwood.session import at_most, broadcast_if_small, checkpointed, folder, table
 from kelpwood.sources import delimited
 from kelpwood.streaming import scoring
 
@@ -253,7 +253,10 @@ def f_split(spark, d):
     rows = _series(spark, d).filter("label is not null and size(series) = 32")
     pick = rows.groupBy("label").agg(F.min_by("idx", F.struct(FO.draw(0, "ex", 0, "r", 0, F.col("label"), F.col("idx")), F.col("idx"))).alias("eidx"))
     chosen = pick.join(rows.select(F.col("idx").alias("eidx"), F.col("series").alias("ex")), "eidx").select(F.col("label").alias("branch"), "eidx", "ex")
-    sets = broadcast_if_small(chosen.groupBy().agg(F.collect_list(F.struct("branch", "eidx", "ex")).alias("sets")), 1)
+    chosen = checkpointed(chosen)  # one row a class
+    if not at_most(chosen, 10_000):
+        raise ValueError("more than 10,000 classes are not compared in one split")
+    sets = F.broadcast(chosen.groupBy().agg(F.collect_list(F.struct("branch", "eidx", "ex")).alias("sets")))
     near = F.array_min(F.transform("sets", lambda e: F.struct(F.when(e["eidx"] == F.col("idx"), F.lit(-1.0)).otherwise(S.squared_euclidean(F.col("series"), e["ex"])).alias("d"), e["branch"].alias("branch"))))
     routed = rows.crossJoin(sets).select("idx", "label", near["branch"].alias("branch"))
     return P.class_purity(P.class_counts(routed, ["branch"]), ["branch"], "gini").withColumn("purity", F.round("purity", 9))

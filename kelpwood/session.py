@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,22 +47,39 @@ def folder(spark: SparkSession) -> str:
     return f"{_shared_folder(spark)}/{uuid.uuid4()}"
 
 
+MOST_BYTES = 64 << 20  # of what is broadcast
+
+
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether df has at most so many rows; reads no more than rows + 1 of them."""
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint if df is proven to have at most so many rows, else df as it is."""
-    return F.broadcast(df) if at_most(df, rows) else df
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About the bytes a column takes in a row, nested lists included."""
+    col = F.col(f"`{name}`")
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(col), F.lit(0)).cast("bigint") + 16
+    if isinstance(kind, T.ArrayType | T.MapType | T.StructType):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(col.alias("v")))), F.lit(0)).cast("bigint") + 16  # at least of that order
+    return F.lit(16).cast("bigint")
+
+
+def broadcast_if_small(df: DataFrame, rows: int, most: int = MOST_BYTES) -> DataFrame:
+    """A broadcast hint if df is proven to have at most so many rows and bytes, else df as it is. Store df before, if it
+    is dear to make: it is read for the proof."""
+    size = sum((_bytes(f.name, f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["n"] <= rows and found["bytes"] <= most else df
 
 
 def number_rows(df: DataFrame, *order: str) -> DataFrame:
     """df with ``place``: 0, 1, .. in the given order, by range partitions and their counts."""
-    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
-    before = ranged.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = stored(ranged.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()))
+    before = kept.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first")).withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n"))
     before = F.broadcast(before.select("__part", "__first", "__before"))  # one row a partition
-    return ranged.join(before, "__part").withColumn("place", F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
+    return kept.join(before, "__part").withColumn("place", F.col("__before") + F.col("__at") - F.col("__first")).drop("__part", "__at", "__first", "__before")
 
 
 def parallelism(spark: SparkSession, least: int = 1) -> int:

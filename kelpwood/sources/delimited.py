@@ -1,6 +1,6 @@
 """Delimited text files of series: one instance a line, labels inline or in a file of their own.
 
-Lines are numbered in file order by range partitions, so large files are read by many tasks. Lines
+Lines are numbered in file order from counts of the splits, so large files are read by many tasks. Lines
 that don't parse come out apart (``failed``), none is lost. Separators are taken literally.
 """
 
@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kelpwood.operators.parse_failures import parse_lines
-from kelpwood.session import number_rows
+from kelpwood.session import stored
 
 
 @dataclass(frozen=True)
@@ -31,9 +31,16 @@ class Layout:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, raw_line): the lines of a file or folder, numbered from 0 in order."""
-    lines = spark.read.text(path, lineSep="\n").select(F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return number_rows(lines, "file", "block", "row").select(F.col("place").alias("idx"), "raw_line")
+    """(idx, raw_line): the lines of a file or folder, numbered from 0 in order.
+
+    The splits of a text file are read in any order, so their rows are counted by file and place, and every row
+    takes its number from the counts before its split and its rank within; no line is shuffled.
+    """
+    at = ["file", "block"]
+    lines = stored(spark.read.text(path, lineSep="\n").select(F.col("value").alias("raw_line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+    splits = lines.groupBy(*at).agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = splits.withColumn("before", F.sum("n").over(Window.orderBy(*at)) - F.col("n")).drop("n")  # one row a split
+    return lines.join(F.broadcast(before), at).select((F.col("before") + F.col("row") - F.col("first")).alias("idx"), "raw_line")
 
 
 def _settings(spark: SparkSession, layout: Layout, channels: int) -> DataFrame:
@@ -101,3 +108,14 @@ def collect_matrix(dense: DataFrame, most: int = 10_000):  # noqa: ANN201
     if len(rows) > most:
         raise ValueError(f"more than {most} rows")
     return [r["i"] for r in rows], np.array([r["prox"] for r in rows], float)
+
+
+def file_info(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
+    """(n_lines, n_rows, least_entries, most_entries) of a file: lines without a header, and entries of a line (of its
+    first channel in two dimensions), the label counted in."""
+    layout = layout or Layout()
+    text = F.regexp_replace("value", "\r$", "")
+    line = F.split_part(text, F.lit(layout.array_separator), F.lit(1)) if layout.is_2d else text
+    entries = F.size(F.split(line, F.lit("\\Q" + layout.entry_separator + "\\E"), -1))
+    lines = spark.read.text(path, lineSep="\n").select(entries.alias("n"))
+    return lines.agg(F.count("*").alias("n_lines"), (F.count("*") - int(layout.has_header)).alias("n_rows"), F.min("n").alias("least_entries"), F.max("n").alias("most_entries"))

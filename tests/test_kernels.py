@@ -87,3 +87,11 @@ def test_graphs():
     assert G.shortest_path(triangle, path) == math.sqrt(2**2 + 2**2) and G.refinement(path, path) == 0
     assert G.edit_greedy(triangle, path) == 2 and G.edit_assigned(path, path) == 0 and 0 < G.refinement_cosine(triangle, path) <= 1
     assert G.edit_assigned(triangle, path[:2, :2]) == 1
+
+
+def test_user_distances(tmp_path):
+    (tmp_path / "mine.py").write_text("def Distance(a, b):\n    return sum(abs(x - y) for x, y in zip(a, b))\n\n\ndef other(a, b):\n    return 7\n")
+    assert D.evaluate(f"python:{tmp_path}/mine.py", [[1.0, 2.0], None], [[3.0, 5.0], [1.0]]).tolist()[0] == 5
+    assert D.evaluate(f"python:{tmp_path}/mine.py:other", [[1.0]], [[2.0]])[0] == 7
+    D.register_distance("late", lambda a, b: len(a))
+    assert D.evaluate("late", [[1.0, 2.0]], [[2.0]])[0] == 2
