@@ -1,6 +1,8 @@
 """Top N items within every group by a merge of sorted runs.
 
-The rows of a group are dealt to ``runs`` runs by the hash of their item, so a group of any size is
+Every task first keeps, of the rows of a group that it holds in memory together, those of the n best items,
+so that crowded groups shrink before anything is shuffled. The rows of a group are dealt to runs by the hash
+of their item, as many as the session has shuffle partitions (16 at least), so a group of any size is
 spread over that many tasks and all rows of one item meet in one run. Every run is sorted by
 (group, score descending, item) with Spark's spilling sort; a scan keeps each group's first N
 distinct items and seeks to the next group. What is left, at most N * runs rows a group, is merged
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 from kelpwood.session import parallelism
 
+HELD = 100_000  # rows a task prunes together
+
 
 class LoserTree:
     """Tournament of the heads of sorted runs: the inner nodes hold losers, ``winner`` the least head."""
@@ -104,6 +108,39 @@ def _whole(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.R
         yield rest
 
 
+def pruned(table: pa.RecordBatch, keys: list[str], n: int) -> pa.RecordBatch:
+    """The rows of each group's n best items, each item once with its highest score."""
+    group = np.zeros(table.num_rows, np.int64)
+    for key in keys:
+        codes = table[key].dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        group = np.unique(group * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)[1]
+    score, item = table["__score"].to_numpy(zero_copy_only=False), table["__item"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((-score, item, group))
+    g, i = group[order], item[order]
+    order = order[np.append(True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]))]  # each item of a group once
+    order = order[np.lexsort((item[order], -score[order], group[order]))]
+    g = group[order]
+    first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+    rank = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+    return table.take(pa.array(order[rank < n]))
+
+
+def _prune(keys: list[str], n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= HELD:
+                yield pruned(pa.Table.from_batches(held).combine_chunks().to_batches()[0], keys, n)
+                held, rows = [], 0
+        if held:
+            yield pruned(pa.Table.from_batches(held).combine_chunks().to_batches()[0], keys, n)
+
+    return run
+
+
 def _scan(keys: list[str], n: int):
     """Keep the first n distinct items of each group of a sorted run."""
     marks = [*keys, "__run"]
@@ -154,9 +191,10 @@ def _merge(keys: list[str], n: int):
     return run
 
 
-def top_n(rows: DataFrame, keys: list[str], item: str, score: str, n: int, runs: int = 16) -> DataFrame:
+def top_n(rows: DataFrame, keys: list[str], item: str, score: str, n: int, runs: int | None = None) -> DataFrame:
     """(keys..., item, score, rank) of the n items with the highest scores in every group."""
     spark = rows.sparkSession
+    runs = runs or parallelism(spark, 16)
     good = F.col(item).isNotNull() & F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))
     for k in keys:
         good &= F.col(k).isNotNull()
@@ -165,6 +203,6 @@ def top_n(rows: DataFrame, keys: list[str], item: str, score: str, n: int, runs:
     schema = ", ".join(f"`{c}` {types[c]}" for c in dealt.columns)
     parts = parallelism(spark)
     order = [*keys, "__run", F.desc("__score"), "__item"]
-    sorted_runs = dealt.repartition(parts, *keys, "__run").sortWithinPartitions(*order).mapInArrow(_scan(keys, n), schema)
+    sorted_runs = dealt.mapInArrow(_prune(keys, n), schema).repartition(parts, *keys, "__run").sortWithinPartitions(*order).mapInArrow(_scan(keys, n), schema)
     merged = sorted_runs.repartition(parts, *keys).sortWithinPartitions(*order)
     return merged.mapInArrow(_merge(keys, n), ", ".join([*(f"`{k}` {types[k]}" for k in keys), "item bigint, score double, rank int"]))

@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kelpwood.llm.topn import merge, top_n
+from kelpwood.llm.topn import merge, pruned, top_n
 
 
 @settings(max_examples=200, deadline=None)
@@ -51,3 +52,18 @@ def test_batches_of_one_group(spark):
         assert got == [(9 + 10 * k, 9.0) for k in range(6)]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(0, 2), st.integers(0, 6), st.integers(-3, 3)), min_size=1, max_size=40), st.integers(1, 4))
+def test_pruning_keeps_the_best(rows, n):
+    table = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows]), pa.array([float(r[3]) for r in rows])], names=["g", "h", "__item", "__score"])
+    got = {(r["g"], r["h"], r["__item"], r["__score"]) for r in pruned(table, ["g", "h"], n).to_pylist()}
+    want = set()
+    for key in {r[:2] for r in rows}:
+        best = {}
+        for r in rows:
+            if r[:2] == key:
+                best[r[2]] = max(best.get(r[2], -9), r[3])
+        want |= {(*key, i, float(s)) for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n]}
+    assert got == want
