@@ -217,3 +217,63 @@ def recode(train: DataFrame, label: str = "label") -> DataFrame:
     from the left: an unseen label has no code."""
     first = train.filter(F.col(label).isNotNull()).groupBy(label).agg(F.min("idx").alias("first"))
     return first.select(label, (F.row_number().over(Window.orderBy("first", label)) - 1).alias("code"))  # one row a label
+
+
+# --- mixed entries: structs (num, bool, str) ---------------------------------------------------
+
+
+def _cells(rows: DataFrame, *keep: str) -> DataFrame:
+    return rows.select(*keep, F.posexplode("series").alias("pos", "e"))
+
+
+def _most(votes: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """(keys.., value): the entry of the greatest weight (to nine places), ties to the smaller entry."""
+    return votes.groupBy(*keys).agg(F.min_by("e", F.struct(-F.round(weight, 9), F.col("e"))).alias("value"))
+
+
+def _put_entries(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """Entries that are null become the values (idx, pos, value)."""
+    new = values.groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("__new"))
+    return rows.join(new, "idx", "left").withColumn("series", F.transform("series", lambda e, i: F.coalesce(e, F.element_at("__new", i)))).drop("__new")
+
+
+def mixed_mode(rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Missing entries become the most frequent entry of their position (within ``keys``), ties to the smaller; they
+    stay missing where none is observed."""
+    seen = _cells(rows, *keys).filter("e is not null").groupBy(*keys, "pos", "e").agg(F.count("*").alias("n"))
+    best = _most(seen, [*keys, "pos"], "n")
+    gaps = _cells(rows, "idx", *keys).filter("e is null")
+    return _put_entries(rows, gaps.join(best, [*keys, "pos"]).select("idx", "pos", "value"))
+
+
+def mixed_update(filled: DataFrame, original: DataFrame, prox: DataFrame, donors: DataFrame | None = None) -> DataFrame:
+    """Each entry missing in ``original`` becomes the proximity-weighted mode of what the donors (the rows of
+    ``original`` themselves by default) observe at its position; it stays as filled where none does."""
+    gaps = _cells(original, "idx").filter("e is null").select("idx", "pos")
+    seen = _cells(original if donors is None else donors, "idx").filter("e is not null").withColumnRenamed("idx", "j")
+    votes = gaps.join(prox.filter("i <> j").select(F.col("i").alias("idx"), "j", "prox"), "idx").join(seen, ["j", "pos"]).groupBy("idx", "pos", "e").agg(F.sum("prox").alias("w"))
+    bare = original.select("idx", F.col("series").alias("__raw")).join(_most(votes, ["idx", "pos"], "w").groupBy("idx").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("__new")), "idx")
+    return filled.join(bare, "idx", "left").withColumn("series", F.transform("series", lambda e, i: F.when(F.get("__raw", i).isNull(), F.coalesce(F.element_at("__new", i), e)).otherwise(e))).drop("__raw", "__new")
+
+
+def forest_impute_mixed(train: DataFrame, config: FO.ForestConfig, test: DataFrame | None = None) -> tuple[FO.ForestModel, DataFrame, DataFrame | None]:
+    """As forest_impute for mixed entries: modes of the positions first, then proximity-weighted modes, from forests on
+    the ``mixed`` distance: (model, train, test). A position that no row observes becomes an empty text."""
+    from dataclasses import replace
+
+    from kelpwood.functions.mixed import encoded
+
+    cfg = replace(config, distances=("mixed",))
+    nothing = F.struct(F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit("").alias("str"))
+    both = train if test is None else train.unionByName(test.select(*train.columns))
+    started = checkpointed(mixed_mode(both).withColumn("series", F.transform("series", lambda e: F.coalesce(e, nothing))))
+    filled, other = started.join(train.select("idx"), "idx", "left_semi"), None if test is None else started.join(test.select("idx"), "idx", "left_semi")
+    for _ in range(config.impute_iterations):
+        # one scale for both: test rows are encoded together with the training rows
+        scaled = checkpointed(encoded(filled if other is None else filled.unionByName(other)))
+        model = FO.fit(scaled.join(train.select("idx"), "idx", "left_semi"), cfg)
+        new = checkpointed(mixed_update(filled, train, proximity.train_proximities(model)))
+        if other is not None:
+            other = checkpointed(mixed_update(other, test, proximity.test_proximities(model, scaled.join(test.select("idx"), "idx", "left_semi")), train))
+        filled = new
+    return FO.fit(encoded(filled), cfg), filled, other

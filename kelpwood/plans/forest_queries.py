@@ -11,12 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpwood.functions import mixed
 from kelpwood.functions import series as S
 from kelpwood.operators import forest as FO
 from kelpwood.operators import impute, proximity
 from kelpwood.operators import purity as P
+from kelpwood.operators.parse_failures import load_valid
 from kelpwood.plans.distance_queries import valid
+from kelpwood.plans.problems import _LINES
 from kelpwood.session import folder, table
+from kelpwood.sources.delimited import tagged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,3 +277,48 @@ def i_forest_others(spark, d):
     rows = _gappy(spark, d)
     found = impute.forest_impute(rows.filter("idx % 5 <> 0"), FO.ForestConfig(**IMPUTATION), rows.filter("idx % 5 = 0"))[2]
     return found.select("idx", F.transform("series", lambda v: F.round(v, 6)).alias("series"))
+
+
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    """(idx, file_id, label, series): the valid lines of the files that aren't numeric, with tagged entries."""
+    lines = table(spark, d, "raw_lines").select("line_id", "file_id", "line_no", "raw_line")
+    files = table(spark, d, "app_context").filter("not is_numeric")
+    good = load_valid(lines.join(F.broadcast(files.select("file_id").distinct()), "file_id", "left_semi"), files)  # one row a file
+    return good.select(F.col("line_id").alias("idx"), "file_id", "label", F.transform(F.get("tokens", F.lit(0)), tagged).alias("series"))
+
+
+def _shown(e: F.Column) -> F.Column:
+    """An entry as text: its kind and itself, a number to six places."""
+    return F.when(e["num"].isNotNull(), F.concat(F.lit("n "), F.round(e["num"] * 1_000_000).cast("bigint").cast("string"))).when(e["bool"].isNotNull(), F.concat(F.lit("b "), e["bool"].cast("string"))).otherwise(F.concat(F.lit("s "), e["str"]))
+
+
+@query(f"""with {_LINES},
+ea as (select line_id, file_id, ms, lab, target_column, regexp_extract_all(t || entry_separator, '(' || ent || ')' || e, 1) as en from w join r using (line_id, file_id) where reason is null and not is_numeric),
+eb as (select *, list_transform(case when lab = 0 then en when target_column = 'first' then en[2:] else en[:-2] end, lambda x: trim(x, ' ' || chr(9))) as own from ea),
+eu as (select *, list_transform(own, lambda x: case when x like '"%' then trim(replace(x[2:-2], '""', '"'), ' ' || chr(9)) else x end) as trimmed from eb),
+ec as (select line_id as idx, file_id, unnest(trimmed) as x, unnest(range(len(trimmed))) as pos, ms from eu),
+ek as (select idx, file_id, pos, case when list_contains(ms, upper(x)) then null else x end as x, try_cast(x as double) as num from ec),
+ee as (select idx, file_id, pos, case when x is null then null when num is not null then 0 when lower(x) in ('true', 'false') then 1 else 2 end as kind, num, lower(x) = 'true' as flag, x from ek),
+es as (select idx, file_id, pos, case kind when 0 then 'n ' || (round(num * 1000000)::bigint)::varchar when 1 then 'b ' || flag::varchar when 2 then 's ' || x end as shown,
+  (case when kind = 0 then num end) as num, (case when kind = 1 then flag end) as flag, (case when kind = 2 then x end) as txt from ee),
+en2 as (select file_id, pos, shown, any_value(num) as num, any_value(flag) as flag, any_value(txt) as txt, count(*) as n from es where shown is not null group by all),
+em as (select file_id, pos, shown as best from en2 qualify row_number() over (partition by file_id, pos order by n desc, num nulls first, flag nulls first, txt nulls first) = 1)
+select idx, file_id, list(coalesce(shown, best) order by pos) as y from es left join em using (file_id, pos) group by idx, file_id""")
+def i_mixed_mode(spark, d):
+    """Missing entries of mixed instances become the most frequent entry of their file and position."""
+    return impute.mixed_mode(_mixed(spark, d), ("file_id",)).select("idx", "file_id", F.transform("series", _shown).alias("y"))
+
+
+@query()
+def i_mixed_forest(spark, d):
+    """The whole iteration over mixed instances of one length: modes, forest on the mixed distance, weighted modes."""
+    rows = _mixed(spark, d).filter("file_id = 13").drop("file_id")
+    found = impute.forest_impute_mixed(rows, FO.ForestConfig(n_trees=3, n_candidates=2, max_depth=4, impute_iterations=1))[1]
+    return found.select("idx", F.transform("series", _shown).alias("y"))
+
+
+@query()
+def f_mixed(spark, d):
+    """Predictions of a forest on mixed instances, files apart by length."""
+    rows = mixed.encoded(impute.mixed_mode(_mixed(spark, d), ("file_id",)).filter(~F.exists("series", lambda e: e.isNull())))
+    return FO.fit(rows.select("idx", "label", "series"), FO.ForestConfig(n_trees=3, n_candidates=2, max_depth=4, distances=("mixed",))).transform(rows)
