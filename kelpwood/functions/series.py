@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -72,15 +75,39 @@ def gradients_histogram(x: Column, bins: Column | None = None) -> Column:
     return let(both, lambda r: F.when((F.size(r["steps"]) == 0) | (r["k"] <= 0), none).otherwise(counts(r["steps"], r["k"])))
 
 
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def first_component(x: pa.Array) -> pa.Array:
+    """The channels of a series (of one length) projected on their first principal axis, of which the loading that is
+    greatest in size is positive; null where channels differ in length or entries are missing."""
+    from kelpwood.functions.arrays import Channels
+
+    s = Channels(x)
+    even = s.whole() & ((s.size == s.size[:, :1]) | (np.arange(s.channels) >= s.counts[:, None])).all(1) if s.channels else np.zeros(len(s.counts), bool)
+    out: list[np.ndarray | None] = [None] * len(s.counts)
+    rows = np.flatnonzero(even)
+    for c, n in np.unique(np.column_stack([s.counts[rows], s.size[rows, 0]]), axis=0).tolist() if len(rows) else []:
+        own = rows[(s.counts[rows] == c) & (s.size[rows, 0] == n)]
+        m = s.dense(own, c, n)
+        m = m - m.mean(2, keepdims=True)
+        axis = np.linalg.eigh(m @ m.transpose(0, 2, 1))[1][:, :, -1]
+        turn = np.sign(np.take_along_axis(axis, np.abs(axis).argmax(1)[:, None], 1))
+        for r, v in zip(own.tolist(), np.einsum("rc,rcn->rn", axis * turn, m), strict=True):
+            out[r] = v
+    return pa.array(out, pa.list_(pa.float64()))
+
+
 def gradients_histogram_2d(x: Column, strategy: str = "concatenate") -> Column:
     """Histogram of the gradients of all channels: ``concatenate`` counts the differences of all channels
     as one series, ``per_channel`` sets the channels' histograms side by side, ``average`` counts the mean
-    difference of the channels (of one length). As many bins as the root of the first channel's length."""
+    difference of the channels (of one length), ``pca`` the differences of the channels' first principal
+    component. As many bins as the root of the first channel's length."""
     bins = F.floor(F.sqrt(F.size(F.get(x, F.lit(0))))).cast("int")
     if strategy == "concatenate":
         return let(F.flatten(difference_2d(x)), lambda g: gradients_histogram(g, bins))
     if strategy == "per_channel":
         return F.flatten(F.transform(difference_2d(x), lambda g: gradients_histogram(g, bins)))
+    if strategy == "pca":
+        return let(difference(first_component(x)), lambda g: gradients_histogram(g, bins))
     if strategy != "average":
         raise ValueError(f"unknown strategy {strategy!r}")
     steps = difference_2d(x)

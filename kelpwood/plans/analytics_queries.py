@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kelpwood.functions import graphs, meta
+from kelpwood.functions import graphs, meta  # noqa: F401 (graphs registers its distances)
 from kelpwood.functions import distances as D
 from kelpwood.functions import series as S
 from kelpwood.operators import forest as FO
@@ -100,12 +100,18 @@ def s_gradients_histogram_per_channel(spark, d):
     return records_2d(spark, d).select("idx", S.gradients_histogram_2d(F.col("series"), "per_channel").alias("y"))
 
 
-@query()
+@query(f"with {_R2}, q as (select idx, list_transform(range(1, len(s[1])), lambda k: list_sum(list_transform(s, lambda x: x[k + 1] - x[k])) / len(s)) as f, floor(sqrt(len(s[1])))::int as n from r), g as (select idx, n, {_STEPS_OF.format(x='f')} as g from q) select idx, {_COUNTS.format(g='g')} as y from g")
 def s_gradients_histogram_average(spark, d):
     """Histogram of the channels' mean gradients."""
     return records_2d(spark, d).select("idx", S.gradients_histogram_2d(F.col("series"), "average").alias("y"))
 
 
+@query()
+def s_gradients_histogram_pca(spark, d):
+    """Histogram of the gradients of the channels' first principal component."""
+    return records_2d(spark, d).select("idx", S.gradients_histogram_2d(F.col("series"), "pca").alias("y"))
+
+
 @query("""
 with v as (select idx, label, series from series_1d where len(series) = 32 and len(list_filter(series, lambda x: x is null or isnan(x))) = 0),
 n as (select a.idx, b.label, row_number() over (partition by a.idx order by list_distance(a.series, b.series), b.idx) as place from v a join v b on a.idx <> b.idx where a.label is null qualify place <= 5),
@@ -454,6 +460,40 @@ def _kinds(m: str, n: int) -> str:
     return "(" + " + ".join(f"({_EDGE.format(m=m, i=i, j=j)} + {_EDGE.format(m=m, i=i, j=k)} + {_EDGE.format(m=m, i=j, j=k)} = {n})::int" for i, j, k in _TRIPLES) + ")"
 
 
+_NODES = "list_transform(range(5), lambda i: {0})"
+
+
+def _refined_sql(m: str) -> str:
+    """Labels of three rounds of refinement of the nodes of a graph without features, with their rounds."""
+    near = f"list_filter(range(5), lambda j: {m}[i + 1][j + 1] <> 0)"
+    one = _NODES.format(f"len({near})::varchar")
+    step = lambda last: _NODES.format(f"{last}[i + 1] || '(' || coalesce(list_aggregate(list_sort(list_transform({near}, lambda j: {last}[j + 1])), 'string_agg', ','), '') || ')'")
+    two = step(one)
+    return f"list_concat(list_transform({one}, lambda x: '1 ' || x), list_transform({two}, lambda x: '2 ' || x), list_transform({step(two)}, lambda x: '3 ' || x))"
+
+
+def _lengths_sql(m: str) -> str:
+    """Lengths of the shortest paths between different nodes."""
+    out = f"list_transform(range(25), lambda k: case when k // 5 = k % 5 then 0.0::double when {m}[k // 5 + 1][k % 5 + 1] <> 0 then {m}[k // 5 + 1][k % 5 + 1] else 'inf'::double end)"
+    for _ in range(3):
+        out = f"list_transform([{out}], lambda p: list_transform(range(25), lambda k: list_min(list_transform(range(5), lambda q: p[k // 5 * 5 + q + 1] + p[q * 5 + k % 5 + 1]))))[1]"
+    return f"list_transform([{out}], lambda p: list_transform(list_filter(range(25), lambda k: k // 5 <> k % 5 and not isinf(p[k + 1])), lambda k: (floor(p[k + 1] * 100 + 0.5) / 100)::varchar))[1]"
+
+
+def _gap_sql(labels: Callable[[str], str], value: str) -> str:
+    """(user_id, d) from the counts a and b of the labels of a user's and the first user's graph."""
+    return f"""with {_G}, u as (select user_id, unnest({labels('g')}) as label from g), w as (select unnest({labels('h')}) as label from f),
+ca as (select user_id, label, count(*) as a from u group by all), cb as (select label, count(*) as b from w group by all),
+every as (select user_id, label from ca union select user_id, label from (select user_id from g), cb),
+t as (select user_id, label, coalesce(a, 0) as a, coalesce(b, 0) as b from every left join ca using (user_id, label) left join cb using (label))
+select user_id, round({value}, 6) as d from t group by user_id"""
+
+
+_GRAPH_QUERIES = {
+    "shortest_path": _gap_sql(_lengths_sql, "sqrt(sum(pow(a - b, 2)))"),
+    "refinement": _gap_sql(_refined_sql, "sqrt(sum(pow(a - b, 2)))"),
+    "refinement_cosine": _gap_sql(lambda m: f"list_concat(['0', '0', '0', '0', '0'], {_refined_sql(m)})", "1 - sum(a * b) / sqrt(sum(a * a)) / sqrt(sum(b * b))"),
+}
 _GRAPH_SQL = {
     "hamming": "list_sum(list_transform(range(1, 26), lambda k: abs(g[(k - 1) // 5 + 1][(k - 1) % 5 + 1] - h[(k - 1) // 5 + 1][(k - 1) % 5 + 1])))",
     "graphlet": "sqrt(" + " + ".join(f"pow({_kinds('g', n)} - {_kinds('h', n)}, 2)" for n in (1, 2, 3)) + ")",
@@ -465,7 +505,7 @@ def _graph_query(name: str, short: str) -> None:
         return _graph_pairs(spark, d).select("user_id", F.round(D.distance(name, F.col("g"), F.col("h")), 6).alias("d"))
 
     run.__name__ = f"g_{short}"
-    query(f"with {_G} select user_id, round({_GRAPH_SQL[short]}, 6) as d from g, f" if short in _GRAPH_SQL else None)(run)
+    query(f"with {_G} select user_id, round({_GRAPH_SQL[short]}, 6) as d from g, f" if short in _GRAPH_SQL else _GRAPH_QUERIES.get(short))(run)
 
 
 for _name, _short in _GRAPHS.items():
@@ -493,6 +533,40 @@ def m_regression(spark, d):
     return own.join(broadcast_if_small(other.select("exemplar_idx", "file_id", F.col("predicted").alias("p")), 10_000), "file_id").select("idx", "exemplar_idx", F.round(meta.regression_distance(F.col("predicted"), F.col("p")), 6).alias("d"))
 
 
+@query(f"with {_V}, p as (select idx, file_id, len(list_filter(x, lambda t: t > 0)) / len(x) as s from v), e as (select exemplar_idx, file_id, len(list_filter(series, lambda t: t > 0)) / len(series) as r from exemplars) select idx, exemplar_idx, round(1 - (s * r + (1 - s) * (1 - r)) / (sqrt(s * s + (1 - s) * (1 - s)) * sqrt(r * r + (1 - r) * (1 - r))), 6) as d from p join e using (file_id)")
+def m_probability(spark, d):
+    """Distance by a model's class probabilities (here the shares of positive entries and of others)."""
+    predict = lambda s: s.map(lambda x: [float((x > 0).mean()), float(1 - (x > 0).mean())])
+    own = meta.with_predictions(_series(spark, d).select("idx", "file_id", "series"), predict, "array<double>")
+    other = meta.with_predictions(table(spark, d, "exemplars").select("exemplar_idx", "file_id", "series"), predict, "array<double>")
+    return own.join(broadcast_if_small(other.select("exemplar_idx", "file_id", F.col("predicted").alias("p")), 10_000), "file_id").select("idx", "exemplar_idx", F.round(meta.probability_distance(F.col("predicted"), F.col("p")), 6).alias("d"))
+
+
+def _by_idx(spark, d, value):
+    """Pairs of the proximity table with predictions a and b given by idx."""
+    given = table(spark, d, "series_1d").filter("series is not null and size(series) > 0").select("idx", value.alias("value"))
+    pairs = table(spark, d, "sparse_proximities").filter("prox > 0 and prox <= 1").select("i", "j").distinct()
+    one = meta.with_file_predictions(pairs.withColumn("idx", F.col("i")), given, "value", "a").drop("idx")
+    return meta.with_file_predictions(one.withColumn("idx", F.col("j")), given, "value", "b")
+
+
+_GIVEN = "q as (select distinct i, j from sparse_proximities where prox > 0 and prox <= 1), y as (select idx, len(list_filter(series, lambda t: t > 0 and not isnan(t)))::double as v, len(series) as n from series_1d where len(series) > 0)"
+
+
+@query(f"with {_GIVEN} select i, j, round(abs(a.v - b.v), 6) as d from q left join y a on a.idx = i left join y b on b.idx = j")
+def m_file_regression(spark, d):
+    """Distance of the pairs of the proximity table by numbers given by idx (here the positive entries)."""
+    positive = F.size(F.filter("series", lambda v: (v > 0) & ~F.isnan(v))).cast("double")
+    return _by_idx(spark, d, positive).select("i", "j", F.round(meta.regression_distance(F.col("a"), F.col("b")), 6).alias("d"))
+
+
+@query(f"with {_GIVEN}, z as (select idx, v / n as s from y) select i, j, round(1 - (a.s * b.s + (1 - a.s) * (1 - b.s)) / (sqrt(a.s * a.s + (1 - a.s) * (1 - a.s)) * sqrt(b.s * b.s + (1 - b.s) * (1 - b.s))), 6) as d from q left join z a on a.idx = i left join z b on b.idx = j")
+def m_file_probability(spark, d):
+    """Distance of the pairs of the proximity table by class probabilities given by idx."""
+    share = F.size(F.filter("series", lambda v: (v > 0) & ~F.isnan(v))) / F.size("series")
+    return _by_idx(spark, d, F.array(share, 1 - share)).select("i", "j", F.round(meta.probability_distance(F.col("a"), F.col("b")), 6).alias("d"))
+
+
 @query("with q as (select i, j, max(prox) as p from sparse_proximities where prox > 0 and prox <= 1 group by all) select i, j, (a.label <> b.label)::int::double as d from q left join series_1d a on a.idx = i left join series_1d b on b.idx = j")
 def m_file_class_mismatch(spark, d):
     """0/1 distance of the pairs of the proximity table by predictions given by idx."""
@@ -546,4 +620,3 @@ with v as (select idx, series from series_1d where len(series) = 32 and len(list
 select a.idx, b.idx as neighbour, list_distance(a.series, b.series) as distance, (row_number() over (partition by a.idx order by list_distance(a.series, b.series), b.idx))::int as place
 from v a join v b on a.idx <> b.idx where a.idx % 100 = 0 qualify place <= 5
 """
-assert graphs

@@ -21,6 +21,7 @@ from kelpwood.plans.distance_queries import valid
 from kelpwood.plans.problems import _LINES
 from kelpwood.session import folder, table
 from kelpwood.sources.delimited import tagged
+from kelpwood.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -244,6 +245,19 @@ def f_save_and_load(spark, d):
     return FO.ForestModel.load(spark, path).transform(rows)
 
 
+@query(f"{_PREDICTED} select idx, prediction from predicted")
+def st_scores(spark, d):
+    """The series scored as a stream by the forest, micro-batch by micro-batch."""
+    model, _ = _forest(spark, d, OPTIONS)
+    whole = table(spark, d, "series_1d")
+    alone = whole.inputFiles()[0].endswith("/series_1d.parquet")  # else a folder of part files
+    reader = spark.readStream.schema(whole.schema)
+    source = reader.option("pathGlobFilter", "series_1d.parquet").parquet(d) if alone else reader.parquet(f"{d}/series_1d.parquet")
+    path = folder(spark)
+    scoring.score(model, source.filter(valid(F.col("series")) & (F.size("series") == 32)).select("idx", "series"), path, folder(spark)).awaitTermination()
+    return spark.read.parquet(path).select("idx", "prediction")
+
+
 @query()
 def f_default(spark, d):
     """Predictions of a forest with all defaults: 11 trees, 5 candidates, all 11 measures, no limit of depth."""

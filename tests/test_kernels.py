@@ -4,6 +4,7 @@ import math
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -95,3 +96,11 @@ def test_user_distances(tmp_path):
     assert D.evaluate(f"python:{tmp_path}/mine.py:other", [[1.0]], [[2.0]])[0] == 7
     D.register_distance("late", lambda a, b: len(a))
     assert D.evaluate("late", [[1.0, 2.0]], [[2.0]])[0] == 2
+
+
+def test_first_component():
+    from kelpwood.functions.series import first_component
+
+    line = np.array([0.0, 1.0, 4.0, 2.0])
+    got = first_component.func(pa.array([[(2 * line + 1).tolist(), (-line).tolist()], [[1.0, 2.0], [1.0]], None, [[1.0, None]], []], pa.list_(pa.list_(pa.float64())))).to_pylist()
+    assert np.allclose(got[0], (line - line.mean()) * np.sqrt(5)) and got[1:] == [None] * 4
