@@ -24,7 +24,18 @@ from kelpwood.functions.arrays import Channels, lists
 
 PARAMS = ("w", "g", "c", "nu", "lam", "epsilon", "delta")
 #: The grids that the costs of msm and twe are drawn from.
-MSM_GRID = tuple([round(0.01 + 0.00375 * k, 5) for k in range(25)] + [round(0.136 + 0.036 * k, 3) for k in range(25)] + [round(1.36 + 0.36 * k, 2) for k in range(25)] + [round(13.6 + 3.6 * k, 1) for k in range(25)])
+MSM_GRID = (
+    0.01, 0.01375, 0.0175, 0.02125, 0.025, 0.02875, 0.0325, 0.03625, 0.04, 0.04375,
+    0.0475, 0.05125, 0.055, 0.05875, 0.0625, 0.06625, 0.07, 0.07375, 0.0775, 0.08125,
+    0.085, 0.08875, 0.0925, 0.09625, 0.1, 0.136, 0.172, 0.208, 0.244, 0.28,
+    0.316, 0.352, 0.388, 0.424, 0.46, 0.496, 0.532, 0.568, 0.604, 0.64,
+    0.676, 0.712, 0.748, 0.784, 0.82, 0.856, 0.892, 0.928, 0.964, 1,
+    1.36, 1.72, 2.08, 2.44, 2.8, 3.16, 3.52, 3.88, 4.24, 4.6,
+    4.96, 5.32, 5.68, 6.04, 6.4, 6.76, 7.12, 7.48, 7.84, 8.2,
+    8.56, 8.92, 9.28, 9.64, 10, 13.6, 17.2, 20.8, 24.4, 28,
+    31.6, 35.2, 38.8, 42.4, 46, 49.6, 53.2, 56.8, 60.4, 64,
+    67.6, 71.2, 74.8, 78.4, 82, 85.6, 89.2, 92.8, 96.4, 100,
+)
 TWE_NU = (0.00001, 0.0001, 0.0005, 0.001, 0.005, 0.01, 0.05, 0.1, 0.5, 1)
 TWE_LAMBDA = (0, 0.011111111, 0.022222222, 0.033333333, 0.044444444, 0.055555556, 0.066666667, 0.077777778, 0.088888889, 0.1)
 DEFAULT_POOL = ("euclidean", "dtw", "dtwcv", "ddtw", "ddtwcv", "wdtw", "wddtw", "lcss", "erp", "twe", "msm")
@@ -46,6 +57,7 @@ class Distance:
     defaults: dict[str, float] = field(default_factory=dict)
     exact: bool = False
     average: bool = False
+    uneven: bool = False  # compares different numbers of channels
 
 
 REGISTRY: dict[str, Distance] = {}
@@ -188,7 +200,7 @@ def evaluate(name: str | Distance, a: object, b: object, params: dict[str, np.nd
     given = params or {}
     filled = {k: np.asarray(given[k] if k in given else np.full(n, np.nan), float) for k in d.params}
     filled = {k: np.where(np.isnan(v), d.defaults.get(k, 0.0), v) for k, v in filled.items()}
-    fit = x.whole() & y.whole() & (x.counts == y.counts)
+    fit = x.whole() & y.whole() & (d.uneven | (x.counts == y.counts))
     if not d.average:  # channels of one length
         for s in (x, y):
             fit &= ((s.size == s.size[:, :1]) | (np.arange(s.channels) >= s.counts[:, None])).all(1) if s.channels else False
@@ -196,17 +208,18 @@ def evaluate(name: str | Distance, a: object, b: object, params: dict[str, np.nd
     if d.average:
         counts = x.counts[rows]
         own, first = np.repeat(rows, counts), np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        groups = [(1, own, first)]
+        groups = [(1, 1, own, first)]
     else:
-        groups = [(int(c), rows[x.counts[rows] == c], 0) for c in np.unique(x.counts[rows])]
+        kinds, which = np.unique(np.column_stack([x.counts[rows], y.counts[rows]]), axis=0, return_inverse=True)
+        groups = [(*kind, rows[which.ravel() == g], 0) for g, kind in enumerate(kinds.tolist())]
     total = np.zeros(n)
-    for channels, own, first in groups:
+    for channels, others, own, first in groups:
         at = np.broadcast_to(np.asarray(first), own.shape)
         la, lb = x.size[own, at], y.size[own, at]
-        for part in _batches(la, lb, channels, d.exact):
+        for part in _batches(la, lb, max(channels, others), d.exact):
             m = own[part]
             left = x.dense(m, channels, int(la[part].max()), at[part], 0.0)
-            right = y.dense(m, channels, int(lb[part].max()), at[part], 0.0)
+            right = y.dense(m, others, int(lb[part].max()), at[part], 0.0)
             np.add.at(total, m, d.run(left, right, la[part], lb[part], {k: v[m] for k, v in filled.items()}))
     out[rows] = total[rows] / x.counts[rows] if d.average else total[rows]
     return out

@@ -7,6 +7,7 @@ definition allows it, else the distance is null.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -21,9 +22,9 @@ def split(m: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return m[:, :n], (m[:, n:] if m.shape[1] > n else None)
 
 
-def hamming(a: np.ndarray, b: np.ndarray) -> float:
+def hamming(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, _: dict) -> np.ndarray:
     """Sum of the absolute differences of all entries; null for different orders."""
-    return float(np.abs(a - b).sum()) if a.shape == b.shape else np.nan
+    return np.abs(a - b).sum((1, 2)) if a.shape == b.shape else np.full(len(a), np.nan)
 
 
 def _histogram_gap(p: Counter, q: Counter) -> float:
@@ -42,10 +43,6 @@ def path_lengths(m: np.ndarray) -> Counter:
     return Counter(np.floor(off[np.isfinite(off)] * 100 + 0.5) / 100)
 
 
-def shortest_path(a: np.ndarray, b: np.ndarray) -> float:
-    return _histogram_gap(path_lengths(a), path_lengths(b))
-
-
 def graphlets(m: np.ndarray) -> Counter:
     """Exact counts of the connected kinds of three nodes: triangle, wedge, and one edge."""
     edge = split(m)[0] != 0
@@ -56,10 +53,6 @@ def graphlets(m: np.ndarray) -> Counter:
     return Counter({k: kinds[k] for k in (1, 2, 3)})
 
 
-def graphlet(a: np.ndarray, b: np.ndarray) -> float:
-    return _histogram_gap(graphlets(a), graphlets(b))
-
-
 def _refined(m: np.ndarray, start: list, linked: np.ndarray, keep_first: bool) -> Counter:
     """Labels of ROUNDS rounds of neighbourhood refinement, as nested tuples that mean the same in any graph."""
     labels, seen = start, Counter(start if keep_first else [])
@@ -69,33 +62,43 @@ def _refined(m: np.ndarray, start: list, linked: np.ndarray, keep_first: bool) -
     return seen
 
 
-def refinement(a: np.ndarray, b: np.ndarray) -> float:
-    """Difference of the counts of refined labels; features count modulo 10 of their whole part."""
-
-    def count(m: np.ndarray) -> Counter:
-        adjacency, features = split(m)
-        start = ["init"] * len(m) if features is None else [tuple(int(np.fmod(int(v), 10)) for v in row) for row in features]
-        return _refined(m, start, adjacency != 0, False)
+def refined(m: np.ndarray) -> Counter:
+    """Counts of refined labels; features count modulo 10 of their whole part."""
+    adjacency, features = split(m)
+    start = ["init"] * len(m) if features is None else [tuple(int(np.fmod(int(v), 10)) for v in row) for row in features]
+    return _refined(m, start, adjacency != 0, False)
 
-    return _histogram_gap(count(a), count(b))
 
+def refined_shares(m: np.ndarray) -> Counter:
+    """Shares of initial and refined labels; features lie in 0..1, in bins."""
+    adjacency, features = split(m)
+    place = lambda v: int(v) if v in (0.0, 1.0) else int(np.floor(v * 9))
+    start = ["init"] * len(m) if features is None else [tuple(place(v) for v in np.clip(row, 0, 1)) for row in features]
+    seen = _refined(m, start, adjacency > 0, True)
+    n = sum(seen.values())
+    return Counter({k: v / n for k, v in seen.items()})
 
-def refinement_cosine(a: np.ndarray, b: np.ndarray) -> float:
-    """1 - cosine of the shares of initial and refined labels; features lie in 0..1, in bins."""
 
-    def share(m: np.ndarray) -> dict:
-        adjacency, features = split(m)
-        place = lambda v: int(v) if v in (0.0, 1.0) else int(np.floor(v * 9))
-        start = ["init"] * len(m) if features is None else [tuple(place(v) for v in np.clip(row, 0, 1)) for row in features]
-        seen = _refined(m, start, adjacency > 0, True)
-        n = sum(seen.values())
-        return {k: v / n for k, v in seen.items()}
-
-    p, q = share(a), share(b)
+def _cosine_gap(p: Counter, q: Counter) -> float:
     norm = np.sqrt(sum(v * v for v in p.values())) * np.sqrt(sum(v * v for v in q.values()))
     return float(1 - sum(v * q.get(k, 0) for k, v in p.items()) / norm) if norm > 0 else 1.0
 
 
+def _by_counts(count: Callable[[np.ndarray], Counter], gap: Callable[[Counter, Counter], float]) -> Callable:
+    """A distance of two graphs' counts; each distinct graph of a batch is counted once."""
+
+    def run(a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray, _: dict) -> np.ndarray:
+        places, counts = [], []
+        for x in (a, b):
+            distinct, place = np.unique(np.ascontiguousarray(x).reshape(len(x), -1), axis=0, return_inverse=True)
+            places.append(place.ravel())
+            counts.append([count(m.reshape(x.shape[1:])) for m in distinct])
+        pairs, back = np.unique(np.column_stack(places), axis=0, return_inverse=True)
+        return np.array([gap(counts[0][i], counts[1][j]) for i, j in pairs.tolist()])[back.ravel()]
+
+    return run
+
+
 def assignment(cost: np.ndarray) -> np.ndarray:
     """Column of each row in the cheapest assignment of a matrix with at most as many rows as columns,
     by shortest augmenting paths with potentials."""
@@ -164,5 +167,8 @@ def edit_assigned(a: np.ndarray, b: np.ndarray) -> float:
     return _edit_cost(a, b, {int(i): j for j, i in enumerate(assignment(cost.T))})
 
 
-for _name, _fn in (("HammingDistance", hamming), ("ShortestPathDistance", shortest_path), ("GraphletDistance", graphlet), ("WLDistance", refinement), ("WLDistance2", refinement_cosine), ("ApproximateGraphEditDistance", edit_greedy), ("GraphEditDistance", edit_assigned)):
-    D.register(D.Distance(_name, D.each(_fn), (), True, exact=True))
+D.register(D.Distance("HammingDistance", hamming, (), True, exact=True, uneven=True))
+for _name, _count, _gap in (("ShortestPathDistance", path_lengths, _histogram_gap), ("GraphletDistance", graphlets, _histogram_gap), ("WLDistance", refined, _histogram_gap), ("WLDistance2", refined_shares, _cosine_gap)):
+    D.register(D.Distance(_name, _by_counts(_count, _gap), (), True, exact=True, uneven=True))
+for _name, _fn in (("ApproximateGraphEditDistance", edit_greedy), ("GraphEditDistance", edit_assigned)):
+    D.register(D.Distance(_name, D.each(_fn), (), True, exact=True, uneven=True))

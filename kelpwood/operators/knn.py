@@ -1,8 +1,8 @@
 """Exact nearest rows of a stated query set, in blocks.
 
 Queries and rows are dealt into blocks and parts of bounded size; each (block, part) is compared in one
-group with numpy and hands on only each query's k nearest, so no pair is ever shuffled. The work is
-queries times rows: use it for stated query sets and as a yardstick for approximate search.
+group with numpy and hands on only each query's k nearest, so no pair is shuffled; every row is, once for
+each ``block_rows`` queries. The work is queries times rows: use it for stated query sets and as a yardstick for approximate search.
 """
 
 from __future__ import annotations
@@ -29,7 +29,6 @@ def _compare(names: tuple[str, ...], k: int):
     known = [D.get(n) for n in names]
 
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
         if len(queries) and len(rows):
             arrays = lambda s: [np.array([np.nan if v is None else v for v in x], float) for x in s]
             q, x = arrays(queries["series"]), arrays(rows["series"])
@@ -51,16 +50,21 @@ def _compare(names: tuple[str, ...], k: int):
                         d[r] += np.where(np.isnan(got), np.inf, got)
                 total[np.ix_(a, b)] = d
             total[qi[:, None] == xi[None]] = np.nan
-            for r in range(len(q)):
-                order = np.lexsort((xi, total[r]))
-                order = order[~np.isnan(total[r][order])][:k]
-                out += [(int(qi[r]), int(xi[j]), float(total[r][j])) for j in order]
-        return pd.DataFrame(out, columns=["idx", "neighbour", "distance"])
+            # of every query all rows up to the distance of its k-th, then these in order
+            kth = np.partition(np.where(np.isnan(total), np.inf, total), min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            r, j = np.nonzero(total <= kth[:, None])
+            order = np.lexsort((xi[j], total[r, j], r))
+            r, j = r[order], j[order]
+            first = np.searchsorted(r, np.arange(len(q)))
+            kept = np.arange(len(r)) - first[r] < k
+            r, j = r[kept], j[kept]
+            return pd.DataFrame({"idx": qi[r], "neighbour": xi[j], "distance": total[r, j]})
+        return pd.DataFrame({"idx": [], "neighbour": [], "distance": []})
 
     return run
 
 
-def exact_nearest(queries: DataFrame, rows: DataFrame, k: int = 5, distances: tuple[str, ...] = ("euclidean",), block_rows: int = 500, part_rows: int = 5_000) -> DataFrame:
+def exact_nearest(queries: DataFrame, rows: DataFrame, k: int = 5, distances: tuple[str, ...] = ("euclidean",), block_rows: int = 2_000, part_rows: int = 5_000) -> DataFrame:
     """(idx, neighbour, distance, place): per query the k nearest other rows by the sum of the masked
     distances, ties to the smaller idx. Series of other lengths are infinitely far."""
     own = lambda df: df.filter("idx is not null and series is not null").select(F.col("idx").cast("bigint").alias("idx"), F.col("series").alias("series"))

@@ -84,10 +84,15 @@ def test_assignment_is_cheapest(rows):
 def test_graphs():
     triangle = np.array([[0, 1, 1], [1, 0, 1], [1, 1, 0]], float)
     path = np.array([[0, 1, 0], [1, 0, 1], [0, 1, 0]], float)
-    assert G.hamming(triangle, path) == 2 and G.graphlet(triangle, path) == math.sqrt(2)
-    assert G.shortest_path(triangle, path) == math.sqrt(2**2 + 2**2) and G.refinement(path, path) == 0
-    assert G.edit_greedy(triangle, path) == 2 and G.edit_assigned(path, path) == 0 and 0 < G.refinement_cosine(triangle, path) <= 1
-    assert G.edit_assigned(triangle, path[:2, :2]) == 1
+    between = lambda name, a, b: D.evaluate(name, [a.tolist()], [b.tolist()])[0]
+    assert between("HammingDistance", triangle, path) == 2 and between("GraphletDistance", triangle, path) == math.sqrt(2)
+    assert between("ShortestPathDistance", triangle, path) == math.sqrt(2**2 + 2**2) and between("WLDistance", path, path) == 0
+    assert G.edit_greedy(triangle, path) == 2 and G.edit_assigned(path, path) == 0 and 0 < between("WLDistance2", triangle, path) <= 1
+    # graphs of different order
+    assert between("GraphEditDistance", triangle, path[:2, :2]) == 1 and np.isnan(between("HammingDistance", triangle, path[:2, :2]))
+    assert between("ShortestPathDistance", triangle, path[:2, :2]) == 4 and between("WLDistance", triangle, path[:2, :2]) > 0
+    many = D.evaluate("WLDistance", [triangle.tolist(), path.tolist(), triangle.tolist()], [path.tolist()] * 3)
+    assert many[0] == many[2] > 0 == many[1]
 
 
 def test_user_distances(tmp_path):
