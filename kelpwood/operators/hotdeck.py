@@ -473,3 +473,23 @@ def hot_deck(records: DataFrame, context: DataFrame, k: int = 5, window: int = 1
 def filled_cells(filled: DataFrame) -> DataFrame:
     """One row a filled cell: idx, field, channel, pos, value, label, donors."""
     return filled.select("idx", F.inline("filled"))
+
+
+def violations(filled: DataFrame, records: DataFrame, context: DataFrame) -> DataFrame:
+    """Per file what every filling must keep: records, filled entries and labels, and how many records have entries or
+    labels left missing or observed ones changed, how many cells have the record itself or one donor twice among
+    their donors, and how many donated entries lie outside what the file's channel observes (all 0)."""
+    before = observed_records(records, context).select("idx", F.col("series").alias("__series"), F.col("label").alias("__label"))
+    both = filled.join(before, "idx")
+    gaps = F.exists(F.coalesce("series", F.array().cast("array<array<double>>")), lambda c: F.exists(c, lambda x: x.isNull()))
+    left = F.coalesce(gaps, F.lit(False)) | F.col("label").isNull()
+    same = lambda a, b: F.coalesce(a.eqNullSafe(b), F.lit(False))
+    kept = F.transform("series", lambda c, i: F.transform(c, lambda x, j: F.when(F.get(F.get("__series", i), j).isNotNull(), x)))
+    changed = ~same(kept, F.col("__series")) | (F.col("__label").isNotNull() & ~same(F.col("label"), F.col("__label")))
+    of = lambda field: F.size(F.filter("filled", lambda r: r["field"] == field)).cast("bigint")
+    rows = both.select("file_id", of("series").alias("cells"), of("label").alias("labels"), left.cast("bigint").alias("left"), changed.cast("bigint").alias("changed"), F.size(F.filter("filled", lambda r: F.array_contains(r["donors"], F.col("idx")) | (F.size(F.array_distinct(r["donors"])) != F.size(r["donors"])))).cast("bigint").alias("own"))
+    total = rows.groupBy("file_id").agg(F.count("*").alias("n_records"), F.sum("cells").alias("n_entries"), F.sum("labels").alias("n_labels"), F.sum("left").alias("n_left"), F.sum("changed").alias("n_changed"), F.sum("own").alias("n_wrong_donors"))
+    ranges = before.join(filled.select("idx", "file_id"), "idx").select("file_id", F.posexplode("__series").alias("channel", "c")).groupBy("file_id", "channel").agg(F.min(F.array_min("c")).alias("low"), F.max(F.array_max("c")).alias("high"))
+    cells = filled.select("file_id", F.inline("filled")).filter("field = 'series' and size(donors) > 0").join(ranges, ["file_id", "channel"])
+    outside = cells.groupBy("file_id").agg(F.sum((~F.col("value").between(F.col("low"), F.col("high"))).cast("bigint")).alias("n_outside"))
+    return total.join(outside, "file_id", "left").withColumn("n_outside", F.coalesce("n_outside", F.lit(0).cast("bigint")))

@@ -233,6 +233,7 @@ select idx, exemplar_idx, round(coalesce(list_sum(list_transform(list_filter(ran
     "d_twe_i": _per_channel(_dp(_TWE, "x", "y"), "x0", "y0"),
     "d_cid_i": _per_channel(f"case when len(x) = len(y) then case when least({_CX}, {_CY}) > 0 then sqrt({_E2.format(a='x', b='y')}) * greatest({_CX}, {_CY}) / least({_CX}, {_CY}) when {_E2.format(a='x', b='y')} = 0 then 0 else 'inf'::double end end", "x0", "y0"),
     "d_sbd_i": _per_channel("case when len(x) = len(y) then 1 - list_max(list_transform(range(-(len(x)::bigint) + 1, len(x)::bigint), lambda s: coalesce(list_sum(list_transform(range(greatest(1, 1 - s), least(len(x)::bigint, len(x)::bigint - s) + 1), lambda k: x[k] * y[k + s])), 0))) end", _ZC.format(x="x0"), _ZC.format(x="y0")),
+    "d_shapehogdtw_d": f"with {_P2}, f as (select idx, len(a[1]) as la, len(b[1]) as lb, flatten(list_transform(a, lambda x: {_SECOND.format(x='x')})) as a, flatten(list_transform(b, lambda x: {_SECOND.format(x='x')})) as b from p), g as (select idx, floor(sqrt(la - 1))::int as na, floor(sqrt(lb - 1))::int as nb, {_STEPS.format(x='a')} as a, {_STEPS.format(x='b')} as b from f), q as (select idx, {_HOG.format(g='a', n='na')} as a, {_HOG.format(g='b', n='nb')} as b from g) select idx, round(case when len(a) = 0 or len(b) = 0 then 0 else sqrt({_dp(_dtw_cell(_SQUARE))}) end, 9) as d from q",
     "d_shapehog1ddtw_i": _per_channel(f"case when len(x) = 0 or len(y) = 0 then 0 else sqrt({_dp(_dtw_cell(_SQUARE), 'x', 'y')}) end", _HOG.format(g=_SECOND.format(x="x0"), n="floor(sqrt(len(x0) - 1))::int"), _HOG.format(g=_SECOND.format(x="y0"), n="floor(sqrt(len(y0) - 1))::int")),
     "d_euclidean_i": _per_channel(f"case when len(x) = len(y) then {_E2.format(a='x', b='y')} end", "x0", "y0").replace(", 9) as d", ", 3) as d"),
     "d_manhattan_i": _per_channel("case when len(x) = len(y) then list_sum(list_transform(range(1, len(x) + 1), lambda k: abs(x[k] - y[k]))) end", "x0", "y0"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpwood.operators import hotdeck, parse_failures
-from kelpwood.session import table
+from kelpwood.session import stored, table
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,12 @@ def p5_filled(spark: SparkSession, d: str) -> DataFrame:
     return _filled(spark, d).select("idx", "file_id", "label", "series", F.size("filled").alias("n_filled"), F.size(F.filter("filled", lambda x: F.size(x["donors"]) > 0)).alias("n_donated"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_loaded": p1_loaded, "p5_found": p5_found, "p5_filled": p5_filled}
+def p5_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What the filling of each file must keep."""
+    return hotdeck.violations(stored(_filled(spark, d)), table(spark, d, "series_multi"), table(spark, d, "app_context"))
+
+
+QUERIES = {"p5_invariants": p5_invariants, "p1_found": p1_found, "p1_report": p1_report, "p1_loaded": p1_loaded, "p5_found": p5_found, "p5_filled": p5_filled}
 
 _LINES = r"""
 num as (select '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?' as num),
@@ -97,6 +102,22 @@ r as (
 )
 """
 
+_CELLS = """
+with c as (
+  select file_id, list_transform(missing_strings, lambda x: upper(x)) as ms,
+    list_filter(list_transform(missing_strings, lambda x: try_cast(trim(x) as double)), lambda x: x is not null and not isnan(x)) as nums
+  from app_context
+),
+o as (
+  select r.*, ms, nums from (select * from series_multi qualify row_number() over (partition by idx order by arrived_at) = 1) r
+  left join c using (file_id)
+),
+ch as (select idx, nums, unnest(series) as v, unnest(range(len(series))) as channel, missing_indices from o),
+cell as (
+  select idx, channel, nums, missing_indices[channel + 1] as listed, unnest(v) as x, unnest(range(len(v))) as pos from ch
+)
+"""
+
 _LOADED = r"""
 , f as (
   select line_id, file_id, is_numeric, ch, ms, flatten(case when lab = 0 then en when target_column = 'first' then [en[1][2:]] else [en[1][:-2]] end) as entries,
@@ -115,21 +136,13 @@ select line_id, file_id, case when lb like '"%' then trim(replace(lb[2:-2], '""'
 from h""",
     "p1_found": f"with {_LINES} select line_id, reason from r where reason is not null",
     "p1_report": f"with {_LINES} select file_id, coalesce(reason, 'loaded') as outcome, count(*) as n_lines from r group by all",
-    "p5_found": """
-with c as (
-  select file_id, list_transform(missing_strings, lambda x: upper(x)) as ms,
-    list_filter(list_transform(missing_strings, lambda x: try_cast(trim(x) as double)), lambda x: x is not null and not isnan(x)) as nums
-  from app_context
-),
-o as (
-  select r.*, ms, nums from (select * from series_multi qualify row_number() over (partition by idx order by arrived_at) = 1) r
-  left join c using (file_id)
-),
-ch as (select idx, nums, unnest(series) as v, unnest(range(len(series))) as channel, missing_indices from o),
-cell as (
-  select idx, channel, nums, missing_indices[channel + 1] as listed, unnest(v) as x, unnest(range(len(v))) as pos from ch
-)
-select idx, 'series' as field, channel::int as channel, pos::int as pos from cell
+    "p5_invariants": f"""{_CELLS.rstrip()},
+k as (select idx, count(*) as cells from cell where x is null or isnan(x) or coalesce(list_contains(nums, x), false) or coalesce(list_contains(listed, pos::int), false) group by idx)
+select file_id, count(*) as n_records, coalesce(sum(cells), 0)::bigint as n_entries, sum((label is null or coalesce(list_contains(ms, upper(trim(label, ' ' || chr(9) || chr(10) || chr(13)))), false))::int)::bigint as n_labels,
+  0::bigint as n_left, 0::bigint as n_changed, 0::bigint as n_wrong_donors, 0::bigint as n_outside
+from o left join k using (idx) group by file_id""",
+    "p5_found": f"""
+{_CELLS}select idx, 'series' as field, channel::int as channel, pos::int as pos from cell
 where x is null or isnan(x) or coalesce(list_contains(nums, x), false) or coalesce(list_contains(listed, pos::int), false)
 union all
 select idx, 'label', -1, -1 from o
