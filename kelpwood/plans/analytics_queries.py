@@ -490,6 +490,11 @@ select user_id, round({value}, 6) as d from t group by user_id"""
 
 
 _GRAPH_QUERIES = {
+    "edit_greedy": f"""with {_G}, z as (select user_id, g, h, list_transform(g, lambda r: list_sum(r)) as gs, list_transform(h, lambda r: list_sum(r)) as hs from g, f),
+t as (select *, list_reduce(list_transform(range(5), lambda k: [k::int]), lambda acc, x: list_append(acc, list_sort(list_transform(list_filter(range(5), lambda j: not list_contains(acc, j::int)), lambda j: {{'c': abs(gs[len(acc) + 1] - hs[j + 1]), 'j': j::int}}))[1].j), []::int[]) as m from z)
+select user_id, round(list_sum(list_transform(range(25), lambda k: case when k // 5 = k % 5 then 0
+  when g[k // 5 + 1][k % 5 + 1] <> 0 and h[m[k // 5 + 1] + 1][m[k % 5 + 1] + 1] <> 0 then abs(g[k // 5 + 1][k % 5 + 1] - h[m[k // 5 + 1] + 1][m[k % 5 + 1] + 1])
+  when (g[k // 5 + 1][k % 5 + 1] <> 0) <> (h[m[k // 5 + 1] + 1][m[k % 5 + 1] + 1] <> 0) then 1 else 0 end)), 6) as d from t""",
     "shortest_path": _gap_sql(_lengths_sql, "sqrt(sum(pow(a - b, 2)))"),
     "refinement": _gap_sql(_refined_sql, "sqrt(sum(pow(a - b, 2)))"),
     "refinement_cosine": _gap_sql(lambda m: f"list_concat(['0', '0', '0', '0', '0'], {_refined_sql(m)})", "1 - sum(a * b) / sqrt(sum(a * a)) / sqrt(sum(b * b))"),
