@@ -16,7 +16,7 @@ from kelpwood.operators import forest as FO
 from kelpwood.operators import hotdeck, impute, knn, proximity
 from kelpwood.operators import purity as P
 from kelpwood.plans.problems import _LINES
-from kelpwood.plans.distance_queries import records_2d, valid
+from kelpwood.plans.distance_queries import paths_sql, records_2d, valid
 from kelpwood.session import at_most, broadcast_if_small, checkpointed, folder, table
 from kelpwood.sources import delimited
 from kelpwood.streaming import scoring
@@ -398,7 +398,15 @@ def i_proximity_update(spark, d):
     return impute.proximity_update(impute.IMPUTERS["mean"](rows), rows, _prox(spark, d)).select("idx", _R9(F.col("series")).alias("y"))
 
 
-@query()
+@query(f"""
+with {_N}, {_PROX}, fl as materialized (select idx, x, list_transform(x, lambda t: coalesce(t, list_avg({_OBS}), 0)) as y from n),
+pr as materialized (select i as idx, j as exemplar_idx, prox, a.y as a, b.y as b from p join fl a on a.idx = i join fl b on b.idx = j where len(list_filter(a.x, lambda t: t is null)) > 0),
+{paths_sql("pr")},
+st as (select idx, exemplar_idx, unnest(path) as s from w),
+u as (select st.idx, s[1] as pos, sum(prox * b.x[s[2]]) / sum(prox) as u from st join pr using (idx, exemplar_idx) join fl a on a.idx = st.idx join fl b on b.idx = st.exemplar_idx where a.x[s[1]] is null and b.x[s[2]] is not null group by all),
+c as (select idx, unnest(x) as t, unnest(y) as y, unnest(range(1, len(x) + 1)) as pos from fl)
+select idx, list(round(coalesce(t, u, y), 9) order by pos) as y from c left join u using (idx, pos) group by idx
+""")
 def i_aligned_update(spark, d):
     """The same with values taken where the DTW path passes."""
     rows = _whole(spark, d)

@@ -171,6 +171,32 @@ _E2 = "list_sum(list_transform(range(1, len({a}) + 1), lambda k: pow({a}[k] - {b
 _COS = "(list_sum(list_transform(range(1, len(a) + 1), lambda k: a[k] * b[k])) / (sqrt(list_sum(list_transform(a, lambda v: v * v))) * sqrt(list_sum(list_transform(b, lambda v: v * v)))))"
 
 
+def paths_sql(source: str) -> str:
+    """CTEs m (whole tables of a DTW) and w (idx, exemplar_idx, path from its end, places from 1) of source(idx,
+    exemplar_idx, a, b)."""
+    return f"""m as materialized (
+  select idx, exemplar_idx, len(a) as la, len(b) as lb, list_reduce(
+    list_transform(range(len(a)), lambda k: [[k::double]]),
+    lambda acc, z: list_append(acc, list_reduce(
+      list_transform(range(len(b)), lambda k: [k::double]),
+      lambda row, y: list_append(row, (a[len(acc) + 1] - b[len(row) + 1]) * (a[len(acc) + 1] - b[len(row) + 1]) + case when len(acc) = 0 and len(row) = 0 then 0
+        else least(coalesce(acc[len(acc)][len(row) + 1], {_INF}), coalesce(row[len(row)], {_INF}), case when len(row) > 0 then coalesce(acc[len(acc)][len(row)], {_INF}) else {_INF} end) end),
+      []::double[])),
+    []::double[][]) as d from {source}
+),
+w as (
+  select idx, exemplar_idx, list_reduce(
+    list_transform(range(la + lb - 2), lambda k: [[k::int, k::int]]),
+    lambda path, z: case when path[len(path)][1] = 1 and path[len(path)][2] = 1 then path
+      when path[len(path)][2] = 1 then list_append(path, [path[len(path)][1] - 1, 1])
+      when path[len(path)][1] = 1 then list_append(path, [1, path[len(path)][2] - 1])
+      when d[path[len(path)][1] - 1][path[len(path)][2] - 1] <= least(d[path[len(path)][1] - 1][path[len(path)][2]], d[path[len(path)][1]][path[len(path)][2] - 1]) then list_append(path, [path[len(path)][1] - 1, path[len(path)][2] - 1])
+      when d[path[len(path)][1] - 1][path[len(path)][2]] <= d[path[len(path)][1]][path[len(path)][2] - 1] then list_append(path, [path[len(path)][1] - 1, path[len(path)][2]])
+      else list_append(path, [path[len(path)][1], path[len(path)][2] - 1]) end,
+    [[la::int, lb::int]]) as path from m
+)"""
+
+
 def _per_channel(expression: str, a: str = "x", b: str = "y") -> str:
     """Mean over the channels of a one-dimensional distance of the lists a and b."""
     return f"with {_P2}, c as (select idx, unnest(a) as x0, unnest(b) as y0 from p), q as (select idx, {a} as x, {b} as y from c) select idx, round(avg({expression}), 9) as d from q group by idx"
@@ -233,28 +259,7 @@ select idx, exemplar_idx, round(coalesce(list_sum(list_transform(list_filter(ran
     "d_twe_i": _per_channel(_dp(_TWE, "x", "y"), "x0", "y0"),
     "d_cid_i": _per_channel(f"case when len(x) = len(y) then case when least({_CX}, {_CY}) > 0 then sqrt({_E2.format(a='x', b='y')}) * greatest({_CX}, {_CY}) / least({_CX}, {_CY}) when {_E2.format(a='x', b='y')} = 0 then 0 else 'inf'::double end end", "x0", "y0"),
     "d_sbd_i": _per_channel("case when len(x) = len(y) then 1 - list_max(list_transform(range(-(len(x)::bigint) + 1, len(x)::bigint), lambda s: coalesce(list_sum(list_transform(range(greatest(1, 1 - s), least(len(x)::bigint, len(x)::bigint - s) + 1), lambda k: x[k] * y[k + s])), 0))) end", _ZC.format(x="x0"), _ZC.format(x="y0")),
-    "d_alignment_path": f"""with {_P1},
-m as materialized (
-  select idx, exemplar_idx, len(a) as la, len(b) as lb, list_reduce(
-    list_transform(range(len(a)), lambda k: [[k::double]]),
-    lambda acc, z: list_append(acc, list_reduce(
-      list_transform(range(len(b)), lambda k: [k::double]),
-      lambda row, y: list_append(row, (a[len(acc) + 1] - b[len(row) + 1]) * (a[len(acc) + 1] - b[len(row) + 1]) + case when len(acc) = 0 and len(row) = 0 then 0
-        else least(coalesce(acc[len(acc)][len(row) + 1], {_INF}), coalesce(row[len(row)], {_INF}), case when len(row) > 0 then coalesce(acc[len(acc)][len(row)], {_INF}) else {_INF} end) end),
-      []::double[])),
-    []::double[][]) as d from p
-),
-w as (
-  select idx, exemplar_idx, list_reduce(
-    list_transform(range(la + lb - 2), lambda k: [[k::int, k::int]]),
-    lambda path, z: case when path[len(path)][1] = 1 and path[len(path)][2] = 1 then path
-      when path[len(path)][2] = 1 then list_append(path, [path[len(path)][1] - 1, 1])
-      when path[len(path)][1] = 1 then list_append(path, [1, path[len(path)][2] - 1])
-      when d[path[len(path)][1] - 1][path[len(path)][2] - 1] <= least(d[path[len(path)][1] - 1][path[len(path)][2]], d[path[len(path)][1]][path[len(path)][2] - 1]) then list_append(path, [path[len(path)][1] - 1, path[len(path)][2] - 1])
-      when d[path[len(path)][1] - 1][path[len(path)][2]] <= d[path[len(path)][1]][path[len(path)][2] - 1] then list_append(path, [path[len(path)][1] - 1, path[len(path)][2]])
-      else list_append(path, [path[len(path)][1], path[len(path)][2] - 1]) end,
-    [[la::int, lb::int]]) as path from m
-)
+    "d_alignment_path": f"""with {_P1}, {paths_sql("p")}
 select idx, exemplar_idx, list_transform(list_reverse(path), lambda x: (x[1] - 1)::varchar || ' ' || (x[2] - 1)::varchar) as path from w""",
     "d_shapehogdtw_d": f"with {_P2}, f as (select idx, len(a[1]) as la, len(b[1]) as lb, flatten(list_transform(a, lambda x: {_SECOND.format(x='x')})) as a, flatten(list_transform(b, lambda x: {_SECOND.format(x='x')})) as b from p), g as (select idx, floor(sqrt(la - 1))::int as na, floor(sqrt(lb - 1))::int as nb, {_STEPS.format(x='a')} as a, {_STEPS.format(x='b')} as b from f), q as (select idx, {_HOG.format(g='a', n='na')} as a, {_HOG.format(g='b', n='nb')} as b from g) select idx, round(case when len(a) = 0 or len(b) = 0 then 0 else sqrt({_dp(_dtw_cell(_SQUARE))}) end, 9) as d from q",
     "d_shapehog1ddtw_i": _per_channel(f"case when len(x) = 0 or len(y) = 0 then 0 else sqrt({_dp(_dtw_cell(_SQUARE), 'x', 'y')}) end", _HOG.format(g=_SECOND.format(x="x0"), n="floor(sqrt(len(x0) - 1))::int"), _HOG.format(g=_SECOND.format(x="y0"), n="floor(sqrt(len(y0) - 1))::int")),
