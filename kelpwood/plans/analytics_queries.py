@@ -45,6 +45,12 @@ def _whole(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "series_1d").filter("series is not null and size(series) = 32").select("idx", "file_id", "label", impute.with_nulls(F.col("series")).alias("series"))
 
 
+def _gappy(spark: SparkSession, d: str) -> DataFrame:
+    """All series with entries, of any length, NaN as null."""
+    return table(spark, d, "series_1d").filter("size(series) > 0").select("idx", "file_id", "label", impute.with_nulls(F.col("series")).alias("series"))
+
+
+_E = "n as (select idx, file_id, label, list_transform(series, lambda v: case when not isnan(v) then v end) as x from series_1d where len(series) > 0)"
 _V = "v as (select idx, file_id, label, series as x from series_1d where len(series) > 0 and len(list_filter(series, lambda v: v is null or isnan(v))) = 0)"
 _N = "n as (select idx, file_id, label, list_transform(series, lambda v: case when not isnan(v) then v end) as x from series_1d where len(series) = 32)"
 _SQL_STEPS = "list_transform(range(1, len(x)), lambda k: x[k + 1] - x[k])"
@@ -324,10 +330,10 @@ _OBS = "list_filter(x, lambda t: t is not null)"
 
 def _imputed(name: str, value: str) -> None:
     def run(spark, d):
-        return impute.IMPUTERS[name](_whole(spark, d)).select("idx", _R9(F.col("series")).alias("y"))
+        return impute.IMPUTERS[name](_gappy(spark, d)).select("idx", _R9(F.col("series")).alias("y"))
 
     run.__name__ = f"i_{name}"
-    query(f"with {_N} select idx, list_transform(x, lambda t: round(coalesce(t, {value}), 9)) as y from n")(run)
+    query(f"with {_E} select idx, list_transform(x, lambda t: round(coalesce(t, {value}), 9)) as y from n")(run)
 
 
 _imputed("mean", f"list_avg({_OBS}), 0")
@@ -347,14 +353,14 @@ _by_position("global_median", "median(t)")
 _by_position("global_mode", "arg_min(t, (-k, t))")
 
 
-@query(f"with {_N}, c as (select idx, unnest(x) as t, unnest(range(len(x))) as pos from n), m as (select idx, t, count(*) as k from c where t is not null group by all), g as (select idx, arg_min(t, (-k, t)) as g from m group by idx) select idx, list(round(coalesce(t, g), 9) order by pos) as y from c left join g using (idx) group by idx")
+@query(f"with {_E}, c as (select idx, unnest(x) as t, unnest(range(len(x))) as pos from n), m as (select idx, t, count(*) as k from c where t is not null group by all), g as (select idx, arg_min(t, (-k, t)) as g from m group by idx) select idx, list(round(coalesce(t, g), 9) order by pos) as y from c left join g using (idx) group by idx")
 def i_mode(spark, d):
     """Missing entries become the series' most frequent value."""
-    return impute.IMPUTERS["mode"](_whole(spark, d)).select("idx", _R9(F.col("series")).alias("y"))
+    return impute.IMPUTERS["mode"](_gappy(spark, d)).select("idx", _R9(F.col("series")).alias("y"))
 
 
 @query(f"""
-with {_N}, c as (select idx, unnest(x) as t, unnest(range(len(x))) as pos from n),
+with {_E}, c as (select idx, unnest(x) as t, unnest(range(len(x))) as pos from n),
 w as (
   select *, last_value(t ignore nulls) over b as a, last_value(case when t is not null then pos end ignore nulls) over b as pa,
     first_value(t ignore nulls) over f as z, first_value(case when t is not null then pos end ignore nulls) over f as pz
@@ -364,7 +370,7 @@ select idx, list(round(coalesce(t, case when pa is null then z when pz is null t
 """)
 def i_linear(spark, d):
     """Missing entries lie straight between their neighbours."""
-    return impute.IMPUTERS["linear"](_whole(spark, d)).select("idx", _R9(F.col("series")).alias("y"))
+    return impute.IMPUTERS["linear"](_gappy(spark, d)).select("idx", _R9(F.col("series")).alias("y"))
 
 
 @query(f"""
