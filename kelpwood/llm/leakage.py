@@ -207,6 +207,8 @@ class Index:
         At most half of a run, of its unsure words, may be lost."""
         if not len(codes):
             return np.inf
+        if need * (len(codes) - need + 1) > 4_000_000:
+            return Index._least_of_long(codes, weight, unsure, need)
         _, code = np.unique(codes, return_inverse=True)
         before = np.full(len(code), -1)
         last: dict[int, int] = {}
@@ -221,6 +223,24 @@ class Index:
             total = total - gone.sum(1)
         return float(total.min()) * (1 - 1e-9)
 
+    @staticmethod
+    def _least_of_long(codes: np.ndarray, weight: np.ndarray, unsure: np.ndarray, need: int) -> float:
+        """A bound below the least score, word by word: all unsure words of a run are taken for lost."""
+        least, total, held = np.inf, 0.0, {}
+        for k, (c, w, lost) in enumerate(zip(codes.tolist(), weight.tolist(), unsure.tolist(), strict=True)):
+            held[c] = held.get(c, 0) + 1
+            if held[c] == 1 and not lost:
+                total += w
+            if k >= need:
+                old = k - need
+                c = int(codes[old])
+                held[c] -= 1
+                if held[c] == 0 and not unsure[old]:
+                    total -= float(weight[old])
+            if k >= need - 1:
+                least = min(least, total)
+        return max(0.0, least - 1e-6)
+
     def passage(self, k: int) -> tuple[list[str], list[str], list[str]]:
         a, n = int(self.at[k]), int(self.at[k + 1] - self.at[k])
         return tuple(x.slice(a, n).to_pylist() for x in (self.plain, self.coarse, self.rest))

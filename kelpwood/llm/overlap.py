@@ -49,7 +49,7 @@ def window_lengths(n: int) -> list[int]:
     return out
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=32)
 def _directions(size: int, bits: int, seed: int = 11) -> np.ndarray:
     return np.random.default_rng([seed, size, bits]).normal(size=(size, bits))
 

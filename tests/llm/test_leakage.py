@@ -132,3 +132,12 @@ def test_thresholds_hold():
         coarse = index.passage(k)[1]
         for a in range(5):
             assert sum(weight[w, k] for w in {number[x] for x in coarse[a : a + 5]}) >= index.threshold[k]
+
+
+def test_very_long_items(spark):
+    generator = np.random.default_rng(2)
+    words = [f"w{k}" for k in generator.integers(0, 5000, 60_000)]
+    passage = " ".join(words)
+    whole, half, less = " ".join(words), " ".join(words[20_000:50_001]), " ".join(words[20_000:49_900])
+    got = found(spark, [(1, whole), (2, half), (3, less)], [item(1, passage), item(2, "one two three four five six")])
+    assert {k: r["run_words"] for k, r in got.items()} == {(1, 1): 60_000, (2, 1): 30_001}
