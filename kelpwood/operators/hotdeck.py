@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from kelpwood.functions.arrays import Channels
 from kelpwood.functions.hilbert import hilbert
-from kelpwood.session import checkpointed, parallelism
+from kelpwood.session import checkpointed, parallelism, stored
 
 POINTS = 12  # resampled points a channel in the feature vector
 STRIDE = 1 << 32  # cell number = channel * STRIDE + pos, more than a series can have entries
@@ -236,24 +236,35 @@ def closest(t: _Rows, asks: np.ndarray, other: np.ndarray, fit: np.ndarray, k: i
     """(idx, cell, donor, at, distance) of the k closest donors of every missing cell of the rows ``asks`` among the rows
     ``other`` (n, m) where they ``fit``; at is the donor's own cell, at the same place of a series of another length."""
     d = np.where(fit, distances(t, asks, other), np.inf)
-    order = np.lexsort((t.idx[other], d), axis=1)
-    other, d = np.take_along_axis(other, order, 1), np.take_along_axis(d, order, 1)
+    few = min(4 * k, d.shape[1])
+    wide = int((d <= np.partition(d, few - 1, axis=1)[:, few - 1 : few]).sum(1).max()) if 0 < few < d.shape[1] else d.shape[1]  # ties of the last included
+    first = lambda n: np.argpartition(d, n - 1, axis=1)[:, :n] if n < d.shape[1] else np.broadcast_to(np.arange(d.shape[1]), d.shape)
+
+    def sorted_by_distance(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near, far = np.take_along_axis(other, which, 1), np.take_along_axis(d, which, 1)
+        order = np.lexsort((t.idx[near], far), axis=1)
+        return np.take_along_axis(near, order, 1), np.take_along_axis(far, order, 1)
+
+    near, far_off = sorted_by_distance(first(wide))
     counts = t.cell_start[asks + 1] - t.cell_start[asks]
     of = np.repeat(np.arange(len(asks)), counts)
     cell = t.cell[np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + t.cell_start[asks][of]]
     out = []
-    todo, few = np.arange(len(of)), min(4 * k, other.shape[1])
+    todo = np.arange(len(of))
     while len(todo) and few:
-        donor, far, c = other[of[todo], :few], d[of[todo], :few], np.maximum(cell[todo] // STRIDE, 0)[:, None]
+        donor, far, c = near[of[todo], :few], far_off[of[todo], :few], np.maximum(cell[todo] // STRIDE, 0)[:, None]
         n, m = t.sizes[donor, c], t.sizes[asks[of[todo]][:, None], c]
         p = (cell[todo] % STRIDE)[:, None]
         at = np.where(n == m, p, np.minimum(n - 1, np.rint(p * (n - 1) / np.maximum(1, m - 1)).astype(np.int64))) + c * STRIDE
         seen = np.where(cell[todo][:, None] == LABEL, t.named[donor], (n > 0) & ~t.lacks(donor, at)) & np.isfinite(far)
-        first = seen & (np.cumsum(seen, 1) <= k)
-        whole = (first.sum(1) >= k) | (few == other.shape[1])
-        q, j = np.nonzero(first & whole[:, None])
+        chosen = seen & (np.cumsum(seen, 1) <= k)
+        whole = (chosen.sum(1) >= k) | (few == d.shape[1])
+        q, j = np.nonzero(chosen & whole[:, None])
         out.append([t.idx[asks[of[todo[q]]]], cell[todo[q]], t.idx[donor[q, j]], np.where(cell[todo[q]] == LABEL, LABEL, at[q, j]), far[q, j]])
-        todo, few = todo[~whole], other.shape[1]
+        todo = todo[~whole]
+        if len(todo):  # beyond the closest few
+            few = d.shape[1]
+            near, far_off = sorted_by_distance(first(few))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
 
 
@@ -435,7 +446,7 @@ def hot_deck(records: DataFrame, context: DataFrame, k: int = 5, window: int = 1
     grp = F.concat_ws("|", F.coalesce(F.col("file_id").cast("string"), F.lit("?")), F.coalesce(F.size("series"), F.lit(-1)).cast("string"))
     ready = observed_records(records, context).withColumn("norm", F.upper("label")).withColumn("cells", missing_cells(F.col("series"))).withColumn("wants_label", F.col("label").isNull()).withColumn("grp", grp)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ready.schema.fields)
-    base = checkpointed(ready.mapInArrow(_shaped, f"{kinds}, sizes array<int>, features array<float>"))
+    base = stored(ready.mapInArrow(_shaped, f"{kinds}, sizes array<int>, features array<float>"))
     asked = F.when(F.col("wants_label"), F.concat("cells", F.array(F.lit(LABEL).cast("bigint")))).otherwise(F.col("cells"))
     compact = base.select("grp", "idx", (F.size(asked) > 0).alias("asks"), asked.alias("cells"), F.when(F.col("norm").isNotNull(), F.xxhash64("norm")).alias("norm"), F.col("subject_id").alias("subject"), (F.unix_micros(F.col("recorded_at").cast("timestamp")) / 86.4e9).alias("day"), "sizes", "features")
     found = nearest_donors(compact, k, window, parts)
