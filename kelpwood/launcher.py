@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpwood.functions import distances as D
+from kelpwood.functions import mixed
 from kelpwood.operators import forest as FO
 from kelpwood.operators import impute, proximity
 from kelpwood.operators import purity as P
+from kelpwood.session import checkpointed
 from kelpwood.sources import delimited as S
 
 MISSING = ("", "NA", "NaN", "null", "nan", "NAN")
@@ -45,6 +47,18 @@ def _predictions(model: FO.ForestModel, rows: DataFrame) -> tuple[DataFrame, dic
     return predicted, P.accuracy(predicted).first().asDict()
 
 
+def _filled(train: DataFrame, other: DataFrame) -> DataFrame:
+    """Training and other mixed rows (``own`` or not) with missing entries as modes."""
+    both = train.select("idx", "label", "series", F.lit(True).alias("own")).unionByName(other.select("idx", "label", "series", F.lit(False).alias("own")))
+    # the two files number their rows alike
+    return impute.mixed_mode(both.withColumn("idx", F.when(F.col("own"), -1 - F.col("idx")).otherwise(F.col("idx"))))
+
+
+def _scaled(train: DataFrame, other: DataFrame) -> DataFrame:
+    """Other mixed rows, encoded in the deviations of training and other rows together."""
+    return mixed.encoded(_filled(train, other)).filter("not own").drop("own")
+
+
 def train(
     spark: SparkSession, train_file: str, test_file: str | None = None, train_labels: str | None = None, test_labels: str | None = None, exists_testlabels: bool = False,
     return_predictions: bool = False, return_proximities: bool = False, save_model: bool = True, model_name: str = "PF", output_directory: str = "", repeats: int = 1,
@@ -60,15 +74,17 @@ def train(
     read = lambda path, labels, gaps: _read(spark, path, labels, data_dimension, numeric_data, entry_separator, array_separator, file_has_header, target_column, tuple(missing_indicators), gaps)
     rows = read(train_file, train_labels, impute_training_data)
     other = read(test_file, test_labels, impute_testing_data or impute_training_data) if test_file else None
-    pool = tuple(distances or (D.DEFAULT_POOL if data_dimension == 1 else ("dtw_i", "dtw_d")))
+    if not numeric_data and data_dimension == 2:
+        raise ValueError("mixed entries are read in two dimensions, but there is no distance of them")
+    pool = tuple(distances or ("mixed",) if not numeric_data else distances or (D.DEFAULT_POOL if data_dimension == 1 else ("dtw_i", "dtw_d")))
     cfg = FO.ForestConfig("regression" if regressor else "classification", num_trees, r, pool, "node" if on_tree else "tree", purity, purity_threshold, max_depth, regressor_aggregation, seed, initial_imputer, impute_iterations, "dtw" if DTWImpute else "position", tuple(knn_distances or ("euclidean",)), tuple(missing_indicators), repeats)
     out: dict = {}
     for n in range(repeats):
         own, base = replace(cfg, seed=seed + n), output_directory + (f"/repeat={n}" if repeats > 1 else "")
         if impute_training_data:
-            model, filled, filled_other = impute.forest_impute(rows, own, other)
+            model, filled, filled_other = (impute.forest_impute if numeric_data else impute.forest_impute_mixed)(rows, own, other)
         else:
-            model, filled, filled_other = FO.fit(rows, own), rows, other
+            model, filled, filled_other = FO.fit(rows if numeric_data else mixed.encoded(rows), own), rows, other
         out = {"model": model, "config": own}
         if save_model:
             model.save(f"{base}/{model_name}")
@@ -76,7 +92,8 @@ def train(
         if return_imputed_training:
             S.write_series(filled.select("idx", "series"), f"{base}/imputed_training", data_dimension == 2, entry_separator, array_separator)
         if filled_other is not None:
-            predicted, out["metrics"] = _predictions(model, filled_other)
+            ready = filled_other if numeric_data else _scaled(filled, filled_other)
+            predicted, out["metrics"] = _predictions(model, ready)
             out["predictions"] = predicted
             if return_predictions:
                 S.write_table(predicted, f"{base}/predictions")
@@ -87,7 +104,7 @@ def train(
             if return_proximities:
                 S.write_table(prox, f"{base}/training_proximities")
                 if filled_other is not None:
-                    out["test_proximities"] = proximity.test_proximities(model, filled_other)
+                    out["test_proximities"] = proximity.test_proximities(model, ready)
                     S.write_table(out["test_proximities"], f"{base}/test_proximities")
             if return_training_outlier_scores:
                 out["outlier_scores"] = proximity.outlier_scores(prox, model.train)
@@ -108,7 +125,13 @@ def predict(
     model = FO.ForestModel.load(spark, path)
     rows = _read(spark, testfile, test_labels, data_dimension, numeric_data, entry_separator, array_separator, file_has_header, target_column, tuple(missing_indicators), impute_testing_data)
     filled = rows
-    if impute_testing_data:
+    if not numeric_data:
+        original = spark.read.parquet(f"{path}/original")
+        shown = _filled(original, rows).filter("not own").drop("own")
+        for _ in range(impute_iterations if impute_testing_data else 0):
+            shown = checkpointed(impute.mixed_update(shown, rows, proximity.test_proximities(model, _scaled(original, shown)), original))
+        filled = _scaled(original, shown)
+    elif impute_testing_data:
         cfg = replace(model.config, initial_imputer=initial_imputer, alignment="dtw" if DTWImpute else "position", knn_distances=tuple(knn_distances or ("euclidean",)))
         filled, original = impute.IMPUTERS[initial_imputer](rows), spark.read.parquet(f"{path}/original")
         for _ in range(impute_iterations):
@@ -118,7 +141,7 @@ def predict(
     if return_predictions:
         S.write_table(out["predictions"], f"{output_directory}/predictions_saved")
     if return_imputed_testing:
-        S.write_series(filled.select("idx", "series"), f"{output_directory}/imputed_testing", data_dimension == 2, entry_separator, array_separator)
+        S.write_series((filled if numeric_data else shown).select("idx", "series"), f"{output_directory}/imputed_testing", data_dimension == 2, entry_separator, array_separator)
     if return_proximities:
         out["test_proximities"] = proximity.test_proximities(model, filled)
         S.write_table(out["test_proximities"], f"{output_directory}/test_proximities")

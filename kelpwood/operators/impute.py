@@ -258,22 +258,26 @@ def mixed_update(filled: DataFrame, original: DataFrame, prox: DataFrame, donors
 
 def forest_impute_mixed(train: DataFrame, config: FO.ForestConfig, test: DataFrame | None = None) -> tuple[FO.ForestModel, DataFrame, DataFrame | None]:
     """As forest_impute for mixed entries: modes of the positions first, then proximity-weighted modes, from forests on
-    the ``mixed`` distance: (model, train, test). A position that no row observes becomes an empty text."""
+    the ``mixed`` distance: (model, train, test). idx counts from 0. A position that no row observes becomes an empty text."""
     from dataclasses import replace
 
     from kelpwood.functions.mixed import encoded
 
     cfg = replace(config, distances=("mixed",))
     nothing = F.struct(F.lit(None).cast("double").alias("num"), F.lit(None).cast("boolean").alias("bool"), F.lit("").alias("str"))
-    both = train if test is None else train.unionByName(test.select(*train.columns))
+    # the two may number their rows alike: test rows count from -1 down meanwhile
+    turned = lambda rows: rows.withColumn("idx", -1 - F.col("idx"))
+    test = None if test is None else turned(test.select(*train.columns))
+    both = train if test is None else train.unionByName(test)
     started = checkpointed(mixed_mode(both).withColumn("series", F.transform("series", lambda e: F.coalesce(e, nothing))))
-    filled, other = started.join(train.select("idx"), "idx", "left_semi"), None if test is None else started.join(test.select("idx"), "idx", "left_semi")
+    filled, other = started.filter("idx >= 0"), None if test is None else started.filter("idx < 0")
     for _ in range(config.impute_iterations):
         # one scale for both: test rows are encoded together with the training rows
         scaled = checkpointed(encoded(filled if other is None else filled.unionByName(other)))
-        model = FO.fit(scaled.join(train.select("idx"), "idx", "left_semi"), cfg)
+        model = FO.fit(scaled.filter("idx >= 0"), cfg)
         new = checkpointed(mixed_update(filled, train, proximity.train_proximities(model)))
         if other is not None:
-            other = checkpointed(mixed_update(other, test, proximity.test_proximities(model, scaled.join(test.select("idx"), "idx", "left_semi")), train))
+            other = checkpointed(mixed_update(other, test, proximity.test_proximities(model, scaled.filter("idx < 0")), train))
         filled = new
-    return FO.fit(encoded(filled), cfg), filled, other
+    scaled = encoded(filled if other is None else filled.unionByName(other))
+    return FO.fit(scaled.filter("idx >= 0"), cfg), filled, None if other is None else turned(other)

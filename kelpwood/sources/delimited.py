@@ -84,15 +84,18 @@ def read_delimited(spark: SparkSession, path: str, layout: Layout | None = None,
     return instances, parsed.filter("reason is not null").select("idx", F.col("text").alias("raw_line"), "reason")
 
 
-def series_text(series: Column, two: bool, entry: str = ",", array: str = ":") -> Column:
-    """A series as a line of text; two-dimensional ones end every channel with the array separator."""
-    words = lambda c: F.array_join(F.transform(c, lambda v: F.coalesce(v.cast("string"), F.lit(""))), entry)
+def series_text(series: Column, two: bool, entry: str = ",", array: str = ":", mixed: bool = False) -> Column:
+    """A series as a line of text; two-dimensional ones end every channel with the array separator. ``mixed``: the
+    entries are tagged."""
+    shown = lambda v: F.coalesce(v["num"].cast("string"), v["bool"].cast("string"), v["str"]) if mixed else v.cast("string")
+    words = lambda c: F.array_join(F.transform(c, lambda v: F.coalesce(shown(v), F.lit(""))), entry)
     return F.array_join(F.transform(series, lambda c: F.concat(words(c), F.lit(array))), "") if two else words(series)
 
 
 def write_series(rows: DataFrame, path: str, two: bool, entry: str = ",", array: str = ":") -> None:
     """(idx, series) as text, one line an instance in order of idx."""
-    rows.repartitionByRange("idx").sortWithinPartitions("idx").select(series_text(F.col("series"), two, entry, array).alias("value")).write.mode("overwrite").text(path)
+    mixed = "struct" in rows.schema["series"].dataType.simpleString()
+    rows.repartitionByRange("idx").sortWithinPartitions("idx").select(series_text(F.col("series"), two, entry, array, mixed).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_table(rows: DataFrame, path: str, kind: str = "parquet") -> None:

@@ -25,3 +25,16 @@ def test_two_dimensions(spark, tmp_path):
     got = launcher.train(spark, str(tmp_path / "d.txt"), train_labels=str(tmp_path / "l.txt"), data_dimension=2, output_directory=str(tmp_path / "o"), num_trees=2, r=1, distances=["dtw_i"], impute_training_data=True, impute_iterations=1, DTWImpute=True)
     series = {r["idx"]: r["series"] for r in got["model"].train.collect()}
     assert series[0][0] == [5.2, 5.1, 5.3, 5.0, 5.2] and series[0][1][1] is not None and len(series[1][0]) == 4
+
+
+def test_mixed_entries(spark, tmp_path):
+    random = np.random.default_rng(4)
+    line = lambda k, gap: f"{'ab'[k % 2]},{random.normal(4 * (k % 2), 0.3):.2f},{random.normal(9 - 4 * (k % 2), 0.3):.2f},{'?' if gap else ['blue', 'red'][k % 2]},{'true' if k % 3 else 'false'}"
+    (tmp_path / "train.csv").write_text("\n".join(line(k, k % 7 == 0) for k in range(30)))
+    (tmp_path / "test.csv").write_text("\n".join(line(k, k % 4 == 0) for k in range(12)))
+    options = dict(output_directory=str(tmp_path / "out"), numeric_data=False, missing_indicators=("?",))
+    got = launcher.train(spark, str(tmp_path / "train.csv"), str(tmp_path / "test.csv"), num_trees=9, r=2, impute_training_data=True, impute_iterations=1, return_imputed_training=True, return_imputed_testing=True, **options)
+    assert got["metrics"]["accuracy"] == 1
+    text = [r["value"] for r in spark.read.text(str(tmp_path / "out" / "imputed_training")).collect()]
+    assert len(text) == 30 and not any("?" in x or ",," in x for x in text) and sum(",red," in x for x in text) == 15
+    assert launcher.predict(spark, "PF", str(tmp_path / "test.csv"), impute_testing_data=True, impute_iterations=2, **options)["metrics"]["accuracy"] == 1
