@@ -2,7 +2,8 @@
 
 The keywords are those that users of command-line distance forests know; ``python -m kelpwood.launcher
 train|predict --key value`` takes the same. Results are written below ``output_directory`` as parquet
-tables (predictions, proximities, outlier scores) and text (imputed series), and returned as a dict.
+tables (predictions, proximities, outlier scores) and text (imputed series), and returned as a dict, with the
+seconds that training, prediction and proximities took; verbosity 1 prints these, 2 the progress of training.
 Keywords that only steer one machine's threads or memory are accepted and have no effect.
 """
 
@@ -11,6 +12,8 @@ from __future__ import annotations
 import argparse
 import ast
 import inspect
+import logging
+import time
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +73,10 @@ def train(
     regressor_aggregation: str = "mean", DTWImpute: bool = False, missing_indicators: tuple[str, ...] = MISSING, seed: int = 0,  # noqa: N803
 ) -> dict:
     """Train on files; on_tree: a new measure for every candidate, else one a tree."""
-    del exists_testlabels, shuffle, export, verbosity, memory, parallel_trees, parallel_predict, parallel_prox
+    del exists_testlabels, shuffle, export, memory, parallel_trees, parallel_predict, parallel_prox
+    if verbosity > 1:
+        logging.basicConfig()
+        FO.LOG.setLevel(logging.INFO)  # every level of the trees
     read = lambda path, labels, gaps: _read(spark, path, labels, data_dimension, numeric_data, entry_separator, array_separator, file_has_header, target_column, tuple(missing_indicators), gaps)
     rows = read(train_file, train_labels, impute_training_data)
     other = read(test_file, test_labels, impute_testing_data or impute_training_data) if test_file else None
@@ -81,11 +87,12 @@ def train(
     out: dict = {}
     for n in range(repeats):
         own, base = replace(cfg, seed=seed + n), output_directory + (f"/repeat={n}" if repeats > 1 else "")
+        began = time.monotonic()
         if impute_training_data:
             model, filled, filled_other = (impute.forest_impute if numeric_data else impute.forest_impute_mixed)(rows, own, other)
         else:
             model, filled, filled_other = FO.fit(rows if numeric_data else mixed.encoded(rows), own), rows, other
-        out = {"model": model, "config": own}
+        out = {"model": model, "config": own, "seconds": {"train": time.monotonic() - began}}
         if save_model:
             model.save(f"{base}/{model_name}")
             rows.write.mode("overwrite").parquet(f"{base}/{model_name}/original")
@@ -93,14 +100,18 @@ def train(
             S.write_series(filled.select("idx", "series"), f"{base}/imputed_training", data_dimension == 2, entry_separator, array_separator)
         if filled_other is not None:
             ready = filled_other if numeric_data else _scaled(filled, filled_other)
+            began = time.monotonic()
             predicted, out["metrics"] = _predictions(model, ready)
+            out["seconds"]["predict"] = time.monotonic() - began
             out["predictions"] = predicted
             if return_predictions:
                 S.write_table(predicted, f"{base}/predictions")
             if return_imputed_testing:
                 S.write_series(filled_other.select("idx", "series"), f"{base}/imputed_testing", data_dimension == 2, entry_separator, array_separator)
         if return_proximities or return_training_outlier_scores:
-            prox = out["training_proximities"] = proximity.train_proximities(model)
+            began = time.monotonic()
+            prox = out["training_proximities"] = checkpointed(proximity.train_proximities(model))
+            out["seconds"]["proximities"] = time.monotonic() - began
             if return_proximities:
                 S.write_table(prox, f"{base}/training_proximities")
                 if filled_other is not None:
@@ -109,6 +120,8 @@ def train(
             if return_training_outlier_scores:
                 out["outlier_scores"] = proximity.outlier_scores(prox, model.train)
                 S.write_table(out["outlier_scores"], f"{base}/outlier_scores")
+        if verbosity > 0:
+            print(", ".join(f"{k}: {v:.1f} s" for k, v in out["seconds"].items()))
     return out
 
 

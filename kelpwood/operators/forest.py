@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import logging
+import time
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -27,6 +29,7 @@ from kelpwood.functions import distances as D
 from kelpwood.operators import purity as P
 from kelpwood.session import broadcast_if_small, checkpointed, number_rows, parallelism
 
+LOG = logging.getLogger(__name__)  # progress of training
 MOST_BROADCAST = 20_000  # exemplar arrays that are broadcast at most
 
 
@@ -228,6 +231,7 @@ def fit(rows: DataFrame, config: ForestConfig | None = None) -> ForestModel:
     state = bootstrap(train, cfg.n_trees, seed).join(train.select("idx", "label"), "idx").select("tree", F.lit("r").alias("node"), "idx", "mult", "oob", "label")
     state = checkpointed(state)
     nodes, exemplars, members, depth = [], [], [], 0
+    began = time.monotonic()
     at = ["tree", "node"]
     while state.limit(1).count():
         bag = state.filter("not oob")
@@ -277,6 +281,7 @@ def fit(rows: DataFrame, config: ForestConfig | None = None) -> ForestModel:
         members.append(state.join(best.select(*at), at, "left_anti").select(*at, "idx", "mult", "oob"))
         state = checkpointed(tried.join(best, [*at, "cand"]).select("tree", F.concat_ws(".", "node", F.col("branch").cast("string")).alias("node"), "idx", "mult", "oob", "label"))
         depth += 1
+        LOG.info("forest of %d trees: level %d done after %.1f s", cfg.n_trees, depth, time.monotonic() - began)
     spark = rows.sparkSession
     value = "double" if regression else "string"
     kinds = (f"tree int, node string, depth int, is_leaf boolean, prediction {value}, n bigint, purity double, measure string, params array<double>", f"tree int, node string, branch int, idx bigint, series {train.schema['series'].dataType.simpleString()}", "tree int, node string, idx bigint, mult bigint, oob boolean")

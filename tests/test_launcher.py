@@ -13,6 +13,7 @@ def test_train_and_predict(spark, tmp_path):
     out = str(tmp_path / "out")
     got = launcher.train(spark, str(tmp_path / "train.csv"), str(tmp_path / "test.csv"), output_directory=out, num_trees=2, r=1, distances=["euclidean"], impute_training_data=True, impute_iterations=1, return_predictions=True, return_proximities=True, return_training_outlier_scores=True, return_imputed_training=True, return_imputed_testing=True)
     assert got["metrics"]["accuracy"] == 1 and spark.read.parquet(f"{out}/predictions").count() == 8
+    assert set(got["seconds"]) == {"train", "predict", "proximities"} and got["seconds"]["train"] > 0
     assert "NA" not in "".join(r["value"] for r in spark.read.text(f"{out}/imputed_training").collect()) and spark.read.parquet(f"{out}/outlier_scores").count() == 20
     again = launcher.predict(spark, "PF", str(tmp_path / "test.csv"), output_directory=out, impute_testing_data=True, impute_iterations=1, DTWImpute=True, return_predictions=True)
     assert again["metrics"]["accuracy"] == 1
