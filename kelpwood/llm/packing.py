@@ -3,11 +3,15 @@
 Only the counts of lengths matter for a packing, and there are at most ``capacity`` of them however
 many texts there are. The packing is therefore made on the counts: from the longest length down, the
 gap it leaves is looked up among the single lengths, the sums of two and the sums of three that are
-still available, and as many containers as the counts allow are filled exactly at once. The lengths are
-hashed; of the sums of two, one length is among the ``SINGLES`` commonest, of the sums of three, two are
-among the ``PAIRED`` commonest, whose sums are indexed. A look-up thus costs the same however many lengths
-there are. What no combination completes is placed by best fit, longest first, again in bulk. The result is a list of
-patterns (lengths, number of containers), at most a few per length; every text then finds its
+still available, and as many containers as the counts allow are filled exactly at once. A first pass tries
+the commonest lengths by hash: of the sums of two, one length is among the ``SINGLES`` commonest, of the
+sums of three, two are among the ``PAIRED`` commonest, whose sums are indexed; such a look-up costs the same
+however many lengths there are. Unless this gives the least number of containers possible, a second pass
+searches what is left among all lengths, so that no four lengths that fill a container are missed; which sums
+exist at all is kept in a table, so most searches without a result end at once. What no combination completes
+is placed by best fit, longest first, again in bulk. As the second pass may use up short lengths that best fit
+needs, the one of the two packings with fewer containers is taken, the second if they have as many. The result
+is a list of patterns (lengths, number of containers), at most a few per length; every text then finds its
 container from its length and its rank among the texts of that length, which is counted in salted
 parts, so no length is ranked by one task.
 
@@ -37,7 +41,10 @@ from kelpwood.session import checkpointed, parallelism
 TARGETS = 64  # planned in one go
 MOST_LENGTHS = 1_000_000  # distinct lengths of pieces that the driver plans a packing on
 MOST_DENSE = 1 << 24  # up to this length lengths are found by a table, beyond it by search
-SINGLES, PAIRED = 4096, 128  # commonest lengths in the index of two and three lengths
+SINGLES, PAIRED = 4096, 128  # commonest lengths in the index of two and three lengths, which are tried first
+MOST_SUMS = 2_162_160  # sums are told apart up to this many, beyond it by their rest, hence its many divisors
+MOST_PAIRS = 1 << 27  # beyond that, sums told apart by their rest are found by a convolution, up to it one by one
+SUM_COST = 16  # look-ups that take as long as the convolution does for each sum
 
 
 @lru_cache(maxsize=2)
@@ -61,6 +68,34 @@ def token_counts(documents: DataFrame, ranks: str, pattern: str, key: str = "doc
     return documents.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, n_tokens bigint")
 
 
+class _Sums:
+    """Which sums of two and of three lengths exist up to ``reach``; some that don't may be held to, as a length
+    may be taken more often than there is, or sums share a rest. Lengths used up later make no new sums."""
+
+    def __init__(self, sizes: np.ndarray, reach: int) -> None:
+        sizes = sizes[sizes <= reach]
+        span, pairs = reach + int(sizes.max(initial=0)) + 1, len(sizes) ** 2  # no sum up to the reach meets another one
+        step = 1 << max(0, span.bit_length() - 4)
+        self.reach, self.modulus = reach, min(-(-span // step) * step, MOST_SUMS)
+        if pairs < SUM_COST * self.modulus or (span > MOST_SUMS and pairs < MOST_PAIRS):  # one by one, sums of three are not kept
+            self.cost, self.modulus = pairs, min(span, 8 * pairs + 1, MOST_PAIRS // 2)
+            self.two, self.three = np.zeros(self.modulus, bool), None
+            for s in sizes:
+                self.two[(s + sizes) % self.modulus] = True
+            return
+        self.cost = SUM_COST * self.modulus  # in look-ups
+        one = np.zeros(self.modulus)
+        one[sizes % self.modulus] = 1
+        one = np.fft.rfft(one)
+        self.two = np.fft.irfft(one * one, self.modulus) > 0.5
+        if span <= self.modulus:
+            self.two[reach + 1 :] = False
+        self.three = np.fft.irfft(np.fft.rfft(self.two.astype(float)) * one, self.modulus) > 0.5
+
+    def may_be_three(self, gap: int) -> bool:
+        return self.three is None or bool(self.three[gap % self.modulus])
+
+
 class _Lengths:
     """The distinct lengths that are left and how many of each, found by their place in ascending order."""
 
@@ -68,16 +103,16 @@ class _Lengths:
         kept = sorted(s for s, n in counts.items() if n > 0)
         self.sizes = np.array(kept, np.int64)
         self.have = np.array([counts[s] for s in kept], np.int64)
-        self.capacity, self.renewed = capacity, None
+        self.capacity, self.renewed, self.sums, self.tried = capacity, None, None, 0
         self.table = None
         if kept and kept[-1] <= MOST_DENSE:
-            self.table = np.full(kept[-1] + 1, -1, np.int32)
+            self.table = np.full(kept[-1] + 2, -1, np.int32)  # nothing at both ends
             self.table[self.sizes] = np.arange(len(kept))
 
     def place(self, size: np.ndarray) -> np.ndarray:
         """Places of lengths, -1 where there is no such length."""
         if self.table is not None:
-            return np.where((size > 0) & (size < len(self.table)), self.table[np.clip(size, 0, len(self.table) - 1)], -1)
+            return self.table.take(size, mode="clip")
         at = np.minimum(np.searchsorted(self.sizes, size), len(self.sizes) - 1)
         return np.where(self.sizes[at] == size, at, -1)
 
@@ -130,18 +165,67 @@ class _Lengths:
         ok = z >= 0
         return self._best((self.pair[0][least:most][ok], self.pair[1][least:most][ok], z[ok]), own) if ok.any() else None
 
+    def searched(self, gap: int, own: int, renewed: bool = False) -> tuple[int, ...] | None:
+        """The same of two or three lengths, among all that are left."""
+        if renewed or self.sums is None or gap > self.sums.reach or self._stale():
+            self.sums, self.tried = _Sums(self.sizes[: own + 1][self.have[: own + 1] > 0], min(2 * gap, self.capacity)), 0
+        sums = self.sums
+        pair, triple = sums.two[gap % sums.modulus], sums.may_be_three(gap)
+        if not (pair or triple):
+            return None
+        left = np.flatnonzero(self.have[: min(own + 1, np.searchsorted(self.sizes, gap))])
+        sizes = self.sizes[left]
+
+        def two(gap: int, longest: int, *beside: int) -> tuple[int, ...] | None:
+            x = left[np.searchsorted(sizes, gap - longest) : np.searchsorted(sizes, gap // 2, side="right")]
+            z = self.place(gap - self.sizes[x])
+            self.tried += len(x) + 100  # a call costs as much as about 100 look-ups
+            x, z = x[z >= 0], z[z >= 0]
+            return self._best((*(np.full(len(x), k) for k in beside), x, z), own) if len(x) else None
+
+        if pair and (found := two(gap, int(self.sizes[own]))):
+            return found
+        if triple:
+            first = left[np.searchsorted(sizes, -(-gap // 3)) :]  # the longest of the three
+            self.tried += len(first)
+            first = first[sums.two[(gap - self.sizes[first]) % sums.modulus]]
+            for k in first[np.argsort(-self.have[first], kind="stable")].tolist():
+                if found := two(gap - int(self.sizes[k]), int(self.sizes[k]), k):
+                    return found
+                if not renewed and self._stale():
+                    return self.searched(gap, own, renewed=True)
+        return None
+
+    def _stale(self) -> bool:
+        """If more look-ups were made since the sums were than their making costs."""
+        return self.tried > self.sums.cost
+
 
 def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths of one container, number of such containers) that use up the counts."""
     left = _Lengths({s: n for s, n in counts.items() if s > 0}, capacity)
     sizes, have = left.sizes, left.have
+    least = max(-(-sum(map(int.__mul__, sizes.tolist(), have.tolist())) // capacity), int(have[2 * sizes > capacity].sum()))
+    quick = _complete(left, left.complement)
+    first = quick + _best_fit(sizes, have.copy(), capacity)
+    if sum(n for _, n in first) == least:  # no packing has fewer
+        return first
+    # what the commonest lengths don't complete, among all lengths; it may use up short lengths that best fit needs
+    second = quick + _complete(left, left.searched)
+    second += _best_fit(sizes, have, capacity)
+    return min(second, first, key=lambda patterns: sum(n for _, n in patterns))
+
+
+def _complete(left: _Lengths, complement) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of full containers, longest length first; they are taken off the counts that are left."""
+    sizes, have, capacity = left.sizes, left.have, left.capacity
     patterns: list[tuple[tuple[int, ...], int]] = []
     for at in range(len(sizes) - 1, -1, -1):
         size = int(sizes[at])
         if 4 * size < capacity:  # four of the longest left don't fill a container
             break
         while have[at]:
-            rest = left.complement(capacity - size, at)
+            rest = complement(capacity - size, at)
             if rest is None:
                 break
             each: dict[int, int] = defaultdict(int)
@@ -151,7 +235,12 @@ def pack_counts(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
             for k, c in each.items():
                 have[k] -= n * c
             patterns.append(((size, *(int(sizes[k]) for k in rest)), n))
-    # best fit of what is left, longest first: open containers by their gap, the gaps in ascending order
+    return patterns
+
+
+def _best_fit(sizes: np.ndarray, have: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of all that is left, longest first: open containers by their gap, the gaps in ascending order."""
+    patterns: list[tuple[tuple[int, ...], int]] = []
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)
     gaps: list[int] = []
 

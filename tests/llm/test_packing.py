@@ -2,13 +2,16 @@ from __future__ import annotations
 
 import time
 from collections import Counter
+from itertools import combinations_with_replacement
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from kelpwood.llm import packing
 from kelpwood.llm.packing import fill_report, pack, pack_counts, token_counts, violations
 
 
@@ -104,3 +107,48 @@ def test_large_plans_are_quick_and_full():
             for s in held:
                 used[s] += n
         assert used == counts
+
+
+@pytest.mark.parametrize("beside, common", [((1, 1, 1), 150), ((1, 2), 4200)])
+def test_rare_lengths_complete_each_other(beside, common):
+    """Every container can be filled, the rare lengths (4 of 10 and more) only by each other, as their last digits show."""
+    random, capacity = np.random.default_rng(3), 40_000_007
+    counts = Counter({x: 9 for k in range(common) for x in (11_000_000 + 10 * k, capacity - 11_000_000 - 10 * k)})
+    for _ in range(10):
+        parts = [10 * int(x) + r for x, r in zip(random.integers(30_000, 150_000, len(beside)), beside, strict=True)]
+        counts.update([capacity - sum(parts), *parts])
+    least = sum(s * n for s, n in counts.items()) // capacity
+    patterns = pack_counts(counts, capacity)
+    assert sum(n for _, n in patterns) == least == 9 * common + 10
+    assert {sum(held) for held, _ in patterns} == {capacity}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 3), min_size=1, max_size=14), st.integers(2, 150), st.sampled_from([(1 << 27, 2_162_160, 16), (0, 2_162_160, 0), (0, 16, 0), (1 << 27, 16, 0), (64, 16, 0)]))
+def test_search_among_all_lengths(counts, gap, bounds):
+    """Two or three lengths are found if and only if there are any, however the sums are kept."""
+    before = packing.MOST_PAIRS, packing.MOST_SUMS, packing.SUM_COST
+    packing.MOST_PAIRS, packing.MOST_SUMS, packing.SUM_COST = bounds
+    try:
+        left = packing._Lengths(counts, 200)
+        own = len(left.sizes) - 1
+        spare = Counter(counts) - Counter([int(left.sizes[own])])
+        sizes = sorted(spare)
+        there = {sum(c): c for n in (3, 2) for c in combinations_with_replacement(sizes, n) if not Counter(c) - spare}
+        for wanted in (gap, gap // 2, gap):
+            found = left.searched(wanted, own)
+            assert (found is None) == (wanted not in there)
+            if found:
+                held = [int(left.sizes[k]) for k in found]
+                assert sum(held) == wanted and not Counter(held) - spare
+    finally:
+        packing.MOST_PAIRS, packing.MOST_SUMS, packing.SUM_COST = before
+
+
+def test_a_search_is_never_worse_than_the_commonest_lengths():
+    random = np.random.default_rng(1)
+    for n, capacity in ((300, 131_072), (400, 1 << 30), (97, 4096)):
+        counts = {int(s): 1 for s in random.integers(capacity // 50, capacity, n)}
+        left = packing._Lengths(counts, capacity)
+        quick = packing._complete(left, left.complement) + packing._best_fit(left.sizes, left.have, capacity)
+        assert sum(n for _, n in pack_counts(counts, capacity)) <= sum(n for _, n in quick)
