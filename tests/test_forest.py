@@ -87,3 +87,35 @@ def test_imputers_edge_cases(spark):
     got = {n: {r["idx"]: r["series"] for r in impute.IMPUTERS[n](frame).collect()} for n in ("mean", "median", "mode", "linear", "global_mean", "knn")}
     assert got["linear"][1] == [1.0, 1.0, 2.0, 3.0, 3.0, 3.0] and got["median"][1][0] == 3.0 and got["mode"][1][0] == 3.0 and got["mode"][2] == [None, None]
     assert got["mean"][2] == got["linear"][2] == [0.0, 0.0] and got["global_mean"][2] == [0.0, 1.0] and got["knn"][1][0] == 0.0 and all(v[3] == [] for v in got.values())
+
+
+def test_nearest_exemplars_by_giving_up_far_pairs():
+    random = np.random.default_rng(3)
+    rows, shapes = np.cumsum(random.normal(size=(30, 12)), axis=1), np.cumsum(random.normal(size=(7, 12)), axis=1)
+    shapes[4] = shapes[2]  # a tie
+    own, at = np.repeat(np.arange(30), 7), np.tile(np.arange(7), 30)
+    params = {"w": 3.0, "g": 0.3, "c": 0.1, "nu": 0.001, "lam": 0.1, "epsilon": 0.5, "delta": 3.0}
+    given_up = 0
+    for name in D.DEFAULT_POOL:
+        d = D.get(name)
+        used = {p: np.full(len(own), params[p]) for p in d.params}
+        whole = D.evaluate(d, [list(rows[i]) for i in own], [list(shapes[j]) for j in at], used).reshape(30, 7)
+        got = FO._to_exemplars(d, rows, shapes, own, at, used).reshape(30, 7)
+        near = whole == whole.min(1, keepdims=True)
+        assert (got[near] == whole[near]).all() and (got[~near] > np.broadcast_to(whole.min(1, keepdims=True), whole.shape)[~near]).all(), name
+        given_up += (np.isinf(got) & np.isfinite(whole)).sum()
+    assert given_up > 0
+
+
+def test_rows_out_of_the_bag_only_meet_the_chosen_exemplars(rows):
+    met = rows.sparkSession.sparkContext.accumulator(0)
+
+    def counted(x, y):
+        met.add(1)
+        return float(abs(x[0] - y[0]))
+
+    D.register_distance("counted", counted)
+    model = FO.fit(rows, FO.ForestConfig(n_trees=2, n_candidates=4, distances=("counted",), max_depth=1, seed=5))
+    m = model.membership.toPandas()
+    # three exemplars a candidate: four candidates for the rows in the bag, one for the others
+    assert met.value == 3 * (4 * (~m["oob"]).sum() + m["oob"].sum())
