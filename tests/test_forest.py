@@ -119,3 +119,22 @@ def test_rows_out_of_the_bag_only_meet_the_chosen_exemplars(rows):
     m = model.membership.toPandas()
     # three exemplars a candidate: four candidates for the rows in the bag, one for the others
     assert met.value == 3 * (4 * (~m["oob"]).sum() + m["oob"].sum())
+
+
+def test_outlier_scores_without_pairs(rows, model, monkeypatch):
+    want = {r["idx"]: r for r in proximity.outlier_scores(proximity.train_proximities(model), rows).collect()}
+
+    def same(scores):
+        got = {r["idx"]: r for r in scores.collect()}
+        assert got.keys() == want.keys()
+        for idx, r in got.items():
+            assert r["label"] == want[idx]["label"] and np.isclose(r["raw"], want[idx]["raw"], rtol=1e-12)
+            assert np.isclose(r["score"], want[idx]["score"], rtol=1e-9)
+
+    with monkeypatch.context() as m:
+        m.setattr(proximity, "SURE", 30)  # rows in leaves of 10 and more over three trees go by pairs
+        same(proximity.forest_outlier_scores(model, rows))
+        m.setattr(proximity, "SURE", 0)
+        same(proximity.forest_outlier_scores(model, rows))
+    monkeypatch.setattr(proximity, "_proximities", None)  # no table of pairs else
+    same(proximity.forest_outlier_scores(model, rows))
