@@ -138,3 +138,23 @@ def test_outlier_scores_without_pairs(rows, model, monkeypatch):
         same(proximity.forest_outlier_scores(model, rows))
     monkeypatch.setattr(proximity, "_proximities", None)  # no table of pairs else
     same(proximity.forest_outlier_scores(model, rows))
+
+
+def test_update_without_pairs(rows, model, monkeypatch):
+    gaps = rows.filter("series is not null and idx is not null").withColumn("series", F.transform("series", lambda v, i: F.when((F.col("idx") + i) % 4 != 0, v)))
+    train, other = gaps.filter("idx < 45"), gaps.filter("idx % 3 = 0").withColumn("idx", F.col("idx") + 1000)
+    filled, filled_other = impute.IMPUTERS["mean"](train), impute.IMPUTERS["mean"](other)
+    values = lambda found: {r["idx"]: r["series"] for r in found.collect()}
+    want = values(impute.proximity_update(filled, train, proximity.train_proximities(model)))
+    want_other = values(impute.proximity_update(filled_other, other, proximity.test_proximities(model, filled_other), train))
+
+    def same():
+        got, got_other = (values(f) for f in (impute.refine(model, filled, train, model.config), impute.refine_others(model, filled_other, other, train, filled, model.config)))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+        assert got_other.keys() == want_other.keys() and all(np.allclose(got_other[k], want_other[k], rtol=1e-12) for k in want_other)
+
+    with monkeypatch.context() as m:
+        m.setattr(proximity, "SURE", 30)  # some rows by pairs
+        same()
+    monkeypatch.setattr(proximity, "_proximities", None)  # no table of pairs else
+    same()
